@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,24 +27,21 @@ def lookup_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct substrings of the given lengths."""
-    return F.array_distinct(
-        F.flatten(
-            F.array(
-                *(
-                    F.when(
-                        F.length(text) >= size,
-                        F.transform(
-                            F.sequence(F.lit(1), F.length(text) - size + 1),
-                            lambda start, size=size: F.substring(text, start, F.lit(size)),
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for size in sizes
-                )
-            )
-        )
-    )
+def _substrings(text: Column, size: Column) -> Column:
+    """All substrings of `size` characters; none for a shorter text."""
+    return F.when(
+        F.length(text) >= size,
+        F.transform(
+            F.sequence(F.lit(1), F.length(text) - size + 1),
+            lambda start: F.substring(text, start, size),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct substrings of one, two and three characters."""
+    sizes = [_substrings(text, F.lit(size)) for size in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(*sizes))
 
 
 def _searchable(routes: DataFrame) -> DataFrame:
@@ -71,18 +66,10 @@ def routes_containing(timetable: Timetable, queries: DataFrame) -> DataFrame:
     """
     needles = queries.select("needle").filter(F.col("needle") != "").distinct()
     texts = _searchable(timetable.routes)
-    route_grams = texts.withColumn("gram", F.explode(_grams(F.col("text"), (1, 2, GRAM))))
+    route_grams = texts.withColumn("gram", F.explode(_grams(F.col("text"))))
     frequency = route_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     size = F.least(F.length("needle"), F.lit(GRAM))
-    needle_grams = needles.withColumn(
-        "gram",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("needle") - size + 1),
-                lambda start: F.substring(F.col("needle"), start, size),
-            )
-        ),
-    )
+    needle_grams = needles.withColumn("gram", F.explode(_substrings(F.col("needle"), size)))
     rarest = (
         needle_grams.join(frequency, "gram", "left")
         .groupBy("needle")

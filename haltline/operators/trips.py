@@ -191,8 +191,10 @@ def trip_detail(
         .join(shown_calls, "trip_id", "left")
         .join(shown_shapes, "shape_id", "left")
     )
+    # A refused trip may share its shape with one that is shown.
+    shape = F.when(F.col("problem").isNull(), F.col("shape"))
     return requests.select("request_id", "trip_id").join(detail, "trip_id").select(
-        "request_id", *TRIP_COLUMNS, "problem", "calls", "shape"
+        "request_id", *TRIP_COLUMNS, "problem", "calls", shape.alias("shape")
     )
 
 

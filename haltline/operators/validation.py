@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from haltline.functions import within_degrees
 from haltline.schema import WEEKDAYS, Feed
+from haltline.session import cut_lineage
 
 REPORT_CAP = 100
 ROWS_PER_CHUNK_BITS = 20
@@ -599,7 +600,11 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def validation_report(issues: DataFrame, cap: int = REPORT_CAP) -> DataFrame:
-    """The first `cap` issues by code and record, each with how many were left out."""
+    """The first `cap` issues by code and record, each with how many were left out.
+
+    The issues are written once, so that counting them does not validate the feed again.
+    """
+    issues = cut_lineage(issues)
     total = issues.agg(F.count(F.lit(1))).scalar()
     return (
         issues.orderBy("code", "record", "message")
