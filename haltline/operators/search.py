@@ -9,6 +9,7 @@ from haltline.functions import fold_text, search_terms
 from haltline.operators.ranking import MAX_LIMIT, bounded_limit, first_per_group
 from haltline.operators.stops import stop_view
 from haltline.schema import STOP_COLUMNS, Timetable
+from haltline.session import cut_lineage
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -101,7 +102,8 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     tokens = stop_tokens(stops)
     queries = requests.select("query").distinct()
     terms = _query_terms(queries)
-    hits = _term_hits(terms, tokens)
+    # Counted, scanned for candidates and looked up below: found once, written once.
+    hits = cut_lineage(_term_hits(terms, tokens))
     document_frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_stops = stops.agg(F.count(F.lit(1))).scalar()
     n_tokens = tokens.agg(F.count(F.lit(1))).scalar()

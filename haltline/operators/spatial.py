@@ -13,7 +13,12 @@ from haltline.operators.grid import (
     distinct_spots,
     points_in_boxes,
 )
-from haltline.operators.ranking import MAX_LIMIT, MAX_RECT_LIMIT, bounded_limit, top_per_request
+from haltline.operators.ranking import (
+    MAX_LIMIT,
+    MAX_RECT_LIMIT,
+    bounded_limit,
+    top_per_request,
+)
 from haltline.operators.stops import stop_view
 from haltline.schema import GROUP_COLUMNS, STOP_COLUMNS, Timetable
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +14,9 @@ from haltline.operators.ranking import (
     MAX_LIMIT,
     bounded_limit,
     first_per_group,
-    top_per_request,
 )
 from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
+from haltline.session import broadcast_if_small, cut_lineage
 
 NO_PICKUP = 1
 
@@ -47,19 +49,42 @@ def boardable_calls(timetable: Timetable) -> DataFrame:
     )
 
 
-def dated_trips(timetable: Timetable, dates: DataFrame) -> DataFrame:
-    """Trips with each requested service date they run on."""
-    active = service_active_on(timetable, dates)
-    return timetable.trips.join(active, "service_id")
+def running_services(timetable: Timetable, dates: DataFrame) -> DataFrame:
+    """(service_id, service_date) for joins: one row per service and requested date."""
+    return broadcast_if_small(service_active_on(timetable, dates))
+
+
+def first_per_date(
+    rows: DataFrame,
+    services: DataFrame,
+    group: str,
+    order: Sequence[str],
+    cap: int,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
+    """The first `cap` rows of every (group, service_date).
+
+    The first rows of a date are among the first rows of the services running on it, so rows
+    are cut per service before they are repeated for every date.
+    """
+    few = first_per_group(rows, [group, "service_id"], order, cap).drop("rank")
+    dated = few.join(services, "service_id")
+    if wanted is not None:
+        dated = dated.join(wanted, [group, "service_date"], "left_semi")
+    return first_per_group(dated, [group, "service_date"], order, cap)
 
 
 DEPARTURE_ORDER = ("trip_id", "stop_sequence")
 
 
-def _dated_departures(calls: DataFrame, trips: DataFrame) -> DataFrame:
-    return calls.join(
-        trips.select("trip_id", "service_date", "route_id", "headsign"), "trip_id"
-    ).withColumn("headsign", F.coalesce("stop_headsign", "headsign")).drop("stop_headsign")
+def _departing_trips(calls: DataFrame, timetable: Timetable) -> DataFrame:
+    return (
+        calls.join(
+            timetable.trips.select("trip_id", "service_id", "route_id", "headsign"), "trip_id"
+        )
+        .withColumn("headsign", F.coalesce("stop_headsign", "headsign"))
+        .drop("stop_headsign")
+    )
 
 
 def _departure_view(rows: DataFrame, timetable: Timetable, *keys: str) -> DataFrame:
@@ -102,8 +127,11 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
         .drop("earliest")
     )
     day = ["stop_id", "service_date"]
-    rows = _dated_departures(calls, dated_trips(timetable, asked)).join(
-        asked.select(*day).distinct(), day, "left_semi"
+    # Counted, ranked and picked from below, so the scan and joins are done once.
+    rows = cut_lineage(
+        _departing_trips(calls, timetable)
+        .join(running_services(timetable, asked), "service_id")
+        .join(asked.select(*day).distinct(), day, "left_semi")
     )
 
     second = "departure_seconds"
@@ -144,10 +172,10 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
 
 def departure_board(timetable: Timetable, dates: DataFrame, k: int) -> DataFrame:
     """The first `k` departures of every stop on every date, with `rank`."""
-    rows = _dated_departures(boardable_calls(timetable), dated_trips(timetable, dates))
-    first = first_per_group(
-        rows,
-        ["stop_id", "service_date"],
+    first = first_per_date(
+        _departing_trips(boardable_calls(timetable), timetable),
+        running_services(timetable, dates),
+        "stop_id",
         ["departure_seconds", *DEPARTURE_ORDER],
         bound_k(k),
     )
@@ -196,10 +224,14 @@ def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
         .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
         .distinct()
     )
-    dated = calls.join(
-        dated_trips(timetable, asked).select("trip_id", "service_date"), "trip_id"
-    ).join(asked, day, "left_semi")
-    best = first_per_group(dated, day, ["trip_id"], MAX_LIMIT)
+    best = first_per_date(
+        calls.join(timetable.trips.select("trip_id", "service_id"), "trip_id"),
+        running_services(timetable, asked),
+        "stop_id",
+        ["trip_id"],
+        MAX_LIMIT,
+        asked,
+    ).drop("service_id")
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= bounded_limit(F.col("limit")))
@@ -212,16 +244,3 @@ def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
         )
     )
 
-
-__all__ = [
-    "boardable_calls",
-    "dated_trips",
-    "departure_board",
-    "departures",
-    "lookup_stops",
-    "stop_route_pairs",
-    "stop_routes",
-    "stop_trips",
-    "stop_view",
-    "top_per_request",
-]

@@ -258,13 +258,13 @@ def _missing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.validation_report(validation.validate(faulty_feed(spark, sf_dir))).drop(
+    return validation.validation_report(validation.validate(validation.staged(faulty_feed(spark, sf_dir)))).drop(
         "message"
     )
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.issue_counts(validation.validate(faulty_feed(spark, sf_dir)))
+    return validation.issue_counts(validation.validate(validation.staged(faulty_feed(spark, sf_dir))))
 
 
 THIN_TARGET = 5

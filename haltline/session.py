@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +29,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write `df`, count it, and mark it for broadcast only if it is small.
+
+    Meant for narrow rows (two keys or so). Beyond the bound Spark joins it as it sees fit.
+    """
+    kept = cut_lineage(df)
+    small = kept.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(kept) if small else kept
