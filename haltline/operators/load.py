@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltline.functions import empty_to_null
-from haltline.schema import WEEKDAYS, Feed, Timetable
+from haltline.schema import GTFS_COLUMNS, WEEKDAYS, Feed, Timetable
 
 
 def _optional(source: str, name: str):
@@ -77,7 +77,7 @@ def normalize_feed(feed: Feed) -> Timetable:
             F.col("shape_pt_lon").alias("longitude"),
             F.col("shape_dist_traveled").alias("distance_traveled"),
         ),
-        transfers=feed.transfers.drop("row_no"),
+        transfers=feed.transfers.select(*GTFS_COLUMNS["transfers"]),
         feed_info=feed.feed_info.select(
             F.col("feed_publisher_name").alias("publisher_name"),
             F.col("feed_publisher_url").alias("publisher_url"),

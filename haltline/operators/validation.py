@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from haltline.functions import within_degrees
 from haltline.schema import WEEKDAYS, Feed
-from haltline.session import cut_lineage
+from haltline.session import cut_lineage, keep_table
 
 REPORT_CAP = 100
 ROWS_PER_CHUNK_BITS = 20
@@ -68,6 +68,38 @@ def _unknown(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFr
     return rows.join(bad.withColumnRenamed("bad_key", column), column, "left_semi")
 
 
+def _flag_unknown(
+    rows: DataFrame, references: Sequence[tuple[str, DataFrame, str]]
+) -> DataFrame:
+    """Rows with `unknown_<column>` set where the value is not a key of its table.
+
+    All columns are reduced to distinct values in one scan. What is left after the anti-joins
+    are the bad values only, few enough in any usable feed to be joined by broadcast.
+    """
+    pairs = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(column).alias("column"), F.col(column).alias("value"))
+                for column, _, _ in references
+            )
+        )
+    )
+    values = rows.select(pairs.alias("p")).select("p.*").distinct()
+    known = _union(
+        [
+            owners.select(F.lit(column).alias("column"), F.col(key).alias("value"))
+            for column, owners, key in references
+        ]
+    ).distinct()
+    bad = values.join(known, ["column", "value"], "left_anti")
+    for column, _, _ in references:
+        own = bad.filter(F.col("column") == column).select(
+            F.col("value").alias(column), F.lit(True).alias(f"unknown_{column}")
+        )
+        rows = rows.join(own, column, "left")
+    return rows
+
+
 def _not_increasing(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Records whose `value` is not above the one before it in file order of the group.
 
@@ -380,11 +412,18 @@ def trip_issues(feed: Feed) -> DataFrame:
     services = feed.calendar.select("service_id").unionByName(
         feed.calendar_dates.select("service_id")
     )
-    shaped = rows.filter(F.col("shape_id") != "")
+    checked = _flag_unknown(
+        rows,
+        [
+            ("route_id", feed.routes, "route_id"),
+            ("service_id", services, "service_id"),
+            ("shape_id", feed.shapes, "shape_id"),
+        ],
+    )
     return _union(
         [
             _per_record(
-                rows,
+                checked,
                 [
                     (
                         _blank("trip_id", "route_id", "service_id"),
@@ -394,29 +433,23 @@ def trip_issues(feed: Feed) -> DataFrame:
                         F.col("direction_id") > 1,
                         _issue("invalid_direction_id", trip, "direction above 1"),
                     ),
+                    (
+                        F.col("unknown_route_id"),
+                        _issue("unknown_route", trip, "the route does not exist"),
+                    ),
+                    (
+                        F.col("unknown_service_id"),
+                        _issue("unknown_service", trip, "the service does not exist"),
+                    ),
+                    (
+                        F.col("unknown_shape_id") & (F.col("shape_id") != ""),
+                        _issue("unknown_shape", trip, "the shape does not exist"),
+                    ),
                 ],
             ),
             _as_issues(
                 _repeats(rows, ["trip_id"]), "duplicate_trip", trip, "trip_id used before"
             ),
-            _as_issues(
-                _unknown(rows, "route_id", feed.routes, "route_id"),
-                "unknown_route",
-                trip,
-                "the route does not exist",
-            ),
-            _as_issues(
-                _unknown(rows, "service_id", services, "service_id"),
-                "unknown_service",
-                trip,
-                "the service does not exist",
-            ),
-            _as_issues(
-                _unknown(shaped, "shape_id", feed.shapes, "shape_id"),
-                "unknown_shape",
-                trip,
-                "the shape does not exist",
-            ),
         ]
     )
 
@@ -532,10 +565,14 @@ STOP_TIME_ENUMS = {"pickup_type": 3, "drop_off_type": 3, "timepoint": 1}
 def stop_time_issues(feed: Feed) -> DataFrame:
     rows = feed.stop_times
     record = F.concat_ws(":", "trip_id", F.col("stop_sequence").cast("string"))
+    checked = _flag_unknown(
+        rows,
+        [("trip_id", feed.trips, "trip_id"), ("stop_id", feed.stops, "stop_id")],
+    )
     return _union(
         [
             _per_record(
-                rows,
+                checked,
                 [
                     (
                         _blank("trip_id", "stop_id"),
@@ -550,20 +587,16 @@ def stop_time_issues(feed: Feed) -> DataFrame:
                         )
                         for field, maximum in STOP_TIME_ENUMS.items()
                     ),
+                    (
+                        F.col("unknown_trip_id"),
+                        _issue("unknown_trip", record, "the trip does not exist"),
+                    ),
+                    (
+                        F.col("unknown_stop_id"),
+                        _issue("unknown_stop", record, "the stop does not exist"),
+                    ),
                 ],
             ),
-            _as_issues(
-                _unknown(rows, "trip_id", feed.trips, "trip_id"),
-                "unknown_trip",
-                record,
-                "the trip does not exist",
-            ),
-            _as_issues(
-                _unknown(rows, "stop_id", feed.stops, "stop_id"),
-                "unknown_stop",
-                record,
-                "the stop does not exist",
-            ),
             _as_issues(
                 _not_increasing(rows, "trip_id", "stop_sequence"),
                 "non_increasing_stop_sequence",
@@ -593,7 +626,7 @@ RULE_FAMILIES = {
 def staged(feed: Feed) -> Feed:
     """The typed records written once, so that no rule reads and parses the files again."""
     return Feed(
-        **{name: cut_lineage(getattr(feed, name)) for name in Feed.__dataclass_fields__}
+        **{name: keep_table(getattr(feed, name)) for name in Feed.__dataclass_fields__}
     )
 
 

@@ -129,7 +129,7 @@ def unpack_feeds(manifest: DataFrame, target: str) -> None:
     )
     (
         one_per_member.mapInPandas(lines, "feed_id string, member string, value string")
-        .write.mode("errorifexists")
+        .write.mode("overwrite")
         .partitionBy("feed_id", "member")
         .text(target)
     )

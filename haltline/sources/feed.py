@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +66,27 @@ def text_records(raw: DataFrame, file: str) -> DataFrame:
     )
 
 
-def typed_records(texts: DataFrame, file: str) -> DataFrame:
-    return texts.select(
-        *(
-            _parsed(F.col(name), declared).alias(name)
-            for name, declared in GTFS_COLUMNS[file].items()
-        ),
-        "row_no",
-    )
+def typed_records(texts: DataFrame, file: str, count_unreadable: bool = False) -> DataFrame:
+    columns = [
+        _parsed(F.col(name), declared).alias(name)
+        for name, declared in GTFS_COLUMNS[file].items()
+    ]
+    faults = [
+        _unreadable(name, declared).cast("int")
+        for name, declared in GTFS_COLUMNS[file].items()
+        if _kind(declared) != "text"
+    ]
+    if count_unreadable and faults:
+        columns.append(reduce(add, faults).alias("unreadable"))
+    return texts.select(*columns, "row_no")
+
+
+def _unreadable(name: str, declared: str) -> Column:
+    """The column holds something that is not of its declared type."""
+    unreadable = _parsed(F.col(name), declared).isNull()
+    if declared.endswith("?"):
+        unreadable &= F.coalesce(F.col(name), F.lit("")) != ""
+    return unreadable
 
 
 def unreadable_values(texts: DataFrame, file: str) -> DataFrame:
@@ -79,16 +95,11 @@ def unreadable_values(texts: DataFrame, file: str) -> DataFrame:
     for name, declared in GTFS_COLUMNS[file].items():
         if _kind(declared) == "text":
             continue
-        column = F.col(name)
-        unreadable = _parsed(column, declared).isNull()
-        if declared.endswith("?"):
-            unreadable &= F.coalesce(column, F.lit("")) != ""
+        value = F.coalesce(F.col(name), F.lit(""))
         faults.append(
             F.when(
-                unreadable,
-                F.struct(
-                    F.lit(name).alias("column"), F.coalesce(column, F.lit("")).alias("value")
-                ),
+                _unreadable(name, declared),
+                F.struct(F.lit(name).alias("column"), value.alias("value")),
             )
         )
     schema = "file string, row_no long, column string, value string"
@@ -111,8 +122,11 @@ def _paths_of(spark: SparkSession, folder: str) -> dict[str, str]:
     system = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(jvm_path):
         raise FeedError(f"no such folder: {folder}")
+    # Unpacked archives keep each file in a folder named member=<file>.txt.
     return {
-        status.getPath().getName().removesuffix(".txt"): status.getPath().toString()
+        status.getPath().getName().removeprefix("member=").removesuffix(".txt"): (
+            status.getPath().toString()
+        )
         for status in system.listStatus(jvm_path)
         if status.getPath().getName().endswith(".txt")
     }
@@ -182,9 +196,10 @@ def read_text_feed(
     return texts
 
 
-def typed_feed(texts: dict[str, DataFrame]) -> Feed:
+def typed_feed(texts: dict[str, DataFrame], count_unreadable: bool = False) -> Feed:
+    """Typed records of each file, optionally with how many values could not be read."""
     return Feed(
-        **{file: typed_records(texts[file], file) for file in GTFS_COLUMNS},
+        **{file: typed_records(texts[file], file, count_unreadable) for file in GTFS_COLUMNS},
         frequencies=texts["frequencies"],
     )
 
