@@ -13,7 +13,7 @@ from haltline.operators.ranking import (
     first_per_group,
     rank_by_range,
 )
-from haltline.operators.stops import first_per_date, running_services
+from haltline.operators.stops import first_per_service, running_services
 from haltline.schema import ROUTE_COLUMNS, TRIP_COLUMNS, Timetable
 
 SHAPES_PER_ROUTE = 500
@@ -116,16 +116,14 @@ def route_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, route_id, service_date, limit) to the trips running that day."""
     day = ["route_id", "service_date"]
     asked = requests.select(*day).distinct()
-    best = first_per_date(
-        timetable.trips.select("route_id", "trip_id", "service_id").join(
-            asked.select("route_id").distinct(), "route_id", "left_semi"
-        ),
-        running_services(timetable, asked),
-        "route_id",
-        ["trip_id"],
-        MAX_LIMIT,
-        asked,
-    ).drop("service_id")
+    trips = timetable.trips.select("route_id", "trip_id", "service_id").join(
+        asked.select("route_id").distinct(), "route_id", "left_semi"
+    )
+    few = first_per_service(trips, "route_id", ["trip_id"], MAX_LIMIT)
+    dated = few.join(asked, "route_id").join(
+        running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
+    )
+    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], MAX_LIMIT)
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= bounded_limit(F.col("limit")))

@@ -54,24 +54,15 @@ def running_services(timetable: Timetable, dates: DataFrame) -> DataFrame:
     return broadcast_if_small(service_active_on(timetable, dates))
 
 
-def first_per_date(
-    rows: DataFrame,
-    services: DataFrame,
-    group: str,
-    order: Sequence[str],
-    cap: int,
-    wanted: DataFrame | None = None,
+def first_per_service(
+    rows: DataFrame, group: str, order: Sequence[str], cap: int
 ) -> DataFrame:
-    """The first `cap` rows of every (group, service_date).
+    """The first `cap` rows of every (group, service_id).
 
     The first rows of a date are among the first rows of the services running on it, so rows
-    are cut per service before they are repeated for every date.
+    can be cut per service before they are repeated for many dates.
     """
-    few = first_per_group(rows, [group, "service_id"], order, cap).drop("rank")
-    dated = few.join(services, "service_id")
-    if wanted is not None:
-        dated = dated.join(wanted, [group, "service_date"], "left_semi")
-    return first_per_group(dated, [group, "service_date"], order, cap)
+    return first_per_group(rows, [group, "service_id"], order, cap).drop("rank")
 
 
 DEPARTURE_ORDER = ("trip_id", "stop_sequence")
@@ -118,20 +109,19 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     many requests ask for the same busy stop. Ranks are built per departure second, so no task
     sorts a whole stop.
     """
-    asked = requests.select("stop_id", "service_date", "after").distinct()
-    earliest = asked.groupBy("stop_id").agg(F.min("after").alias("earliest"))
+    day = ["stop_id", "service_date"]
+    asked = requests.select(*day, "after").distinct()
     calls = (
         boardable_calls(timetable)
-        .join(earliest, "stop_id")
+        .join(asked.groupBy(*day).agg(F.min("after").alias("earliest")), "stop_id")
         .filter(F.col("departure_seconds") >= F.col("earliest"))
         .drop("earliest")
     )
-    day = ["stop_id", "service_date"]
     # Counted, ranked and picked from below, so the scan and joins are done once.
     rows = cut_lineage(
-        _departing_trips(calls, timetable)
-        .join(running_services(timetable, asked), "service_id")
-        .join(asked.select(*day).distinct(), day, "left_semi")
+        _departing_trips(calls, timetable).join(
+            running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
+        )
     )
 
     second = "departure_seconds"
@@ -172,13 +162,12 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
 
 def departure_board(timetable: Timetable, dates: DataFrame, k: int) -> DataFrame:
     """The first `k` departures of every stop on every date, with `rank`."""
-    first = first_per_date(
-        _departing_trips(boardable_calls(timetable), timetable),
-        running_services(timetable, dates),
-        "stop_id",
-        ["departure_seconds", *DEPARTURE_ORDER],
-        bound_k(k),
+    order = ["departure_seconds", *DEPARTURE_ORDER]
+    few = first_per_service(
+        _departing_trips(boardable_calls(timetable), timetable), "stop_id", order, bound_k(k)
     )
+    dated = few.join(running_services(timetable, dates), "service_id")
+    first = first_per_group(dated, ["stop_id", "service_date"], order, bound_k(k))
     return _departure_view(first, timetable, "stop_id", "rank")
 
 
@@ -219,19 +208,11 @@ def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, limit) to the trips calling there that day."""
     day = ["stop_id", "service_date"]
     asked = requests.select(*day).distinct()
-    calls = (
-        timetable.stop_times.select("stop_id", "trip_id")
-        .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
-        .distinct()
+    calls = timetable.stop_times.select("stop_id", "trip_id").join(asked, "stop_id").distinct()
+    dated = calls.join(timetable.trips.select("trip_id", "service_id"), "trip_id").join(
+        running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
     )
-    best = first_per_date(
-        calls.join(timetable.trips.select("trip_id", "service_id"), "trip_id"),
-        running_services(timetable, asked),
-        "stop_id",
-        ["trip_id"],
-        MAX_LIMIT,
-        asked,
-    ).drop("service_id")
+    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], MAX_LIMIT)
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= bounded_limit(F.col("limit")))
