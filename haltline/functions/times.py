@@ -6,18 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TIME_PATTERN = r"^\+?[0-9]+:\+?[0-9]+:\+?[0-9]+$"
+USUAL_TIME_PATTERN = r"^[0-9]{2}:[0-5][0-9]:[0-5][0-9]$"
 MAX_HOUR = 99
 
 
 def gtfs_seconds(text: Column) -> Column:
-    """`H:M:S` to seconds; NULL when the text is not a service-day time."""
+    """`H:M:S` to seconds; NULL when the text is not a service-day time.
+
+    Nearly all times are written `HH:MM:SS`, which needs no splitting.
+    """
+    usual = (
+        F.substring(text, 1, 2).cast("int") * 3600
+        + F.substring(text, 4, 2).cast("int") * 60
+        + F.substring(text, 7, 2).cast("int")
+    )
     hour, minute, second = (
         F.split_part(text, F.lit(":"), F.lit(n)).try_cast("int") for n in (1, 2, 3)
     )
     readable = (
         text.rlike(TIME_PATTERN) & (hour <= MAX_HOUR) & (minute <= 59) & (second <= 59)
     )
-    return F.when(readable, hour * 3600 + minute * 60 + second)
+    return F.when(text.rlike(USUAL_TIME_PATTERN), usual).when(
+        readable, hour * 3600 + minute * 60 + second
+    )
 
 
 def gtfs_time_text(seconds: Column) -> Column:

@@ -90,7 +90,7 @@ def _flag_unknown(
             owners.select(F.lit(column).alias("column"), F.col(key).alias("value"))
             for column, owners, key in references
         ]
-    ).distinct()
+    )
     bad = values.join(known, ["column", "value"], "left_anti")
     for column, _, _ in references:
         own = bad.filter(F.col("column") == column).select(
@@ -111,12 +111,14 @@ def _not_increasing(rows: DataFrame, group: str, value: str) -> DataFrame:
     across = Window.partitionBy(group).orderBy("chunk")
     carried = (
         chunked.groupBy(group, "chunk")
-        .agg(F.max(F.struct("row_no", value)).alias("last"))
-        .select(group, "chunk", F.lag(f"last.{value}").over(across).alias("carried"))
+        .agg(F.max_by(value, "row_no").alias("last"))
+        .withColumn("carried", F.lag("last").over(across))
+        .filter(F.col("carried").isNotNull())
+        .select(group, "chunk", "carried")
     )
     return (
         chunked.withColumn("previous", F.lag(value).over(here))
-        .join(carried, [group, "chunk"])
+        .join(carried, [group, "chunk"], "left")
         .filter(F.col(value) <= F.coalesce("previous", "carried"))
     )
 

@@ -67,26 +67,27 @@ def text_records(raw: DataFrame, file: str) -> DataFrame:
 
 
 def typed_records(texts: DataFrame, file: str, count_unreadable: bool = False) -> DataFrame:
-    columns = [
-        _parsed(F.col(name), declared).alias(name)
-        for name, declared in GTFS_COLUMNS[file].items()
-    ]
+    """Typed values of a file, optionally with how many of each row could not be read."""
+    declared_columns = GTFS_COLUMNS[file]
+    typed = texts.select(
+        *(_parsed(F.col(name), declared).alias(name) for name, declared in declared_columns.items()),
+        "row_no",
+        *(F.col(name).alias(f"text_{name}") for name in declared_columns),
+    )
     faults = [
-        _unreadable(name, declared).cast("int")
-        for name, declared in GTFS_COLUMNS[file].items()
+        _unreadable(F.col(name), F.col(f"text_{name}"), declared).cast("int")
+        for name, declared in declared_columns.items()
         if _kind(declared) != "text"
     ]
-    if count_unreadable and faults:
-        columns.append(reduce(add, faults).alias("unreadable"))
-    return texts.select(*columns, "row_no")
+    count = [reduce(add, faults).alias("unreadable")] if count_unreadable and faults else []
+    return typed.select(*declared_columns, *count, "row_no")
 
 
-def _unreadable(name: str, declared: str) -> Column:
-    """The column holds something that is not of its declared type."""
-    unreadable = _parsed(F.col(name), declared).isNull()
+def _unreadable(parsed: Column, text: Column, declared: str) -> Column:
+    """There is no value although the text should hold one."""
     if declared.endswith("?"):
-        unreadable &= F.coalesce(F.col(name), F.lit("")) != ""
-    return unreadable
+        return parsed.isNull() & (F.coalesce(text, F.lit("")) != "")
+    return parsed.isNull()
 
 
 def unreadable_values(texts: DataFrame, file: str) -> DataFrame:
@@ -98,7 +99,7 @@ def unreadable_values(texts: DataFrame, file: str) -> DataFrame:
         value = F.coalesce(F.col(name), F.lit(""))
         faults.append(
             F.when(
-                _unreadable(name, declared),
+                _unreadable(_parsed(F.col(name), declared), F.col(name), declared),
                 F.struct(F.lit(name).alias("column"), value.alias("value")),
             )
         )
@@ -136,7 +137,8 @@ def _with_row_no(records: DataFrame) -> DataFrame:
     """Number rows in file order without a shuffle.
 
     A split is one task, every row takes at least one byte, so split offset plus position in
-    the split rises strictly through the file. Several part files are ordered by name.
+    the split rises strictly through the file. Several part files are ordered by name; their
+    list is in the driver already, so it is no larger as a broadcast.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     number = F.col("_metadata.file_block_start") + position
@@ -150,7 +152,7 @@ def _with_row_no(records: DataFrame) -> DataFrame:
     return (
         records.withColumn("row_no", number)
         .withColumn("part_name", F.col("_metadata.file_name"))
-        .join(ordinals, "part_name")
+        .join(F.broadcast(ordinals), "part_name")
         .withColumn("row_no", F.shiftleft("part_ordinal", FILE_ORDINAL_SHIFT) + F.col("row_no"))
         .drop("part_name", "part_ordinal")
     )
