@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from haltline.llm.cover_tree import top_inner_products
+from haltline.llm.knn_quality import quality_model, quality_scores
+from haltline.llm.line_blocks import extract_main_text
 from haltline.llm.packed_ids import packed_digests, read_packed_ids, write_packed_ids
 from haltline.llm.piece_tokens import piece_digests
 from haltline.llm.rank_counts import token_counts
@@ -41,10 +43,45 @@ def op4_rank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path(PIECE_MODEL))
 
 
+def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_scores(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_piece_tokens": op2_piece_tokens,
     "op3_packed_ids": op3_packed_ids,
     "op4_rank_counts": op4_rank_counts,
+    "op5_knn_quality": op5_knn_quality,
+    "op8_cover_tree_search": op8_cover_tree_search,
+    "op9_line_blocks": op9_line_blocks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_cover_tree_search": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id,
+               row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+               vec_id, score
+        FROM scored
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+    """,
+}
