@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from haltline.llm.cgk_leaks import leaked_items
 from haltline.llm.cover_tree import top_inner_products
+from haltline.llm.gear_chunks import drop_repeated
 from haltline.llm.knn_quality import quality_model, quality_scores
 from haltline.llm.line_blocks import extract_main_text
 from haltline.llm.packed_ids import packed_digests, read_packed_ids, write_packed_ids
@@ -48,6 +50,10 @@ def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated(_table(spark, sf_dir, "documents"))
+
+
 def op8_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"))
 
@@ -56,16 +62,23 @@ def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op10_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_piece_tokens": op2_piece_tokens,
     "op3_packed_ids": op3_packed_ids,
     "op4_rank_counts": op4_rank_counts,
     "op5_knn_quality": op5_knn_quality,
+    "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_tree_search": op8_cover_tree_search,
     "op9_line_blocks": op9_line_blocks,
+    "op10_cgk_leaks": op10_cgk_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_tree_search": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
