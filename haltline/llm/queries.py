@@ -13,6 +13,7 @@ from haltline.llm.cover_tree import top_inner_products
 from haltline.llm.gear_chunks import drop_repeated
 from haltline.llm.knn_quality import quality_model, quality_scores
 from haltline.llm.line_blocks import extract_main_text
+from haltline.llm.order_minhash import near_duplicates
 from haltline.llm.packed_ids import packed_digests, read_packed_ids, write_packed_ids
 from haltline.llm.piece_tokens import piece_digests
 from haltline.llm.rank_counts import token_counts
@@ -50,6 +51,10 @@ def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_packed_ids": op3_packed_ids,
     "op4_rank_counts": op4_rank_counts,
     "op5_knn_quality": op5_knn_quality,
+    "op6_order_minhash": op6_order_minhash,
     "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_tree_search": op8_cover_tree_search,
     "op9_line_blocks": op9_line_blocks,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_order_minhash": op6_order_minhash,
     "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_tree_search": """
         WITH usable AS (
