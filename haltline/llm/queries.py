@@ -17,6 +17,7 @@ from haltline.llm.order_minhash import near_duplicates
 from haltline.llm.packed_ids import packed_digests, read_packed_ids, write_packed_ids
 from haltline.llm.piece_tokens import piece_digests
 from haltline.llm.rank_counts import token_counts
+from haltline.llm.sa_dedup import removal_digests
 from haltline.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return piece_digests(docs, public_tokenizers.path(PIECE_MODEL))
@@ -72,6 +77,7 @@ def op10_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_piece_tokens": op2_piece_tokens,
     "op3_packed_ids": op3_packed_ids,
     "op4_rank_counts": op4_rank_counts,
