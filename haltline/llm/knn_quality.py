@@ -232,3 +232,21 @@ def quality_scores(
             (F.col("score") >= threshold).cast("int").alias("predicted"),
         )
     )
+
+
+def keep_quality(
+    docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs`, with all columns, whose whole text scores `threshold` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, text_col, limit=2 << 20):
+            texts = block.column(text_col).cast(pa.string()).fill_null("")
+            good = [
+                shared.value.scores(features(texts.slice(start, 1024))) >= threshold
+                for start in range(0, block.num_rows, 1024)
+            ]
+            yield block.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
