@@ -163,7 +163,7 @@ def top_inner_products(
     Queries are the rows whose id is divisible by `query_every`; vectors of another length than a query's are
     no candidates. Equal scores go to the smaller id; fewer candidates give fewer rows. Null ids and vectors
     that are null or hold null or non-finite components take no part. Rows that repeat an id and vector count
-    once.
+    once. Scores are exact and have to fit a long.
     """
     rows = keep_table(
         vectors.select(

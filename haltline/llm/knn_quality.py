@@ -182,7 +182,13 @@ def quality_model(
     half = sample_rows // 2
     sample = known.where("label = 0").orderBy(*order).limit(half)
     sample = sample.unionByName(known.where("label = 1").orderBy(*order).limit(half))
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    # Rows that repeat an id count once, so the bound holds for them too.
+    texts = (
+        id_and_text(docs, id_col, text_col)
+        .join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, limit=1 << 20):
