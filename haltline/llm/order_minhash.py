@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +175,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     ).withColumn("digest", text_digest(F.col("text")))
     rows = texts.select("doc_id", "digest")
     signed = keep_table(
-        texts.mapInArrow(_sign, "digest string, sketches binary")
+        texts.select("digest", "text")
+        .mapInArrow(_sign, "digest string, keys binary, sketch binary")
         .groupBy("digest")
-        .agg(F.first("sketches").alias("sketches"))
+        .agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.xxhash64("digest"))
     )
     links = _links(texts, signed)
@@ -211,13 +213,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         items, starts = elements(*word_hashes(block.column("text")))
         signed = signatures(items, starts)
-        some = np.flatnonzero(np.diff(starts) > 0)
+        some = np.flatnonzero(np.diff(starts) > 0).tolist()
+        grouped = signed.reshape(-1, KEYS, ROWS)
+        keys = np.tile(np.arange(1, KEYS + 1, dtype=np.uint64), (len(signed), 1))
+        for row in range(ROWS):
+            keys = mixed(keys * STEP + grouped[:, :, row])
+        # A byte of each sketch says well enough how many agree.
+        short = (signed >> np.uint64(40)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [
-                block.column("digest").take(pa.array(some)),
-                pa.array((signed[row].tobytes() for row in some.tolist()), pa.binary()),
+                block.column("digest").take(pa.array(some, pa.int64())),
+                pa.array((keys[row].tobytes() for row in some), pa.binary()),
+                pa.array((short[row].tobytes() for row in some), pa.binary()),
             ],
-            ["digest", "sketches"],
+            ["digest", "keys", "sketch"],
         )
 
 
@@ -226,79 +235,77 @@ def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(batch.column("sketches").to_pylist())
-            sketches = np.frombuffer(raw, np.uint64).reshape(batch.num_rows, KEYS, ROWS)
-            key = np.full((batch.num_rows, KEYS), 1, dtype=np.uint64) * np.arange(1, KEYS + 1, dtype=np.uint64)
-            for row in range(ROWS):
-                key = mixed(key * STEP + sketches[:, :, row])
+            key = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
             node = np.repeat(batch.column("node").to_numpy(), KEYS)
             number = np.tile(np.arange(KEYS, dtype=np.int32), batch.num_rows)
-            columns = [pa.array(node), pa.array(number), pa.array(key.ravel().view(np.int64))]
+            columns = [pa.array(node), pa.array(number), pa.array(key)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "number", "key"])
 
     by_key = ["number", "key"]
-    keyed = signed.select("node", "sketches").mapInArrow(keys, "node long, number int, key long")
+    keyed = signed.select("node", "keys").mapInArrow(keys, "node long, number int, key long")
     crowded = keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    waiting = keep_table(keyed.join(crowded, by_key))
-    n_texts = signed.count()
-    sketches = signed.select("node", "digest", "sketches")
+    waiting = keep_table(
+        keyed.join(crowded, by_key).join(signed.select("node", "sketch"), "node")
+    )
+    sequences = keep_table(_sequences(texts, signed, waiting))
+    budget = PAIRS_PER_TEXT * signed.count() + 1000
     found: list[DataFrame] = []
     while True:
         buckets = waiting.groupBy(*by_key).agg(
-            F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")
+            F.count("*").alias("n"),
+            F.min(F.struct("node", "sketch")).alias("low"),
+            F.max(F.struct("node", "sketch")).alias("high"),
         )
         total = buckets.agg(F.sum(F.expr("n * (n - 1) / 2")), F.max("n")).first()
         if total[0] is None:
             break
-        last = total[0] <= PAIRS_PER_TEXT * n_texts + 1000 or total[1] <= SMALL
-        small = buckets.where(F.lit(last) | (F.col("n") <= SMALL)).select(*by_key)
-        members = waiting.join(small, by_key)
-        pairs = members.alias("x").join(
-            members.alias("y"),
-            (F.col("x.number") == F.col("y.number"))
-            & (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.node") < F.col("y.node")),
-        ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        last = total[0] <= budget or total[1] <= SMALL
+        members = waiting if last else waiting.join(
+            buckets.where(F.col("n") <= SMALL).select(*by_key), by_key
+        )
+        x, y = members.alias("x"), members.alias("y")
+        same = [F.col(f"x.{name}") == F.col(f"y.{name}") for name in by_key]
+        pairs = x.join(y, [*same, F.col("x.node") < F.col("y.node")]).select(
+            F.col("x.node").alias("a"),
+            F.col("y.node").alias("b"),
+            F.col("x.sketch").alias("sketch_a"),
+            F.col("y.sketch").alias("sketch_b"),
+        )
         if not last:
-            leader = F.when(F.col("number") % 2 == 0, F.col("least")).otherwise(F.col("most"))
+            even = F.col("number") % 2 == 0
             led = keep_table(
-                waiting.join(buckets.where(F.col("n") > SMALL), by_key)
-                .withColumn("leader", leader)
-                .where("node <> leader")
-                .select(*by_key, "node", "leader")
+                waiting.join(
+                    buckets.where(F.col("n") > SMALL).select(
+                        *by_key, F.when(even, F.col("low")).otherwise(F.col("high")).alias("leader")
+                    ),
+                    by_key,
+                ).where("node <> leader.node")
             )
             pairs = pairs.unionByName(
                 led.select(
-                    F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+                    F.least("node", "leader.node").alias("a"),
+                    F.greatest("node", "leader.node").alias("b"),
+                    F.col("sketch").alias("sketch_a"),
+                    F.col("leader.sketch").alias("sketch_b"),
                 )
             )
-        similar = keep_table(_similar(pairs.distinct(), sketches, texts))
+        similar = keep_table(_similar(pairs, sequences))
         found.append(similar)
         if last:
             break
-        matched = similar.select(
-            F.col("a").alias("node"), F.col("b").alias("leader")
-        ).unionByName(similar.select(F.col("b").alias("node"), F.col("a").alias("leader")))
-        waiting = keep_table(led.join(matched, ["node", "leader"], "left_anti").select("node", *by_key))
+        matched = similar.select(F.col("a").alias("low"), F.col("b").alias("high"))
+        met = [
+            F.least("node", "leader.node") == F.col("low"),
+            F.greatest("node", "leader.node") == F.col("high"),
+        ]
+        waiting = keep_table(led.join(matched, met, "left_anti").drop("leader"))
     if not found:
         return texts.sparkSession.createDataFrame([], "a long, b long")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose sketches mostly agree and whose element sequences align."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(-1, ROWS * KEYS)
-                for name in ("sketches_a", "sketches_b")
-            ]
-            near = (sides[0] == sides[1]).sum(axis=1) >= LEAST_AGREEING
-            yield batch.filter(pa.array(near)).select(["a", "b", "digest_a", "digest_b"])
+def _sequences(texts: DataFrame, signed: DataFrame, waiting: DataFrame) -> DataFrame:
+    """(node, sequence): the elements, in 32 bits each, of every text that shares a key with another."""
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
@@ -306,9 +313,33 @@ def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
             short = mixed(items).astype(np.uint32)
             lists = [short[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [block.column("digest"), pa.array(lists, pa.binary())], ["digest", "sequence"]
+                [block.column("node"), pa.array(lists, pa.binary())], ["node", "sequence"]
             )
 
+    wanted = signed.select("node", "digest").join(waiting.select("node"), "node", "left_semi")
+    # One row of each text: its copies are dropped inside every task, before the shuffle.
+    by_digest = Window.partitionBy("digest").orderBy("doc_id")
+    return (
+        texts.withColumn("_place", F.row_number().over(by_digest))
+        .where("_place = 1")
+        .join(wanted, "digest")
+        .select("node", "text")
+        .mapInArrow(sequences, "node long, sequence binary")
+    )
+
+
+def _similar(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Distinct pairs whose sketches mostly agree and whose element sequences align."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [
+                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, ROWS * KEYS)
+                for name in ("sketch_a", "sketch_b")
+            ]
+            near = (sides[0] == sides[1]).sum(axis=1) >= LEAST_AGREEING
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
@@ -318,31 +349,15 @@ def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
             ]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def side(table: DataFrame, letter: str, *columns: str) -> DataFrame:
-        return table.select(*(F.col(c).alias(f"{c}_{letter}") for c in columns))
+    def side(letter: str) -> DataFrame:
+        return sequences.select(
+            F.col("node").alias(letter), F.col("sequence").alias(f"sequence_{letter}")
+        )
 
-    near = (
-        pairs.join(side(sketches, "a", "node", "digest", "sketches"), F.col("a") == F.col("node_a"))
-        .join(side(sketches, "b", "node", "digest", "sketches"), F.col("b") == F.col("node_b"))
-        .select("a", "b", "digest_a", "digest_b", "sketches_a", "sketches_b")
-        .mapInArrow(agree, "a long, b long, digest_a string, digest_b string")
-    )
-    near = keep_table(near)
-    wanted = near.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct()
-    # One row of each wanted text: its copies are dropped before its sequence is made.
-    by_digest = Window.partitionBy("digest").orderBy("digest")
-    own = (
-        texts.select("digest", "text")
-        .join(wanted, "digest", "left_semi")
-        .withColumn("_place", F.row_number().over(by_digest))
-        .where("_place = 1")
-        .drop("_place")
-        .mapInArrow(sequences, "digest string, sequence binary")
-    )
-    own = keep_table(own)
     return (
-        near.join(side(own, "a", "digest", "sequence"), "digest_a")
-        .join(side(own, "b", "digest", "sequence"), "digest_b")
-        .select("a", "b", "sequence_a", "sequence_b")
+        pairs.mapInArrow(agree, "a long, b long")
+        .distinct()
+        .join(side("a"), "a")
+        .join(side("b"), "b")
         .mapInArrow(align, "a long, b long")
     )
