@@ -10,14 +10,18 @@ from pyspark.sql.window import Window
 
 from haltline.session import cut_lineage
 
-MAX_LIMIT = 100
-MAX_RECT_LIMIT = 25_000
 DEFAULT_LIMIT = 20
 DEFAULT_RECT_LIMIT = 10_000
 
 
-def bounded_limit(limit: Column, cap: int = MAX_LIMIT) -> Column:
-    return F.least(F.greatest(limit, F.lit(1)), F.lit(cap))
+def with_limits(requests: DataFrame, default: int = DEFAULT_LIMIT) -> tuple[DataFrame, int]:
+    """Requests with the default where `limit` is missing, and the largest limit among them.
+
+    A limit is what the request asks for; there is no upper end. The largest one is a literal for
+    plans that cut groups before a shuffle, from one small aggregate over the requests.
+    """
+    asked = requests.withColumn("limit", F.coalesce("limit", F.lit(default)))
+    return asked, asked.agg(F.coalesce(F.max("limit"), F.lit(1))).first()[0]
 
 
 def first_per_group(
@@ -25,19 +29,18 @@ def first_per_group(
 ) -> DataFrame:
     """The first `cap` rows of every group with their `rank`.
 
-    The bound is a literal, so Spark also cuts every group inside each map task before the
-    shuffle; a group holding a third of the rows sends at most `cap` rows per task.
+    The bound is a literal, so up to `spark.sql.optimizer.windowGroupLimitThreshold` Spark also
+    cuts every group inside each map task before the shuffle; a group holding a third of the
+    rows then sends at most `cap` rows per task.
     """
     window = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= cap)
 
 
-def top_per_request(
-    rows: DataFrame, order: Sequence[Column | str], cap: int = MAX_LIMIT
-) -> DataFrame:
-    """Rows of each request up to its own `limit`, which never exceeds `cap`."""
-    return first_per_group(rows, ["request_id"], order, cap).filter(
-        F.col("rank") <= bounded_limit(F.col("limit"), cap)
+def top_per_request(rows: DataFrame, order: Sequence[Column | str], largest: int) -> DataFrame:
+    """Rows of each request up to its own `limit`; `largest` is the largest of them."""
+    return first_per_group(rows, ["request_id"], order, largest).filter(
+        F.col("rank") <= F.col("limit")
     )
 
 

@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haltline.functions import iso_date
-from haltline.operators.ranking import (
-    MAX_LIMIT,
-    bounded_limit,
-    first_per_group,
-    rank_by_range,
-)
+from haltline.operators.ranking import first_per_group, rank_by_range, with_limits
+from haltline.operators.requests import valid_requests
 from haltline.operators.stops import first_per_service, running_services
 from haltline.schema import ROUTE_COLUMNS, TRIP_COLUMNS, Timetable
 
-SHAPES_PER_ROUTE = 500
 PAGE_SIZE = 100
 GRAM = 3
 
@@ -90,6 +85,7 @@ def search_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
 
     An exact short name comes first, then short name, long name and id, NULLs first.
     """
+    requests, largest = with_limits(valid_requests(requests, "search_routes"))
     asked = requests.withColumn("needle", F.lower(F.trim("query")))
     found = routes_containing(timetable, asked).join(
         timetable.routes.select(*ROUTE_COLUMNS), "route_id"
@@ -103,30 +99,31 @@ def search_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
             F.col("long_name").asc_nulls_first(),
             "route_id",
         ],
-        MAX_LIMIT,
+        largest,
     )
     return (
         asked.join(best, "needle")
-        .filter(F.col("rank") <= bounded_limit(F.col("limit")))
+        .filter(F.col("rank") <= F.col("limit"))
         .select("request_id", "rank", *ROUTE_COLUMNS)
     )
 
 
 def route_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, route_id, service_date, limit) to the trips running that day."""
+    requests, largest = with_limits(valid_requests(requests, "route_trips"))
     day = ["route_id", "service_date"]
     asked = requests.select(*day).distinct()
     trips = timetable.trips.select("route_id", "trip_id", "service_id").join(
         asked.select("route_id").distinct(), "route_id", "left_semi"
     )
-    few = first_per_service(trips, "route_id", ["trip_id"], MAX_LIMIT)
+    few = first_per_service(trips, "route_id", ["trip_id"], largest)
     dated = few.join(asked, "route_id").join(
         running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
     )
-    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], MAX_LIMIT)
+    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], largest)
     return (
         requests.join(best, day)
-        .filter(F.col("rank") <= bounded_limit(F.col("limit")))
+        .filter(F.col("rank") <= F.col("limit"))
         .join(timetable.trips.drop("route_id"), "trip_id")
         .select(
             "request_id", iso_date(F.col("service_date")).alias("service_date"), *TRIP_COLUMNS
@@ -134,17 +131,20 @@ def route_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
 
 
-def route_shapes(timetable: Timetable, requests: DataFrame) -> DataFrame:
-    """requests(request_id, route_id): shapes of the route, the most used first."""
+def route_shapes(
+    timetable: Timetable, requests: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """requests(request_id, route_id): shapes of the route, the most used first; all without a `limit`."""
     counted = (
         timetable.trips.filter(F.col("shape_id").isNotNull())
         .join(requests.select("route_id").distinct(), "route_id", "left_semi")
         .groupBy("route_id", "shape_id")
         .agg(F.count(F.lit(1)).alias("trip_count"))
     )
-    best = first_per_group(
-        counted, ["route_id"], [F.desc("trip_count"), "shape_id"], SHAPES_PER_ROUTE
-    )
+    by_use = Window.partitionBy("route_id").orderBy(F.desc("trip_count"), "shape_id")
+    best = counted.withColumn("rank", F.row_number().over(by_use))
+    if limit is not None:
+        best = best.filter(F.col("rank") <= limit)
     return requests.select("request_id", "route_id").join(best, "route_id").select(
         "request_id", "route_id", "rank", "shape_id", "trip_count"
     )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltline.functions import fold_text, search_terms
-from haltline.operators.ranking import MAX_LIMIT, bounded_limit, first_per_group
+from haltline.operators.ranking import first_per_group, with_limits
+from haltline.operators.requests import valid_requests
 from haltline.operators.stops import stop_view
 from haltline.schema import STOP_COLUMNS, Timetable
 from haltline.session import cut_lineage
@@ -98,6 +99,7 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     Ordered by BM25, then name, then id. Each distinct query is answered once: its rarest term
     lists the candidates and the other terms are looked up for those only.
     """
+    requests, largest = with_limits(valid_requests(requests, "search_stops"))
     stops = stop_view(timetable.stops)
     tokens = stop_tokens(stops)
     queries = requests.select("query").distinct()
@@ -148,10 +150,10 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
         .withColumn("score", F.round("score", 9))
     )
     best = first_per_group(
-        scores.join(stops, "stop_id"), ["query"], [F.desc("score"), "name", "stop_id"], MAX_LIMIT
+        scores.join(stops, "stop_id"), ["query"], [F.desc("score"), "name", "stop_id"], largest
     )
     return (
         requests.join(best, "query")
-        .filter(F.col("rank") <= bounded_limit(F.col("limit")))
+        .filter(F.col("rank") <= F.col("limit"))
         .select("request_id", "rank", *STOP_COLUMNS, "score")
     )

@@ -13,26 +13,22 @@ from haltline.operators.grid import (
     distinct_spots,
     points_in_boxes,
 )
-from haltline.operators.ranking import (
-    MAX_LIMIT,
-    MAX_RECT_LIMIT,
-    bounded_limit,
-    top_per_request,
-)
+from haltline.operators.ranking import DEFAULT_RECT_LIMIT, top_per_request, with_limits
+from haltline.operators.requests import valid_requests
 from haltline.operators.stops import stop_view
 from haltline.schema import GROUP_COLUMNS, STOP_COLUMNS, Timetable
 
 
 def _with_rule_box(requests: DataFrame) -> DataFrame:
-    """The degree box a nearby answer must lie in, in addition to the distance."""
+    """The degree box a nearby answer must lie in, in addition to the distance; never beyond the globe."""
     lat_delta = F.col("radius") / METRES_PER_DEGREE
     lon_scale = F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.01))
     lon_delta = F.col("radius") / (F.lit(METRES_PER_DEGREE) * lon_scale)
     return (
-        requests.withColumn("min_lat", F.col("lat") - lat_delta)
-        .withColumn("max_lat", F.col("lat") + lat_delta)
-        .withColumn("min_lon", F.col("lon") - lon_delta)
-        .withColumn("max_lon", F.col("lon") + lon_delta)
+        requests.withColumn("min_lat", F.greatest(F.col("lat") - lat_delta, F.lit(-90.0)))
+        .withColumn("max_lat", F.least(F.col("lat") + lat_delta, F.lit(90.0)))
+        .withColumn("min_lon", F.greatest(F.col("lon") - lon_delta, F.lit(-180.0)))
+        .withColumn("max_lon", F.least(F.col("lon") + lon_delta, F.lit(180.0)))
     )
 
 
@@ -63,7 +59,7 @@ def _reach(spots: DataFrame, boxed: DataFrame) -> DataFrame:
         own_cells.join(counts, cell)
         .withColumn("reach", F.radians(steps) * EARTH_RADIUS_M)
         .filter(
-            (F.col("n") >= bounded_limit(F.col("limit")))
+            (F.col("n") >= F.col("limit"))
             & (F.col("reach") <= F.col("radius"))
             & (south >= F.col("min_lat"))
             & (north <= F.col("max_lat"))
@@ -106,13 +102,15 @@ def _shrunk_to_reach(boxed: DataFrame) -> DataFrame:
 def nearby_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, lat, lon, radius, limit) to the closest stops within the radius.
 
-    Stops without a position are never near. Equal distances are ordered by id.
+    Stops without a position are never near. Equal distances are ordered by id. Requests that break a
+    rule get no answer, see `request_issues`.
     """
+    requests, largest = with_limits(valid_requests(requests, "nearby_stops"))
     stops = stop_view(timetable.stops).filter(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     )
     spots = distinct_spots(
-        stops.select("stop_id", "latitude", "longitude"), "stop_id", MAX_LIMIT
+        stops.select("stop_id", "latitude", "longitude"), "stop_id", largest
     )
     boxed = _with_rule_box(requests)
     boxes = _shrunk_to_reach(boxed.join(_reach(spots, boxed), "request_id", "left"))
@@ -125,36 +123,42 @@ def nearby_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
         .filter(F.col("distance_m") <= F.col("radius"))
         .select("request_id", "limit", "stop_id", "distance_m")
     )
-    best = top_per_request(candidates, ["distance_m", "stop_id"])
+    best = top_per_request(candidates, ["distance_m", "stop_id"], largest)
     return best.join(stops, "stop_id").select("request_id", "rank", *STOP_COLUMNS, "distance_m")
 
 
 def stops_in_rect(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, min_lat, min_lon, max_lat, max_lon, limit) to stops by id."""
+    requests, largest = with_limits(
+        valid_requests(requests, "stops_in_rect"), DEFAULT_RECT_LIMIT
+    )
     stops = stop_view(timetable.stops)
     spots = distinct_spots(
         stops.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
             "stop_id", "latitude", "longitude"
         ),
         "stop_id",
-        MAX_RECT_LIMIT,
+        largest,
     )
     found = points_in_boxes(spots, requests).select("request_id", "limit", "stop_id")
-    best = top_per_request(found, ["stop_id"], MAX_RECT_LIMIT)
+    best = top_per_request(found, ["stop_id"], largest)
     return best.join(stops, "stop_id").select("request_id", *STOP_COLUMNS)
 
 
 def stop_groups_in_rect(groups: DataFrame, requests: DataFrame) -> DataFrame:
     """As `stops_in_rect` for groups by their representative point."""
+    requests, largest = with_limits(
+        valid_requests(requests, "stop_groups_in_rect"), DEFAULT_RECT_LIMIT
+    )
     spots = distinct_spots(
         groups.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
             "group_id", "latitude", "longitude"
         ),
         "group_id",
-        MAX_RECT_LIMIT,
+        largest,
     )
     found = points_in_boxes(spots, requests).select("request_id", "limit", "group_id")
-    best = top_per_request(found, ["group_id"], MAX_RECT_LIMIT)
+    best = top_per_request(found, ["group_id"], largest)
     return best.join(groups, "group_id").select("request_id", *GROUP_COLUMNS)
 
 

@@ -10,13 +10,10 @@ from pyspark.sql.window import Window
 
 from haltline.functions import gtfs_time_text, iso_date
 from haltline.operators.calendar import service_active_on
-from haltline.operators.ranking import (
-    MAX_LIMIT,
-    bounded_limit,
-    first_per_group,
-)
+from haltline.operators.ranking import first_per_group, top_per_request, with_limits
+from haltline.operators.requests import valid_requests
 from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
-from haltline.session import broadcast_if_small, cut_lineage
+from haltline.session import cut_lineage
 
 NO_PICKUP = 1
 
@@ -50,8 +47,8 @@ def boardable_calls(timetable: Timetable) -> DataFrame:
 
 
 def running_services(timetable: Timetable, dates: DataFrame) -> DataFrame:
-    """(service_id, service_date) for joins: one row per service and requested date."""
-    return broadcast_if_small(service_active_on(timetable, dates))
+    """(service_id, service_date): one row per service and requested date."""
+    return service_active_on(timetable, dates)
 
 
 def first_per_service(
@@ -104,77 +101,77 @@ def _departure_view(rows: DataFrame, timetable: Timetable, *keys: str) -> DataFr
 def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, after, limit) to the next departures.
 
-    Departures of a (stop, date) get a rank in time order, a request gets the rank its `after`
-    falls on, and both meet on equal ranks. A request touches only the rows it returns, however
-    many requests ask for the same busy stop. Ranks are built per departure second, so no task
-    sorts a whole stop.
+    Departures of a (stop, service) get a rank in time order once, whatever dates are asked for. A
+    request gets the rank its `after` falls on for every service of its stop that runs on its date, takes
+    the `limit` ranks behind it, and keeps the first of all. Rows grow with answers and services, not with
+    dates or with the calls of a busy stop. Ranks are built per departure second, so no task sorts a whole
+    stop.
     """
-    day = ["stop_id", "service_date"]
-    asked = requests.select(*day, "after").distinct()
-    calls = (
-        boardable_calls(timetable)
-        .join(asked.groupBy(*day).agg(F.min("after").alias("earliest")), "stop_id")
-        .filter(F.col("departure_seconds") >= F.col("earliest"))
-        .drop("earliest")
+    requests, largest = with_limits(valid_requests(requests, "departures"))
+    served = ["stop_id", "service_id"]
+    calls = boardable_calls(timetable).join(
+        requests.groupBy("stop_id").agg(F.min("after").alias("earliest")), "stop_id"
     )
+    calls = calls.filter(F.col("departure_seconds") >= F.col("earliest")).drop("earliest")
     # Counted, ranked and picked from below, so the scan and joins are done once.
-    rows = cut_lineage(
-        _departing_trips(calls, timetable).join(
-            running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
+    rows = cut_lineage(_departing_trips(calls, timetable))
+    asked = (
+        requests.join(rows.select(*served).distinct(), "stop_id")
+        .join(
+            running_services(timetable, requests.select("service_date").distinct()),
+            ["service_id", "service_date"],
+            "left_semi",
         )
+        .select("request_id", *served, "service_date", "after", "limit")
     )
 
     second = "departure_seconds"
-    marks = asked.select(*day, F.col("after").alias(second), F.lit(0).alias("n"))
+    marks = asked.select(*served, F.col("after").alias(second), F.lit(0).alias("n")).distinct()
     earlier = (
-        Window.partitionBy(*day).orderBy(second).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*served).orderBy(second).rowsBetween(Window.unboundedPreceding, -1)
     )
     positions = (
-        rows.select(*day, second, F.lit(1).alias("n"))
+        rows.select(*served, second, F.lit(1).alias("n"))
         .unionByName(marks)
-        .groupBy(*day, second)
+        .groupBy(*served, second)
         .agg(F.sum("n").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .select(*day, second, "before")
+        .select(*served, second, "before")
     )
-    same_second = Window.partitionBy(*day, second).orderBy(*DEPARTURE_ORDER)
+    same_second = Window.partitionBy(*served, second).orderBy(*DEPARTURE_ORDER)
     ranked = (
         rows.withColumn("nth", F.row_number().over(same_second))
-        .join(positions, [*day, second])
+        .join(positions, [*served, second])
         .withColumn("rank", F.col("before") + F.col("nth"))
         .drop("before", "nth")
     )
-    wanted = (
-        requests.join(positions.withColumnRenamed(second, "after"), [*day, "after"])
-        .withColumn("limit", bounded_limit(F.col("limit")))
-        .select(
-            "request_id",
-            *day,
-            F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("limit"))).alias(
-                "rank"
-            ),
-        )
-    )
-    return _departure_view(
-        wanted.join(ranked, [*day, "rank"]), timetable, "request_id", "stop_id"
+    wanted = asked.join(
+        positions.withColumnRenamed(second, "after"), [*served, "after"]
+    ).select(
+        "request_id",
+        *served,
+        "service_date",
+        "limit",
+        F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("limit"))).alias("rank"),
     )
+    found = wanted.join(ranked, [*served, "rank"]).drop("rank")
+    best = top_per_request(found, [second, *DEPARTURE_ORDER], largest)
+    return _departure_view(best, timetable, "request_id", "stop_id")
 
 
 def departure_board(timetable: Timetable, dates: DataFrame, k: int) -> DataFrame:
     """The first `k` departures of every stop on every date, with `rank`."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
     order = ["departure_seconds", *DEPARTURE_ORDER]
     few = first_per_service(
-        _departing_trips(boardable_calls(timetable), timetable), "stop_id", order, bound_k(k)
+        _departing_trips(boardable_calls(timetable), timetable), "stop_id", order, k
     )
     dated = few.join(running_services(timetable, dates), "service_id")
-    first = first_per_group(dated, ["stop_id", "service_date"], order, bound_k(k))
+    first = first_per_group(dated, ["stop_id", "service_date"], order, k)
     return _departure_view(first, timetable, "stop_id", "rank")
 
 
-def bound_k(k: int) -> int:
-    return max(1, min(int(k), MAX_LIMIT))
-
-
 def stop_route_pairs(timetable: Timetable, stops: DataFrame | None = None) -> DataFrame:
     """Distinct (stop_id, route_id) over all calls, optionally of some stops only."""
     calls = timetable.stop_times.select("stop_id", "trip_id")
@@ -193,29 +190,40 @@ def stop_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
 
     Routes are reduced once per stop before any request is attached.
     """
+    requests, largest = with_limits(valid_requests(requests, "stop_routes"))
     best = first_per_group(
-        stop_route_pairs(timetable, requests), ["stop_id"], ["route_id"], MAX_LIMIT
+        stop_route_pairs(timetable, requests), ["stop_id"], ["route_id"], largest
     )
     return (
         requests.join(best, "stop_id")
-        .filter(F.col("rank") <= bounded_limit(F.col("limit")))
+        .filter(F.col("rank") <= F.col("limit"))
         .join(timetable.routes, "route_id")
         .select("request_id", "stop_id", *ROUTE_COLUMNS)
     )
 
 
 def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
-    """requests(request_id, stop_id, service_date, limit) to the trips calling there that day."""
+    """requests(request_id, stop_id, service_date, limit) to the trips calling there that day.
+
+    Trips are cut once per stop and service before any date is attached.
+    """
+    requests, largest = with_limits(valid_requests(requests, "stop_trips"))
     day = ["stop_id", "service_date"]
     asked = requests.select(*day).distinct()
-    calls = timetable.stop_times.select("stop_id", "trip_id").join(asked, "stop_id").distinct()
-    dated = calls.join(timetable.trips.select("trip_id", "service_id"), "trip_id").join(
+    trips = (
+        timetable.stop_times.select("stop_id", "trip_id")
+        .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
+        .distinct()
+        .join(timetable.trips.select("trip_id", "service_id"), "trip_id")
+    )
+    few = first_per_service(trips, "stop_id", ["trip_id"], largest)
+    dated = few.join(asked, "stop_id").join(
         running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
     )
-    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], MAX_LIMIT)
+    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], largest)
     return (
         requests.join(best, day)
-        .filter(F.col("rank") <= bounded_limit(F.col("limit")))
+        .filter(F.col("rank") <= F.col("limit"))
         .join(timetable.trips, "trip_id")
         .select(
             "request_id",
@@ -224,4 +232,3 @@ def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
             *TRIP_COLUMNS,
         )
     )
-

@@ -10,8 +10,6 @@ from haltline.operators.ranking import rank_by_bucket
 from haltline.operators.stops import stop_view
 from haltline.schema import STOP_COLUMNS, TRIP_COLUMNS, Timetable
 
-MAX_STOP_CALLS = 10_000
-MAX_SHAPE_POINTS = 30_000
 POINTS_PER_LINE_PART = 10_000
 POINTS_PER_BUCKET = 4_096
 
@@ -85,44 +83,25 @@ def _shape_sizes(timetable: Timetable) -> DataFrame:
     )
 
 
-def shape_points_of(
-    timetable: Timetable, requests: DataFrame, maximum: int = MAX_SHAPE_POINTS
-) -> DataFrame:
-    """requests(request_id, shape_id) to its points.
-
-    A shape above `maximum` points is refused: one row with `oversize` true and no point.
-    """
+def shape_points_of(timetable: Timetable, requests: DataFrame) -> DataFrame:
+    """requests(request_id, shape_id) to all points of the shape, however many."""
     asked = requests.select("request_id", "shape_id")
-    keys = asked.select("shape_id").distinct()
-    points = timetable.shape_points.join(keys, "shape_id", "left_semi")
-    oversize = (
-        points.groupBy("shape_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > maximum)
-        .select("shape_id")
-    )
-    refused = asked.join(oversize, "shape_id").select(
-        "request_id",
-        "shape_id",
-        *(
-            F.lit(None).cast(timetable.shape_points.schema[name].dataType).alias(name)
-            for name in POINT_COLUMNS
-        ),
-        F.lit(True).alias("oversize"),
-    )
-    return (
-        asked.join(points.join(oversize, "shape_id", "left_anti"), "shape_id")
-        .select("request_id", "shape_id", *POINT_COLUMNS, F.lit(False).alias("oversize"))
-        .unionByName(refused)
+    points = timetable.shape_points.join(
+        asked.select("shape_id").distinct(), "shape_id", "left_semi"
     )
+    return asked.join(points, "shape_id").select("request_id", "shape_id", *POINT_COLUMNS)
 
 
 def trip_sizes(
     timetable: Timetable,
-    max_calls: int = MAX_STOP_CALLS,
-    max_points: int = MAX_SHAPE_POINTS,
+    max_calls: int | None = None,
+    max_points: int | None = None,
 ) -> DataFrame:
-    """Calls and shape points of every trip, and whether either is too many to show."""
+    """Calls and shape points of every trip, and whether either exceeds what the caller can show."""
+
+    def beyond(name: str, bound: int | None) -> Column:
+        return F.lit(False) if bound is None else F.col(name) > bound
+
     calls = timetable.stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).alias("stop_calls"))
     return (
         timetable.trips.select("trip_id", "shape_id")
@@ -133,68 +112,49 @@ def trip_sizes(
             F.coalesce("stop_calls", F.lit(0)).alias("stop_calls"),
             F.coalesce("shape_points", F.lit(0)).alias("shape_points"),
         )
-        .withColumn("too_many_calls", F.col("stop_calls") > max_calls)
-        .withColumn("too_many_points", F.col("shape_points") > max_points)
+        .withColumn("too_many_calls", beyond("stop_calls", max_calls))
+        .withColumn("too_many_points", beyond("shape_points", max_points))
     )
 
 
 def trip_detail(
-    timetable: Timetable,
-    requests: DataFrame,
-    max_calls: int = MAX_STOP_CALLS,
-    max_points: int = MAX_SHAPE_POINTS,
+    timetable: Timetable, requests: DataFrame, part_rows: int = POINTS_PER_LINE_PART
 ) -> DataFrame:
     """requests(request_id, trip_id) to the trip with its calls and shape as ordered arrays.
 
-    Sizes are counted first; a trip beyond the limits comes back with `problem` set and no
-    arrays, so no array ever exceeds them. `trip_calls` and `trip_shape` have no limit.
+    A row holds the calls and the shape points number `part` * `part_rows` and on, `part_rows` of each at
+    most, so a trip of any length is answered in full and no array grows without bound. Every known trip has
+    part 0; a part without calls or without points has NULL there.
     """
     asked = requests.select("trip_id").distinct()
     trips = timetable.trips.join(asked, "trip_id", "left_semi").select(*TRIP_COLUMNS)
-    calls = timetable.stop_times.join(asked, "trip_id", "left_semi")
-    points = timetable.shape_points.join(
-        trips.select("shape_id").distinct(), "shape_id", "left_semi"
-    )
-    sizes = (
-        trips.select("trip_id", "shape_id")
-        .join(calls.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_calls")), "trip_id", "left")
-        .join(
-            points.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_points")),
-            "shape_id",
-            "left",
-        )
-        .withColumn(
-            "problem",
-            F.when(F.col("n_calls") > max_calls, F.lit("too_many_calls")).when(
-                F.col("n_points") > max_points, F.lit("too_many_points")
-            ),
-        )
-    )
-    shown = sizes.filter(F.col("problem").isNull()).select("trip_id", "shape_id")
-    shown_calls = (
-        call_view(timetable)
-        .join(shown.select("trip_id"), "trip_id", "left_semi")
-        .groupBy("trip_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("stop_sequence", "stop", *CALL_COLUMNS[1:]))
-            ).alias("calls")
+
+    def parts(rows: DataFrame, key: str, sequence: str, columns: Column, name: str) -> DataFrame:
+        bucket = F.floor(F.col(sequence) / POINTS_PER_BUCKET)
+        return (
+            rank_by_bucket(rows.withColumn("bucket", bucket), [key], "bucket", [sequence])
+            .withColumn("part", F.floor((F.col("rank") - 1) / part_rows).cast("int"))
+            .groupBy(key, "part")
+            .agg(F.array_sort(F.collect_list(columns)).alias(name))
         )
+
+    calls = parts(
+        call_view(timetable).join(asked, "trip_id", "left_semi"),
+        "trip_id",
+        "stop_sequence",
+        F.struct("stop_sequence", "stop", *CALL_COLUMNS[1:]),
+        "calls",
     )
-    shown_shapes = (
-        points.join(shown.select("shape_id").distinct(), "shape_id", "left_semi")
-        .groupBy("shape_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*POINT_COLUMNS))).alias("shape"))
-    )
-    detail = (
-        trips.join(sizes.select("trip_id", "problem"), "trip_id")
-        .join(shown_calls, "trip_id", "left")
-        .join(shown_shapes, "shape_id", "left")
+    points = timetable.shape_points.join(
+        trips.select("shape_id").distinct(), "shape_id", "left_semi"
     )
-    # A refused trip may share its shape with one that is shown.
-    shape = F.when(F.col("problem").isNull(), F.col("shape"))
+    shapes = parts(points, "shape_id", "sequence", F.struct(*POINT_COLUMNS), "shape")
+    of_trips = trips.select("trip_id", "shape_id").join(shapes, "shape_id").drop("shape_id")
+    either = calls.join(of_trips, ["trip_id", "part"], "full")
+    first = trips.select("trip_id", F.lit(0).alias("part"))
+    detail = first.join(either, ["trip_id", "part"], "full").join(trips, "trip_id")
     return requests.select("request_id", "trip_id").join(detail, "trip_id").select(
-        "request_id", *TRIP_COLUMNS, "problem", "calls", shape.alias("shape")
+        "request_id", *TRIP_COLUMNS, "part", "calls", "shape"
     )
 
 

@@ -97,7 +97,7 @@ def _trip_detail_text(df: DataFrame) -> DataFrame:
         "request_id",
         "trip_id",
         "route_id",
-        "problem",
+        "part",
         F.coalesce(
             _joined(
                 "calls",
@@ -268,6 +268,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THIN_TARGET = 5
+DETAIL_PART = 4
 PAGE = 4
 BOARD_SIZE = 3
 
@@ -296,12 +297,10 @@ QUERIES: dict[str, Query] = {
     "lookup_trips": _answers(trips.lookup_trips, "trips"),
     "trip_calls": _answers(trips.trip_calls, "trips", _flat_calls),
     "trip_shape": _answers(trips.trip_shape, "trips"),
-    "shape_points_of": _answers(
-        lambda t, r: trips.shape_points_of(t, r, maximum=14), "shapes"
-    ),
+    "shape_points_of": _answers(trips.shape_points_of, "shapes"),
     "trip_sizes": _tables(lambda t: trips.trip_sizes(t, max_calls=8, max_points=14)),
     "trip_detail": _answers(
-        lambda t, r: trips.trip_detail(t, r, max_calls=9), "trips", _trip_detail_text
+        lambda t, r: trips.trip_detail(t, r, DETAIL_PART), "trips", _trip_detail_text
     ),
     "shape_linestrings": _tables(
         lambda t: _linestring_text(trips.shape_linestrings(t, part_points=10))

@@ -6,7 +6,7 @@ import re
 
 from haltline.operators.validation import RULE_FAMILIES
 from haltline.plans.benchfeed import FAULTY_SQL, FEED_SQL
-from haltline.plans.catalog import BOARD_SIZE, PAGE, THIN_TARGET
+from haltline.plans.catalog import BOARD_SIZE, DETAIL_PART, PAGE, THIN_TARGET
 from haltline.plans.requests import REQUEST_SQL
 from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
 
@@ -253,7 +253,7 @@ LEFT JOIN (SELECT shape_id, count(*) AS n FROM t_shape_points GROUP BY shape_id)
 CTES["c_nearby"] = f"""
 SELECT q.request_id, q."limit", s.*,
   {_haversine("q.lat", "q.lon", "s.latitude", "s.longitude")} AS distance
-FROM q_nearby AS q JOIN v_stops AS s
+FROM a_nearby AS q JOIN v_stops AS s
   ON s.latitude BETWEEN q.lat - q.radius / 111320e0 AND q.lat + q.radius / 111320e0
   AND s.longitude
     BETWEEN q.lon - q.radius / (111320e0 * greatest(abs(cos(radians(q.lat))), 1e-2))
@@ -442,17 +442,35 @@ def _problem(problem: str, condition: str, table: str) -> str:
       WHERE NOT coalesce({condition}, false)"""
 
 
-_LIMIT = '"limit" BETWEEN 1 AND 100'
+_LIMIT = '("limit" IS NULL OR "limit" >= 1)'
+_AT_MOST = 'nth <= coalesce("limit", 20)'
+_DEGREES = "{0}lat BETWEEN -90 AND 90 AND {0}lon BETWEEN -180 AND 180"
+_RADIUS = "radius BETWEEN 0 AND 20037509"
+_ORDERED = "min_lat <= max_lat AND min_lon <= max_lon"
+CTES["a_departures"] = f"SELECT * FROM q_departures WHERE {_LIMIT} AND after >= 0"
+CTES["a_nearby"] = f"SELECT * FROM q_nearby WHERE {_LIMIT} AND {_DEGREES.format('')} AND {_RADIUS}"
+CTES["a_rects"] = f"""SELECT * FROM q_rects WHERE {_LIMIT} AND {_ORDERED}
+  AND {_DEGREES.format("min_")} AND {_DEGREES.format("max_")}"""
+
+CTES["d_calls"] = f"""SELECT trip_id, part, {_agg(
+    "stop_sequence || '/' || stop_id || '/' || coalesce(scheduled_departure, '-')", "stop_sequence")} AS calls
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence) - 1)
+  // {DETAIL_PART} AS INTEGER) AS part FROM c_calls) AS ranked GROUP BY trip_id, part"""
+CTES["d_shapes"] = f"""SELECT t.trip_id, p.part, {_agg("CAST(p.sequence AS VARCHAR)", "p.sequence")} AS shape
+FROM t_trips AS t JOIN (SELECT *, CAST((rank - 1) // {DETAIL_PART} AS INTEGER) AS part
+  FROM c_points_ranked) AS p ON p.shape_id = t.shape_id GROUP BY t.trip_id, p.part"""
+CTES["d_parts"] = """SELECT trip_id, 0 AS part FROM t_trips UNION SELECT trip_id, part FROM d_calls
+UNION SELECT trip_id, part FROM d_shapes"""
 
 ORACLE_SQL: dict[str, str] = {
     "departures": f"""
 SELECT request_id, stop_id, {_DEPARTURE} FROM (
   SELECT q.request_id, q.service_date, q."limit", b.*, row_number() OVER (
     PARTITION BY q.request_id ORDER BY departure_seconds, trip_id, stop_sequence) AS nth
-  FROM q_departures AS q JOIN c_boardable AS b
+  FROM a_departures AS q JOIN c_boardable AS b
     ON b.stop_id = q.stop_id AND b.departure_seconds >= q.after
   JOIN c_active AS a ON a.service_id = b.service_id AND a.service_date = q.service_date) AS d
-WHERE nth <= "limit" """,
+WHERE {_AT_MOST} """,
     "departure_board": f"""
 SELECT stop_id, CAST(nth AS INTEGER) AS rank, {_DEPARTURE} FROM (
   SELECT q.service_date, b.*, row_number() OVER (PARTITION BY b.stop_id, q.service_date
@@ -475,29 +493,29 @@ FROM (SELECT q.request_id, q."limit", {_STOP}, c.score, row_number() OVER (
     PARTITION BY q.request_id ORDER BY c.score DESC, s.name, s.stop_id) AS nth
   FROM q_stop_search AS q JOIN s_scores AS c ON c.request_id = q.request_id
   JOIN v_stops AS s ON s.stop_id = c.stop_id) AS found
-WHERE nth <= "limit" """,
+WHERE {_AT_MOST} """,
     "nearby_stops": f"""
 SELECT request_id, CAST(nth AS INTEGER) AS rank, {", ".join(STOP_COLUMNS)},
   round(distance, 3) AS distance_m
 FROM (SELECT n.*, row_number() OVER (PARTITION BY n.request_id
     ORDER BY distance, stop_id) AS nth
-  FROM c_nearby AS n JOIN q_nearby AS q ON q.request_id = n.request_id
+  FROM c_nearby AS n JOIN a_nearby AS q ON q.request_id = n.request_id
   WHERE distance <= q.radius) AS found
-WHERE nth <= "limit" """,
+WHERE {_AT_MOST} """,
     "stops_in_rect": f"""
 SELECT request_id, {", ".join(STOP_COLUMNS)}
 FROM (SELECT q.request_id, q."limit", {_STOP}, row_number() OVER (
     PARTITION BY q.request_id ORDER BY s.stop_id) AS nth
-  FROM q_rects AS q JOIN v_stops AS s ON s.latitude BETWEEN q.min_lat AND q.max_lat
+  FROM a_rects AS q JOIN v_stops AS s ON s.latitude BETWEEN q.min_lat AND q.max_lat
     AND s.longitude BETWEEN q.min_lon AND q.max_lon) AS found
-WHERE nth <= "limit" """,
+WHERE nth <= coalesce("limit", 10000) """,
     "stop_routes": f"""
 SELECT request_id, stop_id, {", ".join(ROUTE_COLUMNS)}
 FROM (SELECT q.request_id, q."limit", q.stop_id, {_ROUTE}, row_number() OVER (
     PARTITION BY q.request_id ORDER BY r.route_id) AS nth
   FROM q_stop_routes AS q JOIN c_stop_route AS sr ON sr.stop_id = q.stop_id
   JOIN t_routes AS r ON r.route_id = sr.route_id) AS found
-WHERE nth <= "limit" """,
+WHERE {_AT_MOST} """,
     "stop_trips": f"""
 SELECT request_id, stop_id, strftime(service_date, '%Y-%m-%d') AS service_date,
   {", ".join(TRIP_COLUMNS)}
@@ -506,7 +524,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY trip_id) AS
     FROM q_stop_trips AS q JOIN t_stop_times AS st ON st.stop_id = q.stop_id
     JOIN t_trips AS t ON t.trip_id = st.trip_id
     JOIN c_active AS a ON a.service_id = t.service_id AND a.service_date = q.service_date) AS d
-) AS found WHERE nth <= "limit" """,
+) AS found WHERE {_AT_MOST} """,
     "lookup_routes": f"""
 SELECT q.request_id, {_ROUTE} FROM q_routes AS q JOIN t_routes AS r ON r.route_id = q.route_id""",
     "search_routes": f"""
@@ -514,22 +532,21 @@ SELECT request_id, CAST(nth AS INTEGER) AS rank, {", ".join(ROUTE_COLUMNS)}
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id
     ORDER BY CASE WHEN lower(short_name) = needle THEN 0 ELSE 1 END,
       short_name NULLS FIRST, long_name NULLS FIRST, route_id) AS nth
-  FROM c_found_routes) AS found WHERE nth <= "limit" """,
+  FROM c_found_routes) AS found WHERE {_AT_MOST} """,
     "route_trips": f"""
 SELECT request_id, strftime(service_date, '%Y-%m-%d') AS service_date, {", ".join(TRIP_COLUMNS)}
 FROM (SELECT q.request_id, q."limit", q.service_date, {_TRIP}, row_number() OVER (
     PARTITION BY q.request_id ORDER BY t.trip_id) AS nth
   FROM q_route_trips AS q JOIN t_trips AS t ON t.route_id = q.route_id
   JOIN c_active AS a ON a.service_id = t.service_id AND a.service_date = q.service_date) AS found
-WHERE nth <= "limit" """,
+WHERE {_AT_MOST} """,
     "route_shapes": """
 SELECT request_id, route_id, CAST(nth AS INTEGER) AS rank, shape_id, trip_count
 FROM (SELECT q.request_id, q.route_id, c.shape_id, c.trip_count, row_number() OVER (
     PARTITION BY q.request_id ORDER BY c.trip_count DESC, c.shape_id) AS nth
   FROM q_routes AS q JOIN (SELECT route_id, shape_id, count(*) AS trip_count FROM t_trips
     WHERE shape_id IS NOT NULL GROUP BY route_id, shape_id) AS c
-    ON c.route_id = q.route_id) AS ranked
-WHERE nth <= 500""",
+    ON c.route_id = q.route_id) AS ranked""",
     "routes_page": _page(
         f"""SELECT q.request_id, {_ROUTE},
   CAST(row_number() OVER (PARTITION BY q.request_id ORDER BY r.route_id) AS INTEGER) AS nth,
@@ -554,26 +571,17 @@ SELECT q.request_id, q.trip_id, p.sequence, p.latitude, p.longitude, p.distance_
 FROM q_trips AS q JOIN t_trips AS t ON t.trip_id = q.trip_id
 JOIN t_shape_points AS p ON p.shape_id = t.shape_id""",
     "shape_points_of": """
-SELECT q.request_id, q.shape_id, p.sequence, p.latitude, p.longitude, p.distance_traveled,
-  false AS oversize
-FROM q_shapes AS q JOIN c_points_ranked AS p ON p.shape_id = q.shape_id WHERE p.n <= 14
-UNION ALL SELECT q.request_id, q.shape_id, NULL, NULL, NULL, NULL, true
-FROM q_shapes AS q JOIN c_points_ranked AS p ON p.shape_id = q.shape_id
-WHERE p.n > 14 AND p.rank = 1""",
+SELECT q.request_id, q.shape_id, p.sequence, p.latitude, p.longitude, p.distance_traveled
+FROM q_shapes AS q JOIN t_shape_points AS p ON p.shape_id = q.shape_id""",
     "trip_sizes": """
 SELECT trip_id, stop_calls, shape_points, stop_calls > 8 AS too_many_calls,
   shape_points > 14 AS too_many_points FROM c_sizes""",
-    "trip_detail": f"""
-SELECT q.request_id, z.trip_id, z.route_id,
-  CASE WHEN z.stop_calls > 9 THEN 'too_many_calls' END AS problem,
-  CASE WHEN z.stop_calls > 9 THEN '' ELSE coalesce(c.calls, '') END AS calls,
-  CASE WHEN z.stop_calls > 9 THEN '' ELSE coalesce(p.shape, '') END AS shape
-FROM q_trips AS q JOIN c_sizes AS z ON z.trip_id = q.trip_id
-LEFT JOIN (SELECT trip_id, {_agg(
-    "stop_sequence || '/' || stop_id || '/' || coalesce(scheduled_departure, '-')",
-    "stop_sequence")} AS calls FROM c_calls GROUP BY trip_id) AS c ON c.trip_id = z.trip_id
-LEFT JOIN (SELECT shape_id, {_agg("CAST(sequence AS VARCHAR)", "sequence")} AS shape
-  FROM t_shape_points GROUP BY shape_id) AS p ON p.shape_id = z.shape_id""",
+    "trip_detail": """
+SELECT q.request_id, t.trip_id, t.route_id, d.part, coalesce(c.calls, '') AS calls,
+  coalesce(s.shape, '') AS shape
+FROM q_trips AS q JOIN t_trips AS t ON t.trip_id = q.trip_id JOIN d_parts AS d ON d.trip_id = t.trip_id
+LEFT JOIN d_calls AS c ON c.trip_id = t.trip_id AND c.part = d.part
+LEFT JOIN d_shapes AS s ON s.trip_id = t.trip_id AND s.part = d.part""",
     "shape_linestrings": f"""
 SELECT shape_id, CAST((rank - 1) // 10 AS INTEGER) AS part, count(*) AS n_points,
   {_agg("sequence || '/' || printf('%.3f', longitude) || '/' || printf('%.3f', latitude)",
@@ -597,12 +605,12 @@ SELECT shape_id, sequence, latitude, longitude, distance_traveled FROM c_points_
 WHERE (rank - 1) % greatest(n // {THIN_TARGET}, 1) = 0 OR rank = n""",
     "stop_groups": "SELECT * FROM g_groups",
     "stop_group_members": "SELECT group_id, stop_id FROM g_members",
-    "stop_groups_in_rect": """
+    "stop_groups_in_rect": f"""
 SELECT * EXCLUDE (nth, "limit") FROM (SELECT q.request_id, q."limit", g.*, row_number() OVER (
     PARTITION BY q.request_id ORDER BY g.group_id) AS nth
-  FROM q_rects AS q JOIN g_groups AS g ON g.latitude BETWEEN q.min_lat AND q.max_lat
+  FROM a_rects AS q JOIN g_groups AS g ON g.latitude BETWEEN q.min_lat AND q.max_lat
     AND g.longitude BETWEEN q.min_lon AND q.max_lon) AS found
-WHERE nth <= "limit" """,
+WHERE nth <= coalesce("limit", 10000) """,
     "group_member_routes": "SELECT * FROM g_member_routes",
     "group_routes": "SELECT * FROM g_routes",
     "group_agencies": "SELECT * FROM g_agencies",
@@ -695,12 +703,12 @@ SELECT (SELECT 'v' || count(*) FROM orders) AS schedule_version,
             _problem(
                 "position", "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180", "q_odd_nearby"
             ),
-            _problem("radius", "radius BETWEEN 0 AND 100000", "q_odd_nearby"),
+            _problem("radius", _RADIUS, "q_odd_nearby"),
         )
     ),
     "request_issues_rect": " UNION ALL ".join(
         (
-            _problem("limit", '"limit" BETWEEN 1 AND 25000', "q_odd_rects"),
+            _problem("limit", _LIMIT, "q_odd_rects"),
             _problem(
                 "bounds",
                 "min_lat BETWEEN -90 AND 90 AND max_lat BETWEEN -90 AND 90"

@@ -13,10 +13,17 @@ FROM {nation}"""
 
 REQUEST_SQL = {
     "stops": f"SELECT k AS request_id, stop_id FROM ({_ALL_STOPS}) AS s",
-    "departures": f"""
-SELECT k AS request_id, stop_id, make_date(2024, 1, CAST(1 + k % 28 AS INT)) AS service_date,
-  CAST(28800 + (k * 613) % 50000 AS INT) AS after, CAST(1 + k % 6 AS INT) AS "limit"
-FROM ({_ALL_STOPS}) AS s""",
+    # Four days and times of every stop; the last kind takes the default limit or is no request at all.
+    "departures": " UNION ALL ".join(
+        f"""
+SELECT k * 4 + {n} AS request_id, stop_id,
+  make_date(2024, 1, CAST(1 + (k + {5 * n}) % 28 AS INT)) AS service_date,
+  CAST({"CASE WHEN k % 9 = 0 THEN -1 ELSE 50000 END" if n == 3 else f"28800 + ((k + {n}) * 613) % 50000"}
+    AS INT) AS after,
+  CAST({"CASE WHEN k % 9 > 4 THEN NULL ELSE k % 9 - 1 END" if n == 3 else f"1 + (k + {n}) % 6"} AS INT) AS "limit"
+FROM ({_ALL_STOPS}) AS s"""
+        for n in range(4)
+    ),
     "stop_routes": f"""
 SELECT k AS request_id, stop_id, CAST(1 + k % 30 AS INT) AS "limit" FROM ({_ALL_STOPS}) AS s""",
     "stop_trips": f"""
@@ -28,7 +35,13 @@ SELECT DISTINCT CAST(ts AS DATE) AS service_date FROM {events}""",
 SELECT p_partkey AS request_id, 50.75e0 + ((p_partkey * 7919) % 275000) / 1e5 AS lat,
   3.4e0 + ((p_partkey * 104729) % 370000) / 1e5 AS lon,
   250e0 * (1 + p_partkey % 40) AS radius, CAST(1 + p_partkey % 30 AS INT) AS "limit"
-FROM {part}""",
+FROM {part}
+UNION ALL
+SELECT CAST(1000000000 + r_regionkey AS BIGINT) AS request_id,
+  CASE WHEN r_regionkey = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 51e0 END AS lat, 4e0 AS lon,
+  CASE r_regionkey WHEN 1 THEN 1e11 WHEN 2 THEN -1e0 WHEN 3 THEN CAST('NaN' AS DOUBLE) ELSE 2e4 END AS radius,
+  CAST(NULL AS INT) AS "limit"
+FROM {region}""",
     "rects": """
 SELECT s_suppkey AS request_id, 50.75e0 + (s_suppkey % 20) * 1e-1 AS min_lat,
   3.4e0 + (s_suppkey % 30) * 1e-1 AS min_lon,
@@ -38,7 +51,14 @@ SELECT s_suppkey AS request_id, 50.75e0 + (s_suppkey % 20) * 1e-1 AS min_lat,
 FROM {supplier}
 UNION ALL
 SELECT CAST(1000000000 + r_regionkey AS BIGINT) AS request_id, 50.75e0 + r_regionkey * 5e-1 AS min_lat,
-  3.4e0 AS min_lon, 51.25e0 + r_regionkey * 5e-1 AS max_lat, 7.1e0 AS max_lon, 10000 AS "limit"
+  3.4e0 AS min_lon, 51.25e0 + r_regionkey * 5e-1 AS max_lat, 7.1e0 AS max_lon,
+  CAST(CASE WHEN r_regionkey < 4 THEN 10000 END AS INT) AS "limit"
+FROM {region}
+UNION ALL
+SELECT CAST(2000000000 + r_regionkey AS BIGINT) AS request_id, -9e1 AS min_lat,
+  CASE WHEN r_regionkey = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE -18e1 END AS min_lon, 9e1 AS max_lat,
+  CASE WHEN r_regionkey = 1 THEN -181e0 ELSE 18e1 END AS max_lon,
+  CAST(r_regionkey * 50 - 100 AS INT) AS "limit"
 FROM {region}""",
     "stop_search": """
 SELECT s_suppkey AS request_id,
@@ -64,7 +84,8 @@ UNION ALL SELECT 100 + r_regionkey AS request_id, 'RX' || r_regionkey AS route_i
     "route_trips": """
 SELECT n_nationkey * 1000 + day AS request_id, 'R' || n_nationkey AS route_id,
   make_date(2024, 1, day) AS service_date, 1 + (n_nationkey + day) % 25 AS "limit"
-FROM {nation}, (SELECT DISTINCT CAST(day(ts) AS INT) AS day FROM {events}) AS days""",
+FROM {nation} JOIN (SELECT DISTINCT CAST(day(ts) AS INT) AS day FROM {events}) AS days
+  ON day % 3 = n_nationkey % 3""",
     "routes_page": """
 SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'Nation_1' END AS query,
   CASE WHEN n_nationkey < 3 THEN '' ELSE 'R' || n_nationkey END AS after_key

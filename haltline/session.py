@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -42,12 +39,3 @@ def keep_table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write `df`, count it, and mark it for broadcast only if it is small.
-
-    Meant for narrow rows (two keys or so). Beyond the bound Spark joins it as it sees fit.
-    """
-    kept = cut_lineage(df)
-    small = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if small else kept

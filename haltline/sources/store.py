@@ -36,7 +36,7 @@ def check_version(version: str) -> str:
 
 
 def schedule_metadata(entries: DataFrame, feed_info: DataFrame) -> DataFrame:
-    """entries(key, value) and feed_info to one row; without feed_info its columns are NULL."""
+    """entries(key, value) with every row of feed_info; without feed_info its columns are NULL."""
     row = entries.agg(
         F.max(F.when(F.col("key") == "schedule_version", F.col("value"))).alias(
             "schedule_version"
@@ -45,7 +45,7 @@ def schedule_metadata(entries: DataFrame, feed_info: DataFrame) -> DataFrame:
         .try_cast("long")
         .alias("imported_at_unix"),
     ).withColumn("one", F.lit(1))
-    feed = feed_info.limit(1).withColumns(
+    feed = feed_info.withColumns(
         {
             "one": F.lit(1),
             "start_date": iso_date(F.col("start_date")),
