@@ -327,7 +327,9 @@ QUERIES: dict[str, Query] = {
     "group_agencies": _grouped(lambda t, g, m: groups.group_agencies(t, m)),
     "stop_group_details": _stop_group_details,
     "feed_counts": _feed_counts,
-    "feed_file_issues": lambda spark, sf_dir: feed_file_issues(_asks(spark, sf_dir, "manifest")),
+    "feed_file_issues": lambda spark, sf_dir: feed_file_issues(
+        _asks(spark, sf_dir, "manifest"), max_files=64, max_bytes=2 * 1024**3
+    ),
     "unreadable_records": _unreadable,
     "dangling_references": _dangling,
     "parse_times": _parse_times,

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltline.schema import REQUIRED_FILES
 
-MAX_FILES = 64
-MAX_UNCOMPRESSED_BYTES = 2 * 1024**3
-LINES_PER_BATCH = 50_000
+BLOCK_BYTES = 4 << 20
 # Absolute, upward, with a drive letter or a NUL: not a name inside the archive.
 UNSAFE_NAME = r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)|\x00"
 
 
 def feed_file_issues(
     manifest: DataFrame,
-    max_files: int = MAX_FILES,
-    max_bytes: int = MAX_UNCOMPRESSED_BYTES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """manifest(feed_id, member, size) of many archives to (feed_id, problem, member)."""
+    """manifest(feed_id, member, size) of many archives to (feed_id, problem, member).
+
+    An archive may hold any number of files of any size unless the caller sets an upper end.
+    """
     nested = F.col("member").rlike(UNSAFE_NAME) | F.col("member").contains("/")
     bad_paths = manifest.filter(nested).select(
         "feed_id", F.lit("invalid_path").alias("problem"), "member"
@@ -61,8 +64,8 @@ def feed_file_issues(
 
     whole = F.array_compact(
         F.array(
-            when(F.col("files") > max_files, "too_many_files", ""),
-            when(F.col("bytes") > max_bytes, "too_large", ""),
+            when(_beyond("files", max_files), "too_many_files", ""),
+            when(_beyond("bytes", max_bytes), "too_large", ""),
             when(~has_calendar, "missing_file", "calendar.txt or calendar_dates.txt"),
         )
     )
@@ -72,11 +75,35 @@ def feed_file_issues(
     return bad_paths.unionByName(repeated).unionByName(per_feed)
 
 
-def _open(uri: str) -> zipfile.ZipFile:
+def _beyond(column: str, bound: int | None) -> Column:
+    return F.lit(False) if bound is None else F.col(column) > bound
+
+
+def _input(uri: str) -> pa.NativeFile:
     # Hadoop writes local paths as file:/path, which is not a URI pyarrow accepts.
     local = re.sub(r"^file:/+", "/", uri)
     system, path = fs.FileSystem.from_uri(local)
-    return zipfile.ZipFile(system.open_input_file(path))
+    return system.open_input_file(path)
+
+
+def _open(uri: str) -> zipfile.ZipFile:
+    return zipfile.ZipFile(_input(uri))
+
+
+def archive_digests(archives: DataFrame) -> DataFrame:
+    """archives(path) to (path, digest): SHA-256 of the bytes, read block by block."""
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with _input(path) as file:
+                    while block := file.read(BLOCK_BYTES):
+                        digest.update(block)
+                yield pd.DataFrame({"path": [path], "digest": [digest.hexdigest()]})
+
+    spread = archives.select("path").repartition(F.col("path"))
+    return spread.mapInPandas(digests, "path string, digest string")
 
 
 def archive_manifest(archives: DataFrame) -> DataFrame:
@@ -104,31 +131,38 @@ def archive_manifest(archives: DataFrame) -> DataFrame:
 def unpack_feeds(manifest: DataFrame, target: str) -> None:
     """Write every listed member as text under `target/feed_id=…/member=…`.
 
-    One task per member streams it in batches of lines, so memory does not grow with the file,
-    and a lost task only repeats its own member.
+    One task per member streams it in blocks of whole lines, so memory does not grow with the file,
+    and a lost task only repeats its own member. Bytes stay as they are but for a byte order mark.
     """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                with _open(row.path) as archive, archive.open(row.member) as member:
-                    chunk: list[str] = []
-                    for number, line in enumerate(member):
-                        text = line.decode("utf-8-sig" if number == 0 else "utf-8")
-                        chunk.append(text.rstrip("\r\n"))
-                        if len(chunk) == LINES_PER_BATCH:
-                            yield _lines(row, chunk)
-                            chunk = []
-                    yield _lines(row, chunk)
-
-    def _lines(row, chunk: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"feed_id": row.feed_id, "member": row.member, "value": chunk})
+            for row in batch.to_pylist():
+                with _open(row["path"]) as archive, archive.open(row["member"]) as member:
+                    rest = member.read(3).removeprefix(b"\xef\xbb\xbf")
+                    while block := member.read(BLOCK_BYTES):
+                        whole, cut, rest = (rest + block).rpartition(b"\n")
+                        if cut:
+                            yield _lines(row, whole)
+                    if rest:
+                        yield _lines(row, rest)
+
+    def _lines(row: dict[str, str], block: bytes) -> pa.RecordBatch:
+        texts = block.decode("utf-8").split("\n")
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([row["feed_id"]] * len(texts), pa.string()),
+                pa.array([row["member"]] * len(texts), pa.string()),
+                pa.array(texts, pa.string()),
+            ],
+            ["feed_id", "member", "value"],
+        )
 
     one_per_member = manifest.select("feed_id", "path", "member").repartition(
         F.col("feed_id"), F.col("member")
     )
     (
-        one_per_member.mapInPandas(lines, "feed_id string, member string, value string")
+        one_per_member.mapInArrow(lines, "feed_id string, member string, value string")
         .write.mode("overwrite")
         .partitionBy("feed_id", "member")
         .text(target)

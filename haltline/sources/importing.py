@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haltline.operators.groups import derive_stop_groups
 from haltline.operators.load import normalize_feed
-from haltline.operators.validation import REPORT_CAP, staged, validate
+from haltline.operators.validation import staged, validate
 from haltline.schema import GTFS_COLUMNS
 from haltline.session import cut_lineage
 from haltline.sources.archive import archive_manifest, feed_file_issues, unpack_feeds
@@ -19,20 +19,29 @@ from haltline.sources.feed import (
 )
 from haltline.sources.store import VersionError, VersionStore, check_version
 
+#: Issues that the exception shows.
+SHOWN_ISSUES = 100
+
 
 class FeedRejected(FeedError):
-    """The feed broke rules. `issues` holds the first of them, `omitted` counts the others."""
+    """The feed broke rules. `issues` shows the first of them, `omitted` counts the others.
+
+    All of them are in the store, see `VersionStore.rejected_issues`.
+    """
 
     def __init__(self, stage: str, issues: list[Row], total: int):
         self.stage, self.issues, self.omitted = stage, issues, total - len(issues)
         super().__init__(f"{stage}: {len(issues)} issues, {self.omitted} more")
 
 
-def _reject_if_any(stage: str, issues: DataFrame, order: list[str]) -> None:
+def _reject_if_any(
+    store: VersionStore, version: str, stage: str, issues: DataFrame, order: list[str]
+) -> None:
     issues = cut_lineage(issues)
     if issues.isEmpty():
         return
-    raise FeedRejected(stage, issues.orderBy(*order).limit(REPORT_CAP).collect(), issues.count())
+    kept = store.keep_rejected(version, stage, issues)
+    raise FeedRejected(stage, kept.orderBy(*order).limit(SHOWN_ISSUES).collect(), kept.count())
 
 
 def import_feed(
@@ -54,23 +63,30 @@ def import_feed(
     for part in unreadable[1:]:
         total = total.unionByName(part)
     if total.agg(F.sum("n")).first()[0]:
-        _reject_if_any("unreadable values", unreadable_records(texts), ["file", "row_no", "column"])
-    _reject_if_any("validation", validate(feed), ["code", "record", "message"])
+        order = ["file", "row_no", "column"]
+        _reject_if_any(store, version, "unreadable values", unreadable_records(texts), order)
+    _reject_if_any(store, version, "validation", validate(feed), ["code", "record", "message"])
     timetable = normalize_feed(feed)
     groups, members = derive_stop_groups(timetable.stops)
     return store.publish(version, timetable, groups, members)
 
 
 def import_archive(
-    spark: SparkSession, path: str, store: VersionStore, version: str
+    spark: SparkSession,
+    path: str,
+    store: VersionStore,
+    version: str,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """As `import_feed` for a ZIP archive any executor can open."""
+    """As `import_feed` for a ZIP archive any executor can open, of any size unless bounds are set."""
     check_version(version)
     if store.is_installed(version):
         raise VersionError(f"version already exists: {version}")
     archives = spark.createDataFrame([(version, path)], "feed_id string, path string")
     manifest = cut_lineage(archive_manifest(archives))
-    _reject_if_any("archive", feed_file_issues(manifest), ["problem", "member"])
+    issues = feed_file_issues(manifest, max_files, max_bytes)
+    _reject_if_any(store, version, "archive", issues, ["problem", "member"])
     known = [f"{name}.txt" for name in (*GTFS_COLUMNS, "frequencies")]
     target = f"{store.root}/unpacked/{version}"
     unpack_feeds(manifest.filter(F.col("member").isin(known)), target)

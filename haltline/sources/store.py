@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from haltline.functions import iso_date
 from haltline.schema import SCHEMA_VERSION, Timetable
+from haltline.session import cut_lineage
+from haltline.sources.feed import feed_counts
 
 VERSION_PATTERN = re.compile(r"[A-Za-z0-9._-]{1,128}")
 
@@ -100,7 +102,10 @@ class VersionStore:
         groups: DataFrame | None = None,
         members: DataFrame | None = None,
     ) -> DataFrame:
-        """Write all tables, check them, then list the version. Returns rows per table."""
+        """Write all tables, check columns and row counts, then list the version.
+
+        Returns rows per table.
+        """
         check_version(version)
         if self.is_installed(version):
             raise VersionError(f"version already exists: {version}")
@@ -109,22 +114,47 @@ class VersionStore:
             tables |= {"stop_groups": groups, "stop_group_members": members}
         entries = [("schedule_version", version), ("imported_at_unix", str(int(time.time())))]
         tables["feed_metadata"] = self.spark.createDataFrame(entries, "key string, value string")
+        sent: dict[str, Observation] = {}
         for name, df in tables.items():
             keys = CLUSTERING.get(name)
             if keys:
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
             # An unlisted folder of the same name is a failed attempt and is replaced.
+            sent[name] = Observation()
+            df = df.observe(sent[name], F.count(F.lit(1)).alias("n"))
             df.write.mode("overwrite").parquet(self._table_path(version, name))
         written = {name: self.read_table(version, name) for name in tables}
+        counts = cut_lineage(feed_counts(written))
+        found = {row.table_name: row.n for row in counts.collect()}
         for name, df in written.items():
-            if df.columns != tables[name].columns:
+            if df.columns != tables[name].columns or found[name] != sent[name].get["n"]:
                 raise VersionError(f"{name} was not written as expected")
         self._append(
             "versions", self._VERSIONS, (version, SCHEMA_VERSION, int(time.time()))
         )
-        from haltline.sources.feed import feed_counts
+        return counts
+
+    def keep_rejected(self, version: str, stage: str, issues: DataFrame) -> DataFrame:
+        """Write all issues of a rejected import; a later attempt of the same version replaces them."""
+        path = f"{self.root}/rejected/version={version}/{stage.replace(' ', '_')}"
+        issues.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(issues.schema).parquet(path)
+
+    def rejected_issues(self, version: str, stage: str) -> DataFrame:
+        """All issues that `stage` found in a rejected version."""
+        return self.spark.read.parquet(
+            f"{self.root}/rejected/version={version}/{stage.replace(' ', '_')}"
+        )
+
+    _REJECTIONS = "version string, path string, stage string, issues long, rejected_at long"
+
+    def note_rejection(self, version: str, path: str, stage: str, issues: int) -> None:
+        row = (version, path, stage, issues, int(time.time()))
+        self._append("rejections", self._REJECTIONS, row)
 
-        return feed_counts(written)
+    def rejections(self) -> DataFrame:
+        """Publications that were refused, with the stage that refused them."""
+        return self._log("rejections", self._REJECTIONS)
 
     def activate(self, version: str) -> None:
         listed = self.versions().filter(F.col("version") == check_version(version))
@@ -164,3 +194,13 @@ class VersionStore:
                 for name in Timetable.__dataclass_fields__
             }
         )
+
+    def read_groups(self, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The stop groups of a version and their members, as stored when it was published."""
+        version = version or self.active()
+        if version is None or not self.is_installed(version):
+            raise VersionError(f"version is not installed: {version}")
+        return (
+            self.read_table(version, "stop_groups"),
+            self.read_table(version, "stop_group_members"),
+        )

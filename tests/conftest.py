@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
-from tests.feeds import FIXTURE, MINIMAL, write_feed
+from tests.feeds import HARBOUR, HILL, write_feed
 
 
 @pytest.fixture(scope="session")
@@ -27,13 +27,13 @@ def spark():
 
 
 @pytest.fixture
-def minimal_folder(tmp_path):
+def hill_folder(tmp_path):
     def build(**overrides: str) -> str:
-        return write_feed(tmp_path / "feed", {**MINIMAL, **overrides})
+        return write_feed(tmp_path / "feed", {**HILL, **overrides})
 
     return build
 
 
 @pytest.fixture
-def fixture_folder(tmp_path):
-    return write_feed(tmp_path / "fixture", FIXTURE)
+def harbour_folder(tmp_path):
+    return write_feed(tmp_path / "harbour", HARBOUR)

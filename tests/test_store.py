@@ -5,12 +5,12 @@ import zipfile
 import pytest
 
 from haltline.operators.load import normalize_feed
-from haltline.sources.archive import archive_manifest, feed_file_issues
+from haltline.sources.archive import archive_manifest, feed_file_issues, unpack_feeds
 from haltline.sources.feed import read_feed
 from haltline.sources.importing import FeedRejected, import_archive, import_feed
 from haltline.sources.store import VersionError, VersionStore, check_version, schedule_metadata
 from haltline.streaming.refresh import refresh_feeds
-from tests.feeds import FIXTURE, MINIMAL, zip_feed
+from tests.feeds import HARBOUR, HILL, zip_feed
 
 
 @pytest.mark.parametrize("label", ["", ".", "..", "a/b", "a b", "x" * 129, "é", "v1\n"])
@@ -19,15 +19,15 @@ def test_unsafe_labels(label):
         check_version(label)
 
 
-def test_import_activate_and_roll_back(spark, tmp_path, fixture_folder, minimal_folder):
+def test_import_activate_and_roll_back(spark, tmp_path, harbour_folder, hill_folder):
     store = VersionStore(spark, str(tmp_path / "store"))
     assert store.active() is None
-    counts = {r.table_name: r.n for r in import_feed(spark, fixture_folder, store, "v1").collect()}
-    assert (counts["stops"], counts["stop_groups"], counts["stop_times"]) == (3, 1, 2)
-    assert (counts["shape_points"], counts["transfers"]) == (3, 1)
-    import_feed(spark, minimal_folder(), store, "v2")
+    counts = {r.table_name: r.n for r in import_feed(spark, harbour_folder, store, "v1").collect()}
+    assert (counts["stops"], counts["stop_groups"], counts["stop_times"]) == (5, 2, 4)
+    assert (counts["shape_points"], counts["transfers"]) == (4, 1)
+    import_feed(spark, hill_folder(), store, "v2")
     with pytest.raises(VersionError, match="exists"):
-        import_feed(spark, fixture_folder, store, "v2")
+        import_feed(spark, harbour_folder, store, "v2")
     with pytest.raises(VersionError, match="not installed"):
         store.activate("v3")
     store.activate("v1")
@@ -35,30 +35,33 @@ def test_import_activate_and_roll_back(spark, tmp_path, fixture_folder, minimal_
     assert store.active() == "v2"
     states = [tuple(r) for r in store.installed_versions().collect()]
     assert states == [("v1", "installed"), ("v2", "active")]
-    assert store.read().stops.first().stop_id == "stop-1"
+    assert store.read().stops.first().stop_id == "summit"
     store.activate("v1")
-    assert store.active() == "v1" and store.read().stops.count() == 3
+    assert store.active() == "v1" and store.read().stops.count() == 5
+    groups, members = store.read_groups()
+    assert groups.count() == 2 and members.count() == 5
     meta = schedule_metadata(store.read_table("v1", "feed_metadata"), store.read("v1").feed_info)
     row = meta.first()
-    assert (row.schedule_version, row.source_version) == ("v1", "fixture-2026-09")
-    assert row.start_date == "2026-09-01" and row.imported_at_unix > 0
+    assert (row.schedule_version, row.source_version) == ("v1", "spring-27")
+    assert row.start_date == "2027-03-01" and row.imported_at_unix > 0
 
 
-def test_metadata_without_feed_info(spark, minimal_folder):
-    feed_info = normalize_feed(read_feed(spark, minimal_folder())).feed_info.limit(0)
+def test_metadata_without_feed_info(spark, hill_folder):
+    feed_info = normalize_feed(read_feed(spark, hill_folder())).feed_info.limit(0)
     row = schedule_metadata(spark.createDataFrame([], "key string, value string"), feed_info).first()
     assert row.schedule_version is None and row.publisher_name is None
 
 
-def test_a_rejected_feed_leaves_nothing_behind(spark, tmp_path, minimal_folder):
+def test_a_rejected_feed_leaves_nothing_behind(spark, tmp_path, hill_folder):
     store = VersionStore(spark, str(tmp_path / "store"))
     header = "trip_id,arrival_time,departure_time,stop_id,stop_sequence\n"
     with pytest.raises(FeedRejected) as unreadable:
-        import_feed(spark, minimal_folder(stop_times=header + "trip-1,noon,,stop-1,1\n"), store, "v1")
+        import_feed(spark, hill_folder(stop_times=header + "up-1,noon,,summit,1\n"), store, "v1")
     assert unreadable.value.issues[0].value == "noon"
     with pytest.raises(FeedRejected) as invalid:
-        import_feed(spark, minimal_folder(stop_times=header + "trip-1,,,missing,1\n"), store, "v1")
+        import_feed(spark, hill_folder(stop_times=header + "up-1,,,nowhere,1\n"), store, "v1")
     assert [issue.code for issue in invalid.value.issues] == ["unknown_stop"]
+    assert [r.code for r in store.rejected_issues("v1", "validation").collect()] == ["unknown_stop"]
     assert store.versions().isEmpty() and store.active() is None
 
 
@@ -70,7 +73,7 @@ def test_another_schema_is_not_activated(spark, tmp_path):
 
 
 def test_archive_checks(spark, tmp_path):
-    good = zip_feed(tmp_path / "good.zip", FIXTURE)
+    good = zip_feed(tmp_path / "good.zip", HARBOUR)
     bad = str(tmp_path / "bad.zip")
     with zipfile.ZipFile(bad, "w") as archive:
         for name in ("agency.txt", "stops.txt", "deep/routes.txt", "../trips.txt"):
@@ -92,17 +95,17 @@ def test_archive_checks(spark, tmp_path):
 
 def test_an_archive_imports_like_its_folder(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path / "store"))
-    files = {**FIXTURE, "agency": "﻿" + FIXTURE["agency"].replace("\n", "\r\n")}
+    files = {**HARBOUR, "agency": "﻿" + HARBOUR["agency"].replace("\n", "\r\n")}
     import_archive(spark, zip_feed(tmp_path / "feed.zip", files), store, "v1")
     tables = store.read("v1")
-    assert tables.agencies.first().name == "Example Transit"
-    assert sorted(r.stop_sequence for r in tables.stop_times.collect()) == [1, 2]
+    assert tables.agencies.first().name == "Fjordlink"
+    assert sorted(r.stop_sequence for r in tables.stop_times.collect()) == [3, 7, 10, 20]
 
 
 def test_refresh_imports_each_publication_once(spark, tmp_path):
     landing, progress = tmp_path / "landing", str(tmp_path / "progress")
     store = VersionStore(spark, str(tmp_path / "store"))
-    zip_feed(landing / "one.zip", FIXTURE)
+    zip_feed(landing / "one.zip", HARBOUR)
 
     def refresh():
         query = refresh_feeds(spark, str(landing), store, progress)
@@ -114,13 +117,25 @@ def test_refresh_imports_each_publication_once(spark, tmp_path):
     (landing / "copy.zip").write_bytes((landing / "one.zip").read_bytes())
     refresh()
     assert store.active() == first and store.versions().count() == 1
-    header = MINIMAL["trips"].splitlines()[0]
-    zip_feed(landing / "broken.zip", {**MINIMAL, "trips": f"{header}\nnone,weekday,trip-1,,\n"})
-    with pytest.raises(Exception, match="validation"):
-        refresh()
-    assert store.active() == first
-    zip_feed(landing / "broken.zip", MINIMAL)
+    header = HILL["trips"].splitlines()[0]
+    broken = {**HILL, "trips": f"{header}\nnone,mondays,up-1,,\n"}
+    zip_feed(landing / "broken.zip", broken)
+    (landing / "torn.zip").write_bytes(b"no archive at all")
+    refresh()
+    assert store.active() == first and store.versions().count() == 1
+    refused = {r.path.rsplit("/", 1)[-1]: (r.stage, r.issues) for r in store.rejections().collect()}
+    assert refused == {"broken.zip": ("validation", 1), "torn.zip": ("not a ZIP archive", 0)}
+    # The bad archives stay where they are; a good one after them goes on.
+    zip_feed(landing / "later.zip", HILL)
     refresh()
     assert store.active() != first and store.versions().count() == 2
+    assert store.rejections().count() == 2
 
 
+def test_unpacked_members_keep_their_bytes(spark, tmp_path):
+    text = 'stop_id,stop_name\r\na,"two\r\nlines"\r\n' + "".join(f"s{n},é{n}\n" for n in range(400_000))
+    path = zip_feed(tmp_path / "feed.zip", {"stops": "\ufeff" + text})
+    archives = spark.createDataFrame([("f", path)], "feed_id string, path string")
+    unpack_feeds(archive_manifest(archives), str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out" / "feed_id=f" / "member=stops.txt").glob("part-*"))
+    assert b"".join(part.read_bytes() for part in parts).decode() == text
