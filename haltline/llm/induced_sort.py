@@ -151,11 +151,20 @@ def _sorted_starts(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarr
     ends = np.append(starts[1:], len(text) - 1)
     # Where one substring begins another, the longer one falls where the shorter one rises: it is smaller.
     high = b"\xff\xff"
-    pieces = [raw[2 * a : 2 * b + 2] + high for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    bounds = zip((2 * starts).tolist(), (2 * ends + 2).tolist(), strict=True)
+    # Few substrings differ, so their first appearances are kept and the rest are numbers at once.
+    seen: dict[bytes, int] = {}
+    first = np.fromiter(
+        (seen.setdefault(raw[a:b] + high, len(seen)) for a, b in bounds), np.int64, len(starts)
+    )
+    pieces = list(seen)
     if starts[-1] == len(text) - 1:
-        pieces[-1] = raw[-2:]
-    names = {piece: number for number, piece in enumerate(sorted(set(pieces)))}
-    return _by_doubling(np.fromiter((names[p] for p in pieces), np.int64, len(pieces)), depth)
+        # The end mark is smaller than all, with no mark behind it.
+        pieces.append(raw[-2:])
+        first[-1] = len(pieces) - 1
+    names = np.empty(len(pieces), dtype=np.int64)
+    names[sorted(range(len(pieces)), key=pieces.__getitem__)] = np.arange(len(pieces))
+    return _by_doubling(names[first], depth)
 
 
 def _by_doubling(names: np.ndarray, depth: int) -> np.ndarray:

@@ -20,11 +20,11 @@ from haltline.llm.blocks import id_and_text, ragged_take, text_blocks
 from haltline.llm.chunks import ChunkTable, space_chunks
 
 MARKER = "▁"
-#: Distinct words that a Python worker remembers between blocks.
-REMEMBERED = 250_000
+#: Distinct words that a task remembers between blocks.
+REMEMBERED = 150_000
 
 
-@dataclass
+@dataclass(slots=True)
 class Word:
     ids: list[int]
     decoded: str
@@ -196,8 +196,11 @@ def _per_text(
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            found = segmenter(model_path).segment(block.column("text"))
+        model = segmenter(model_path)
+        for block in text_blocks(batches, limit=4 << 20):
+            found = model.segment(block.column("text"))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns(found)], names)
+        # Workers are used again by other stages, which need the memory.
+        model.memory.clear()
 
     return texts.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ LENGTH = 400
 #: Bytes of the strings whose hashes are anchors; at most `length`.
 GRAM = 128
 #: Bytes of distinct segments that one shard sorts.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 2**64)
@@ -392,27 +392,26 @@ def without_repeats(
     texts = keyed_texts(docs, id_col, text_col)
     spans = repeated_spans(texts, length, gram, shard_bytes)
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        kept = []
-        for one, ranges in zip(text, spans, strict=True):
-            if one is not None and ranges is not None:
-                raw = one.encode()
-                gone = joined_spans(ranges, len(raw))
-                one = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore")
-            kept.append(one)
-        return type(text)(kept, dtype=object)
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, text_col, limit=2 << 20):
+            column = block.schema.names.index(text_col)
+            given = block.column(text_col)
+            kept = []
+            for text, ranges in zip(given, block.column("_spans"), strict=True):
+                if ranges.is_valid:
+                    raw = text.as_py().encode()
+                    gone = joined_spans(ranges.as_py(), len(raw))
+                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore"))
+                else:
+                    kept.append(text.as_py())
+            yield block.set_column(column, text_col, pa.array(kept, given.type)).select(names)
+
+    names = docs.columns
     key = F.xxhash64(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
     spans = spans.withColumnsRenamed({"row_key": "_row_key", "spans": "_spans"})
     return (
         docs.withColumn("_row_key", key)
         .join(spans, "_row_key", "left")
-        .withColumn(
-            text_col,
-            F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(
-                cut(F.col(text_col).cast("string"), "_spans")
-            ),
-        )
-        .select(*docs.columns)
+        .select(*names, "_spans")
+        .mapInArrow(cut, docs.schema)
     )
