@@ -68,36 +68,37 @@ def _unknown(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFr
     return rows.join(bad.withColumnRenamed("bad_key", column), column, "left_semi")
 
 
-def _flag_unknown(
-    rows: DataFrame, references: Sequence[tuple[str, DataFrame, str]]
+def _unknown_references(
+    rows: DataFrame, references: Sequence[tuple[str, DataFrame, str, str, str]], record: Column
 ) -> DataFrame:
-    """Rows with `unknown_<column>` set where the value is not a key of its table.
+    """Issues of records whose column holds no key of its table.
 
-    All columns are reduced to distinct values in one scan. What is left after the anti-joins
-    are the bad values only, few enough in any usable feed to be joined by broadcast.
+    A reference is (column, owners, key, code, message). All columns, and all keys, are reduced to distinct
+    values before a shuffle. What is left after the anti-join are the bad values only; they are written, so
+    that their true size decides how the records with such a value are fetched. For a clean feed the records
+    themselves are never shuffled.
     """
     pairs = F.explode(
         F.array(
             *(
                 F.struct(F.lit(column).alias("column"), F.col(column).alias("value"))
-                for column, _, _ in references
+                for column, *_ in references
             )
         )
     )
     values = rows.select(pairs.alias("p")).select("p.*").distinct()
     known = _union(
         [
-            owners.select(F.lit(column).alias("column"), F.col(key).alias("value"))
-            for column, owners, key in references
+            owners.select(F.lit(column).alias("column"), F.col(key).alias("value")).distinct()
+            for column, owners, key, _, _ in references
         ]
     )
-    bad = values.join(known, ["column", "value"], "left_anti")
-    for column, _, _ in references:
-        own = bad.filter(F.col("column") == column).select(
-            F.col("value").alias(column), F.lit(True).alias(f"unknown_{column}")
-        )
-        rows = rows.join(own, column, "left")
-    return rows
+    bad = keep_table(values.join(known, ["column", "value"], "left_anti"))
+    found = []
+    for column, _, _, code, message in references:
+        own = bad.filter(F.col("column") == column).select(F.col("value").alias(column))
+        found.append(_as_issues(rows.join(own, column, "left_semi"), code, record, message))
+    return _union(found)
 
 
 def _not_increasing(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -414,18 +415,25 @@ def trip_issues(feed: Feed) -> DataFrame:
     services = feed.calendar.select("service_id").unionByName(
         feed.calendar_dates.select("service_id")
     )
-    checked = _flag_unknown(
+    unknown = _unknown_references(
         rows,
         [
-            ("route_id", feed.routes, "route_id"),
-            ("service_id", services, "service_id"),
-            ("shape_id", feed.shapes, "shape_id"),
+            ("route_id", feed.routes, "route_id", "unknown_route", "the route does not exist"),
+            ("service_id", services, "service_id", "unknown_service", "the service does not exist"),
         ],
+        trip,
+    )
+    unknown_shape = _unknown_references(
+        rows.filter(F.col("shape_id") != ""),
+        [("shape_id", feed.shapes, "shape_id", "unknown_shape", "the shape does not exist")],
+        trip,
     )
     return _union(
         [
+            unknown,
+            unknown_shape,
             _per_record(
-                checked,
+                rows,
                 [
                     (
                         _blank("trip_id", "route_id", "service_id"),
@@ -435,18 +443,6 @@ def trip_issues(feed: Feed) -> DataFrame:
                         F.col("direction_id") > 1,
                         _issue("invalid_direction_id", trip, "direction above 1"),
                     ),
-                    (
-                        F.col("unknown_route_id"),
-                        _issue("unknown_route", trip, "the route does not exist"),
-                    ),
-                    (
-                        F.col("unknown_service_id"),
-                        _issue("unknown_service", trip, "the service does not exist"),
-                    ),
-                    (
-                        F.col("unknown_shape_id") & (F.col("shape_id") != ""),
-                        _issue("unknown_shape", trip, "the shape does not exist"),
-                    ),
                 ],
             ),
             _as_issues(
@@ -567,14 +563,19 @@ STOP_TIME_ENUMS = {"pickup_type": 3, "drop_off_type": 3, "timepoint": 1}
 def stop_time_issues(feed: Feed) -> DataFrame:
     rows = feed.stop_times
     record = F.concat_ws(":", "trip_id", F.col("stop_sequence").cast("string"))
-    checked = _flag_unknown(
+    unknown = _unknown_references(
         rows,
-        [("trip_id", feed.trips, "trip_id"), ("stop_id", feed.stops, "stop_id")],
+        [
+            ("trip_id", feed.trips, "trip_id", "unknown_trip", "the trip does not exist"),
+            ("stop_id", feed.stops, "stop_id", "unknown_stop", "the stop does not exist"),
+        ],
+        record,
     )
     return _union(
         [
+            unknown,
             _per_record(
-                checked,
+                rows,
                 [
                     (
                         _blank("trip_id", "stop_id"),
@@ -589,14 +590,6 @@ def stop_time_issues(feed: Feed) -> DataFrame:
                         )
                         for field, maximum in STOP_TIME_ENUMS.items()
                     ),
-                    (
-                        F.col("unknown_trip_id"),
-                        _issue("unknown_trip", record, "the trip does not exist"),
-                    ),
-                    (
-                        F.col("unknown_stop_id"),
-                        _issue("unknown_stop", record, "the stop does not exist"),
-                    ),
                 ],
             ),
             _as_issues(

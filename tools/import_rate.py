@@ -29,20 +29,8 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.drop("row_no")
 
 
-def main() -> None:
-    copies = int(os.environ.get("COPIES", "10"))
-    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "32")
-        .config("spark.driver.memory", "14g")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+def import_rate(spark: SparkSession, sf_dir: str, copies: int) -> tuple[float, int]:
+    """Seconds that the import takes, and its stop times."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     feed = bench_feed(spark, sf_dir)
     again = F.explode(F.sequence(F.lit(1), F.lit(copies)))
@@ -64,19 +52,28 @@ def main() -> None:
         else:
             rows = rows.coalesce(1)
         rows.write.option("header", True).option("emptyValue", "").csv(f"{folder}/feed/{name}.txt")
-    size = sum(
-        os.path.getsize(os.path.join(base, file))
-        for base, _, files in os.walk(f"{folder}/feed")
-        for file in files
-        if file.endswith(".csv")
-    )
-    print("feed written:", size // 1_000_000, "MB", flush=True)
     store = VersionStore(spark, f"{folder}/store")
     started = time.time()
     counts = {row.table_name: row.n for row in import_feed(spark, f"{folder}/feed", store, "v1").collect()}
-    took = time.time() - started
-    print(counts)
-    print(f"import {took:.1f} s, {counts['stop_times'] / took:.0f} stop times per second")
+    return time.time() - started, counts["stop_times"]
+
+
+def main() -> None:
+    copies = int(os.environ.get("COPIES", "10"))
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "32")
+        .config("spark.driver.memory", "14g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    took, calls = import_rate(spark, sf_dir, copies)
+    print(f"import of {calls} stop times {took:.1f} s, {calls / took:.0f} a second")
 
 
 if __name__ == "__main__":
