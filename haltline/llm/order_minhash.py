@@ -10,8 +10,9 @@ Similarity is measured by aligning the two element sequences within a band aroun
 aligned elements of m and n, it is L / (m + n - L). The band is as wide as 0.8 allows insertions to shift.
 
 Exact copies are collapsed first. A bucket of up to `SMALL` texts is compared pair by pair. In a larger one
-every text is compared with a leader, and those that do not match it go on to the next round with a new
-leader, until small buckets are left. Texts on keys of even and odd number get different leaders.
+every text is compared with a leader. Those that do not match it are dealt anew by this key together with
+each of their other keys: texts that a common passage brought together part, similar ones share another key
+with probability 0.99. Leaders go on, until the pairs left are few. Even and odd keys have different leaders.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Sketches of a key and keys of a signature.
 ROWS, KEYS = 3, 16
-#: Texts of a bucket that are compared pair by pair, and pairs that end the rounds at once, for each text.
-SMALL, PAIRS_PER_TEXT = 8, 4
+#: Texts of a bucket that are compared pair by pair in any case.
+SMALL = 8
+#: The rounds end with all pairs when no bucket holds more texts, and there are no more pairs for each text.
+CROWD, PAIRS_PER_TEXT = 256, 24
 #: Two texts of similarity 0.8 agree on 31 of 48 sketches on average; on fewer than this, practically never.
 LEAST_AGREEING = 16
 
@@ -241,12 +244,33 @@ def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
             columns = [pa.array(node), pa.array(number), pa.array(key)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "number", "key"])
 
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, KEYS)
+            number, key = (batch.column(c).to_numpy() for c in ("number", "key"))
+            for other in range(KEYS):
+                rows = np.flatnonzero(number != other)
+                both = mixed(key[rows].view(np.uint64) * STEP + keys[rows, other])
+                picked = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        picked.column("node"),
+                        pa.array(number[rows] * KEYS + other + KEYS, pa.int32()),
+                        pa.array(both.view(np.int64)),
+                    ],
+                    ["node", "number", "key"],
+                )
+
+    def crowded(keyed: DataFrame) -> DataFrame:
+        shared = keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return keep_table(
+            keyed.join(shared, by_key).join(signed.select("node", "sketch"), "node")
+        )
+
     by_key = ["number", "key"]
-    keyed = signed.select("node", "keys").mapInArrow(keys, "node long, number int, key long")
-    crowded = keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    waiting = keep_table(
-        keyed.join(crowded, by_key).join(signed.select("node", "sketch"), "node")
-    )
+    kind = "node long, number int, key long"
+    keyed = signed.select("node", "keys").mapInArrow(keys, kind)
+    waiting = crowded(keyed)
     sequences = keep_table(_sequences(texts, signed, waiting))
     budget = PAIRS_PER_TEXT * signed.count() + 1000
     found: list[DataFrame] = []
@@ -259,7 +283,7 @@ def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
         total = buckets.agg(F.sum(F.expr("n * (n - 1) / 2")), F.max("n")).first()
         if total[0] is None:
             break
-        last = total[0] <= budget or total[1] <= SMALL
+        last = total[1] <= SMALL or total[0] <= budget and total[1] <= CROWD
         members = waiting if last else waiting.join(
             buckets.where(F.col("n") <= SMALL).select(*by_key), by_key
         )
@@ -298,7 +322,10 @@ def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
             F.least("node", "leader.node") == F.col("low"),
             F.greatest("node", "leader.node") == F.col("high"),
         ]
-        waiting = keep_table(led.join(matched, met, "left_anti").drop("leader"))
+        waiting = led.join(matched, met, "left_anti").select("node", *by_key)
+        if len(found) == 1:
+            waiting = waiting.join(signed.select("node", "keys"), "node").mapInArrow(finer, kind)
+        waiting = crowded(waiting)
     if not found:
         return texts.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, found).distinct()
