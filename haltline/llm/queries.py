@@ -90,8 +90,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_order_minhash": op6_order_minhash,
-    "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_tree_search": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v

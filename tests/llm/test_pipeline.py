@@ -90,3 +90,5 @@ def test_all_eleven_queries_are_registered():
     for number in range(1, 11):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
+    sql = __spark_entry__.oracle_sql()
+    assert sql.keys() <= names.keys() and all(isinstance(text, str) for text in sql.values())
