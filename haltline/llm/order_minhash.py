@@ -383,8 +383,8 @@ def _similar(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
         )
 
     return (
-        pairs.mapInArrow(agree, "a long, b long")
-        .distinct()
+        pairs.dropDuplicates(["a", "b"])
+        .mapInArrow(agree, "a long, b long")
         .join(side("a"), "a")
         .join(side("b"), "b")
         .mapInArrow(align, "a long, b long")
