@@ -9,17 +9,17 @@ texts of similarity 0.8 share a key with probability 0.99, of 0.85 with 0.9995.
 Similarity is measured by aligning the two element sequences within a band around the diagonal: with L
 aligned elements of m and n, it is L / (m + n - L). The band is as wide as 0.8 allows insertions to shift.
 
-Exact copies are collapsed first. A bucket of up to `SMALL` texts is compared pair by pair. In a larger one
-every text is compared with a leader. Those that do not match it are dealt anew by this key together with
-each of their other keys: texts that a common passage brought together part, similar ones share another key
-with probability 0.99. Leaders go on, until the pairs left are few. Even and odd keys have different leaders.
+Exact copies are collapsed first. All texts that share a key are compared, at every size of bucket: a bucket is
+dealt into blocks by node, and a task compares two blocks. It leaves a pair to the first key that the two texts
+share, so that each pair is aligned and counted once. What tasks hand on grows with their texts, not with pairs:
+each text's partners as one list, then its number of links and one text that it is connected with.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,12 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Sketches of a key and keys of a signature.
 ROWS, KEYS = 3, 16
-#: Texts of a bucket that are compared pair by pair in any case.
-SMALL = 8
-#: The rounds end with all pairs when no bucket holds more texts, and there are no more pairs for each text.
-CROWD, PAIRS_PER_TEXT = 256, 24
+#: Texts of a block; a task holds two blocks of a bucket.
+BLOCK = 256
+#: Pairs whose keys and sketches are compared at once.
+PAIRS = 1 << 16
+#: What names a task: a bucket and two of its blocks.
+TASK = ["number", "key", "low", "high"]
 #: Two texts of similarity 0.8 agree on 31 of 48 sketches on average; on fewer than this, practically never.
 LEAST_AGREEING = 16
 
@@ -184,11 +186,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         .agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.xxhash64("digest"))
     )
-    links = _links(texts, signed)
-    labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    counted = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    )
+    links = keep_table(_links(texts, signed))
+    labels = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    counted = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     # Copies are counted before they meet their class, so a hot text is one row.
     sizes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     nodes = (
@@ -234,7 +234,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of texts that share a key and are similar."""
+    """(node, root, n): `n` links of a text to texts that share a key with it, `root` the least text that these
+    links connect it with, each for a part of its links; every link is counted in one part."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,96 +245,137 @@ def _links(texts: DataFrame, signed: DataFrame) -> DataFrame:
             columns = [pa.array(node), pa.array(number), pa.array(key)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "number", "key"])
 
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, KEYS)
-            number, key = (batch.column(c).to_numpy() for c in ("number", "key"))
-            # Two texts that share both keys wait under either, so one order of the two is enough.
-            for other in range(1, KEYS):
-                rows = np.flatnonzero(number < other)
-                both = mixed(key[rows].view(np.uint64) * STEP + keys[rows, other])
-                picked = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        picked.column("node"),
-                        pa.array(number[rows] * KEYS + other + KEYS, pa.int32()),
-                        pa.array(both.view(np.int64)),
-                    ],
-                    ["node", "number", "key"],
-                )
-
-    def crowded(keyed: DataFrame) -> DataFrame:
-        shared = keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return keep_table(
-            keyed.join(shared, by_key).join(signed.select("node", "sketch"), "node")
-        )
-
     by_key = ["number", "key"]
-    kind = "node long, number int, key long"
-    keyed = signed.select("node", "keys").mapInArrow(keys, kind)
-    waiting = crowded(keyed)
-    sequences = keep_table(_sequences(texts, signed, waiting))
-    budget = PAIRS_PER_TEXT * signed.count() + 1000
-    found: list[DataFrame] = []
-    while True:
-        buckets = waiting.groupBy(*by_key).agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("node", "sketch")).alias("low"),
-            F.max(F.struct("node", "sketch")).alias("high"),
+    keyed = signed.select("node", "keys").mapInArrow(keys, "node long, number int, key long")
+    shared = keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = (
+        keyed.join(shared, by_key)
+        .select("node", *by_key, blocks.alias("blocks"), F.pmod("node", blocks).alias("block"))
+        .join(signed.select("node", "keys", "sketch"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            *by_key,
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            (F.col("block") > F.col("other")).alias("second"),
+            "node",
+            "keys",
+            "sketch",
         )
-        total = buckets.agg(F.sum(F.expr("n * (n - 1) / 2")), F.max("n")).first()
-        if total[0] is None:
-            break
-        last = total[1] <= SMALL or total[0] <= budget and total[1] <= CROWD
-        members = waiting if last else waiting.join(
-            buckets.where(F.col("n") <= SMALL).select(*by_key), by_key
+    )
+    kind = "number int, key long, low long, high long, node long"
+    candidates = keep_table(
+        members.repartition(*TASK)
+        .sortWithinPartitions(*TASK, "second")
+        .mapInArrow(_candidates, f"{kind}, partners array<long>")
+    )
+    return (
+        candidates.join(_sequences(texts, signed, candidates), "node")
+        .repartition(*TASK)
+        .sortWithinPartitions(*TASK)
+        .mapInArrow(_aligned, "node long, root long, n long")
+    )
+
+
+def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The sorted rows again, all of one bucket's two blocks together, and where each such part starts."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if not sum(map(len, held)):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(table.num_rows - 1, dtype=bool)
+        for name in TASK:
+            column = table.column(name).to_numpy()
+            new |= column[1:] != column[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+        if batch is None:
+            yield table, np.append(starts, table.num_rows)
+        else:
+            last = int(starts[-1])
+            if last:
+                yield table.slice(0, last), starts
+            held = table.slice(last).to_batches()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text that may be similar to others of its task, with those of them that stand behind it."""
+    for table, starts in _whole_tasks(batches):
+        number, low, high, second, node = (
+            table.column(name).to_numpy() for name in ("number", "low", "high", "second", "node")
         )
-        x, y = members.alias("x"), members.alias("y")
-        same = [F.col(f"x.{name}") == F.col(f"y.{name}") for name in by_key]
-        pairs = x.join(y, [*same, F.col("x.node") < F.col("y.node")]).select(
-            F.col("x.node").alias("a"),
-            F.col("y.node").alias("b"),
-            F.col("x.sketch").alias("sketch_a"),
-            F.col("y.sketch").alias("sketch_b"),
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(-1, KEYS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8)
+        sketch = sketch.reshape(-1, ROWS * KEYS)
+        # A row meets those behind it in one block, or those of the second block.
+        rows, sizes = np.arange(len(node)), np.diff(starts)
+        end = np.repeat(starts[1:], sizes)
+        middle = end - np.repeat(np.add.reduceat(second.astype(np.int64), starts[:-1]), sizes)
+        begin = np.where(low == high, rows + 1, np.where(second, end, middle))
+        counts = end - begin
+        ends = np.cumsum(counts)
+        left, right = [], []
+        start = 0
+        while start < len(rows):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+            count = counts[start:stop]
+            x = np.repeat(rows[start:stop], count)
+            y = np.arange(len(x)) + np.repeat(begin[start:stop] - np.cumsum(count) + count, count)
+            near = (sketch[x] == sketch[y]).sum(axis=1) >= LEAST_AGREEING
+            x, y = x[near], y[near]
+            own = (keys[x] == keys[y]).argmax(axis=1) == number[x]
+            left.append(x[own])
+            right.append(y[own])
+            start = stop
+        x, y = np.concatenate(left), np.concatenate(right)
+        some = np.unique(np.concatenate((x, y)))
+        lists = pa.LargeListArray.from_arrays(
+            np.searchsorted(x, np.append(some, len(rows))), pa.array(node[y])
+        ).cast(pa.list_(pa.int64()))
+        picked = table.select([*TASK, "node"]).take(pa.array(some)).append_column("partners", lists)
+        yield from picked.to_batches()
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with links inside its task: their number, and the least text they connect it with."""
+    for table, starts in _whole_tasks(batches):
+        node, partners = (table.column(name).to_pylist() for name in ("node", "partners"))
+        sequence = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("sequence")]
+        label, n_links = list(range(len(node))), [0] * len(node)
+
+        def root(one: int, label: list[int] = label) -> int:
+            while label[one] != one:
+                label[one] = one = label[label[one]]
+            return one
+
+        for begin, end in pairwise(starts.tolist()):
+            place = {node[row]: row for row in range(begin, end)}
+            for x in range(begin, end):
+                for partner in partners[x]:
+                    y = place[partner]
+                    if aligned_similarity(sequence[x], sequence[y]) > 0:
+                        n_links[x] += 1
+                        n_links[y] += 1
+                        one, two = root(x), root(y)
+                        if node[two] < node[one]:
+                            one, two = two, one
+                        label[two] = one
+        linked = [row for row, n in enumerate(n_links) if n]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([node[row] for row in linked], pa.int64()),
+                pa.array([node[root(row)] for row in linked], pa.int64()),
+                pa.array([n_links[row] for row in linked], pa.int64()),
+            ],
+            ["node", "root", "n"],
         )
-        if not last:
-            even = F.col("number") % 2 == 0
-            led = keep_table(
-                waiting.join(
-                    buckets.where(F.col("n") > SMALL).select(
-                        *by_key, F.when(even, F.col("low")).otherwise(F.col("high")).alias("leader")
-                    ),
-                    by_key,
-                ).where("node <> leader.node")
-            )
-            pairs = pairs.unionByName(
-                led.select(
-                    F.least("node", "leader.node").alias("a"),
-                    F.greatest("node", "leader.node").alias("b"),
-                    F.col("sketch").alias("sketch_a"),
-                    F.col("leader.sketch").alias("sketch_b"),
-                )
-            )
-        similar = keep_table(_similar(pairs, sequences))
-        found.append(similar)
-        if last:
-            break
-        matched = similar.select(F.col("a").alias("low"), F.col("b").alias("high"))
-        met = [
-            F.least("node", "leader.node") == F.col("low"),
-            F.greatest("node", "leader.node") == F.col("high"),
-        ]
-        waiting = led.join(matched, met, "left_anti").select("node", *by_key)
-        if len(found) == 1:
-            waiting = waiting.join(signed.select("node", "keys"), "node").mapInArrow(finer, kind)
-        waiting = crowded(waiting)
-    if not found:
-        return texts.sparkSession.createDataFrame([], "a long, b long")
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _sequences(texts: DataFrame, signed: DataFrame, waiting: DataFrame) -> DataFrame:
-    """(node, sequence): the elements, in 32 bits each, of every text that shares a key with another."""
+
+
+def _sequences(texts: DataFrame, signed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, sequence): the elements, in 32 bits each, of every text that may be similar to another."""
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
@@ -344,7 +386,7 @@ def _sequences(texts: DataFrame, signed: DataFrame, waiting: DataFrame) -> DataF
                 [block.column("node"), pa.array(lists, pa.binary())], ["node", "sequence"]
             )
 
-    wanted = signed.select("node", "digest").join(waiting.select("node"), "node", "left_semi")
+    wanted = signed.select("node", "digest").join(candidates.select("node"), "node", "left_semi")
     # One row of each text: its copies are dropped inside every task, before the shuffle.
     by_digest = Window.partitionBy("digest").orderBy("doc_id")
     return (
@@ -354,38 +396,3 @@ def _sequences(texts: DataFrame, signed: DataFrame, waiting: DataFrame) -> DataF
         .select("node", "text")
         .mapInArrow(sequences, "node long, sequence binary")
     )
-
-
-def _similar(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Distinct pairs whose sketches mostly agree and whose element sequences align."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, ROWS * KEYS)
-                for name in ("sketch_a", "sketch_b")
-            ]
-            near = (sides[0] == sides[1]).sum(axis=1) >= LEAST_AGREEING
-            yield batch.filter(pa.array(near)).select(["a", "b"])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                aligned_similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32))
-                > 0
-                for x, y in zip(batch.column("sequence_a"), batch.column("sequence_b"), strict=True)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    def side(letter: str) -> DataFrame:
-        return sequences.select(
-            F.col("node").alias(letter), F.col("sequence").alias(f"sequence_{letter}")
-        )
-
-    return (
-        pairs.dropDuplicates(["a", "b"])
-        .mapInArrow(agree, "a long, b long")
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .mapInArrow(align, "a long, b long")
-    )

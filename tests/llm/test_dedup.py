@@ -11,10 +11,13 @@ import pytest
 from haltline.llm.gear_chunks import chunk_bounds, drop_repeated
 from haltline.llm.induced_sort import suffix_order
 from haltline.llm.order_minhash import (
+    KEYS,
+    ROWS,
     aligned_similarity,
     elements,
     near_duplicates,
     one_of_each,
+    signatures,
 )
 from haltline.llm.sa_dedup import removal_digests, without_repeats
 from haltline.llm.words import word_hashes
@@ -121,6 +124,38 @@ def test_classes_are_components_of_similar_texts(documents, near):
     assert near_duplicates(documents([]).limit(0)).count() == 0
 
 
+def test_crowded_buckets_lose_no_link(documents):
+    rng = random.Random(21)
+    base, rows = prose(22, 300).split(), []
+    for n in range(600):  # near copies of one text, of which two need not be similar
+        words = list(base)
+        for _ in range(n % 6):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(999)}"
+        rows.append((n, " ".join(words)))
+    texts = list(dict.fromkeys(text for _, text in rows))
+    items, starts = elements(*word_hashes(pa.array(texts)))
+    parts = [items[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    sketches = signatures(items, starts).reshape(len(texts), KEYS, ROWS)
+    links, met, crowd = Counter(), Counter(), 0
+    label = np.arange(len(texts))
+    for x in range(len(texts)):
+        same = (sketches == sketches[x]).all(axis=2)
+        crowd = max(crowd, int(same.sum(axis=0).max()))
+        for y in np.flatnonzero(same[:x].any(axis=1)).tolist():
+            if aligned_similarity(parts[x], parts[y]) > 0:
+                links.update((x, y))
+                met[int(same[y].sum())] += 1
+                label[label == label[x]] = label[y]
+    assert crowd > 256 and met[1] > 0 and met[2] > 0
+    of_text = {text: n for n, text in enumerate(texts)}
+    own = [int(label[of_text[text]]) for _, text in rows]
+    sizes, least = Counter(own), {}
+    for (i, _), one in zip(rows, own, strict=True):
+        least.setdefault(one, i)
+    want = [(i, least[o], sizes[o], links[of_text[t]]) for (i, t), o in zip(rows, own, strict=True)]
+    assert sorted(tuple(r) for r in near_duplicates(documents(rows)).collect()) == want
+
+
 def test_one_of_each_class_stays(documents, near):
     docs = documents([*near, near[0]])
     kept = one_of_each(docs)
