@@ -9,8 +9,8 @@ within an edit distance of `max_share` of the item's words. The way there:
    bit for this step says whether to advance. Two sequences at edit distance k read by the same walk come
    together again after about k ** 2 steps, so their outputs have a small Hamming distance.
 3. Bit sampling. Each of `repeats` walks samples a few positions of the output as a key; a window is a
-   candidate if any of its keys is that of the item it was placed for. `repeats` is set so that leaks at the
-   largest distance reach the recall.
+   candidate if any of its keys is that of the item it was placed for, or if the text's start or end cuts it
+   short. `repeats` is set so that leaks at the largest distance reach the recall.
 4. Candidates are verified by their exact edit distance to the best part of the text around the window.
 
 Items are broadcast in slices of bounded size; more items mean more passes over the texts.
@@ -62,16 +62,22 @@ def seed_keys(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def cgk_samples(
-    words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repeat: int, sampled: int
+    words: np.ndarray,
+    starts: np.ndarray,
+    sizes: np.ndarray,
+    full: np.ndarray,
+    repeat: int,
+    sampled: int,
 ) -> np.ndarray:
     """One key for each sequence `words[start : start + size]`, from walk number `repeat`.
 
     A step's random bit depends on the walk, the step and the word; so do not the sampled steps, which are
-    the same share of the size for all sequences. A walk past the end reads an end mark.
+    the same share of `full` for all sequences: the size of the item, also where the text ends before the
+    window does. A walk past the end reads an end mark.
     """
     random = np.random.default_rng(1000 + repeat)
     shares = np.sort(random.random(sampled)) * STEPS_SHARE
-    steps = np.minimum((shares[:, None] * sizes).astype(np.int64), sizes - 1)
+    steps = np.minimum((shares[:, None] * full).astype(np.int64), full - 1)
     place = np.zeros(len(starts), dtype=np.int64)
     key = np.full(len(starts), repeat, dtype=np.uint64)
     seed = np.uint64(random.integers(0, 2**63))
@@ -117,17 +123,21 @@ class ItemIndex:
         return self.words[self.starts[item] : self.starts[item] + self.sizes[item]]
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, window start): windows that share a key with the item they are placed for."""
+        """(text, item, window start): windows that share a key with the item they are placed for, or are cut short."""
         text, item, start = self._windows(words, offsets)
         if not len(text):
             return set()
         first, last = offsets[text], offsets[text + 1]
         begin = np.clip(first + start, first, last - 1)
         size = np.minimum(self.sizes[item], last - begin)
-        meets = np.zeros(len(text), dtype=bool)
+        # A window that the text's start or end cuts short lacks words of the item on one side, so that the walks
+        # need not meet again before their end. Such windows are few: all are verified.
+        meets = (size < self.sizes[item]) | (start < 0)
         for repeat, keys in enumerate(self.keys):
             left = np.flatnonzero(~meets)
-            own = cgk_samples(words, begin[left], size[left], repeat, self.sampled)
+            own = cgk_samples(
+                words, begin[left], size[left], self.sizes[item[left]], repeat, self.sampled
+            )
             meets[left] = own == keys[item[left]]
         place = begin - first
         return set(zip(text[meets].tolist(), item[meets].tolist(), place[meets].tolist(), strict=True))
@@ -163,7 +173,12 @@ class ItemIndex:
         if len(text):
             fits &= (text[ahead] == text) & (item[ahead] == item)
             fits &= diagonal[ahead] - diagonal <= 2 * distance
-        text, item, start = text[fits], item[fits], diagonal[fits]
+        # Missing words move what follows to lower diagonals, so the item may begin on any diagonal of such a run.
+        run = np.zeros(len(text) + 1, dtype=np.int64)
+        np.add.at(run, np.flatnonzero(fits), 1)
+        np.add.at(run, ahead[fits] + 1, -1)
+        own = np.cumsum(run[:-1]) > 0
+        text, item, start = text[own], item[own], diagonal[own]
         if len(text):
             _, once = np.unique(np.stack([text, item, start]), axis=1, return_index=True)
             text, item, start = text[once], item[once], start[once]
@@ -207,7 +222,7 @@ def index_items(
         seeds[width] = (flat[order], owner[order], places[order])
     keys = []
     for repeat in range(repeats):
-        keys.append(cgk_samples(words, offsets[:-1], sizes, repeat, sampled))
+        keys.append(cgk_samples(words, offsets[:-1], sizes, sizes, repeat, sampled))
     return ItemIndex(
         np.array(ids, dtype=np.int64), words, offsets[:-1], sizes, distances, widths, seeds, keys, sampled
     )

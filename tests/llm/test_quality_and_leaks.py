@@ -108,6 +108,29 @@ def test_recall_of_candidates_at_the_largest_distance():
     assert np.mean([pair in found for pair in wanted]) >= 0.99
 
 
+@pytest.mark.parametrize("kind", ["deleted", "cut off", "begun late", "edited"])
+@pytest.mark.parametrize(("before", "after"), [(0, 0), (30, 0), (30, 40)])
+def test_recall_of_candidates_at_the_ends_of_texts(kind, before, after):
+    rng = random.Random(4)
+    index = index_items([i for i, _ in ITEMS], [text for _, text in ITEMS], MAX_SHARE, REPEATS, SAMPLED)
+    wanted, texts = [], []
+    for n in range(400):
+        i, text = rng.choice(ITEMS)
+        words = text.split()
+        k = largest_distance(len(words), MAX_SHARE)
+        if kind == "deleted":
+            gone = set(rng.sample(range(len(words)), k))
+            words = [word for place, word in enumerate(words) if place not in gone]
+        elif kind == "edited":
+            words = edited(rng, text, k).split()
+        else:
+            words = words[: len(words) - k] if kind == "cut off" else words[k:]
+        texts.append(f"{prose(7000 + n, before)} {' '.join(words)} {prose(3000 + n, after)}")
+        wanted.append((n, i))
+    found = {(text, item) for text, item, _ in index.candidates(*word_hashes(pa.array(texts)))}
+    assert np.mean([pair in found for pair in wanted]) >= 0.99
+
+
 def brute_leaks(rows, items):
     found = []
     for i, text in rows:
