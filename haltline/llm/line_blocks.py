@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block element. A line that belongs to a menu, header, footer,
 side column, notice, advert, form or to reader comments counts as empty. Text lengths are summed over
 windows of a few lines; where the sum surges from nothing and where it dives back bound a region of text.
-All lines between are kept, short ones too. Regions outside the page's article element, if it has one,
-or that hold little text beside the largest region, are dropped.
+All lines between are kept, short ones too. Regions outside the page's article element, if it has one, are
+dropped. On other pages the element around the largest region keeps all its lines, whatever stands between
+them; regions elsewhere that hold little text beside the largest one are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from haltline.llm.blocks import text_blocks, whole_text
 
 #: Lines of one block; so many empty lines in a row end a region.
 WINDOW = 3
-#: A page without an article keeps regions with this share of its largest region's text.
+#: A page without an article keeps regions outside its main element with this share of its largest region's text.
 SHARE = 0.25
 
 # Fixed values of the HTML standard.
@@ -45,11 +46,16 @@ NAMES = frozenset(
     "notices gdpr comment comments disqus respond share sharing social related newsletter subscribe popup "
     "modal overlay widget login signup toolbar pagination pager skip".split()
 )
+# Beside one of the names these say what a wrapper has, lacks or shows: it is not that part itself.
+STATES = frozenset("no has have with without non not free less is open closed enabled disabled layout".split())
+LISTS = frozenset("ul ol dl dir".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
     "toolbar".split()
 )
 KEPT = frozenset(("html", "body", "main", "article"))
+# Around the largest region these are the whole page, not an element that holds its main text.
+PAGE = frozenset(("html", "body"))
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -58,11 +64,12 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z0-9]+")
+_LETTER = re.compile(r"\w")
 
 
 def main_text(page: str) -> str:
     """The article of a page; empty if there is none."""
-    lines, inside = page_lines(page)
+    lines, inside, around = page_lines(page)
     regions = text_regions(np.array([len(line) for line in lines], dtype=np.int64))
     if inside.any():
         regions = [(a, b) for a, b in regions if inside[a:b].any()]
@@ -70,15 +77,31 @@ def main_text(page: str) -> str:
     else:
         sizes = [sum(map(len, lines[a:b])) for a, b in regions]
         least = SHARE * max(sizes, default=0)
+        largest = regions[sizes.index(max(sizes))] if regions else (0, 0)
+        depth = _shared_depth([around[at] for at in range(*largest) if lines[at]])
+        holder = next((around[at] for at in range(*largest) if lines[at]), ())[:depth]
         kept = [
-            line
+            lines[at]
             for (a, b), size in zip(regions, sizes, strict=True)
-            if size >= least
-            for line in lines[a:b]
+            for at in range(a, b)
+            if size >= least or _holds(holder, around[at])
         ]
     return " ".join(line for line in kept if line)
 
 
+def _shared_depth(paths: list[tuple[tuple[str, int], ...]]) -> int:
+    """How many elements, from the page's root on, are around all lines."""
+    low, high = min(paths, default=()), max(paths, default=())
+    return next((n for n, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+
+def _holds(holder: tuple[tuple[str, int], ...], path: tuple[tuple[str, int], ...]) -> bool:
+    """Whether a line stands in the holder; if that is the whole page, right in it."""
+    if not holder or holder[-1][0] in PAGE:
+        return path == holder
+    return path[: len(holder)] == holder
+
+
 def text_regions(sizes: np.ndarray) -> list[tuple[int, int]]:
     """Where sums over `WINDOW` lines surge from 0 and dive to 0, as ranges of lines."""
     if not sizes.any():
@@ -90,32 +113,58 @@ def text_regions(sizes: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - WINDOW + 1) for a, b in zip(surges, dives, strict=True)]
 
 
-def page_lines(page: str) -> tuple[list[str], np.ndarray]:
-    """Text lines in page order, dropped parts outside articles as `WINDOW` empty lines; and which lines
-    stand inside an article or main element."""
+def page_lines(page: str) -> tuple[list[str], np.ndarray, list[tuple[tuple[str, int], ...]]]:
+    """Text lines in page order, dropped parts outside articles as `WINDOW` empty lines; which lines stand
+    inside an article or main element; and the elements around each line's own block, from the root on."""
     lines: list[str] = []
+    around: list[tuple[tuple[str, int], ...]] = []
+    linking: list[bool] = []  # lines of which half or more is link text
+    menus: list[bool] = []  # those of them that are a menu wherever they stand
     inside: list[bool] = []
     parts: list[str] = []
-    linked: list[int] = [0]
+    linked: list[str] = []
+    plain: list[str] = []
+    n_links = 0
     stack: list[str] = []
+    numbers: list[int] = []  # of the open elements
+    holding: set[int] = set()  # elements with a block in them
+    opened = 0
     hidden: int | None = None  # depth of the element that hides what follows
     place, end = 0, len(page)
 
     def flush() -> None:
+        nonlocal n_links
         text = " ".join(html.unescape("".join(parts)).split())
         within = "article" in stack or "main" in stack
         if text:
-            # Outside an article, a line of links is a menu.
-            menu = not within and 2 * linked[0] >= len("".join(parts).strip())
-            lines.append("" if menu else text)
+            # Outside an article, links in a list, or one after the other, are a menu.
+            own = not within and 2 * sum(map(len, linked)) >= len("".join(parts).strip())
+            bare = n_links > 1 and not _LETTER.search(html.unescape("".join(plain)))
+            lines.append(text)
             inside.append(within)
+            linking.append(own)
+            menus.append(own and (bare or not LISTS.isdisjoint(stack)))
+            blocks = [
+                (name, number)
+                for name, number in zip(stack, numbers, strict=True)
+                if name not in INLINE
+            ]
+            # A block that holds no other one is the line itself.
+            if blocks and blocks[-1][0] not in PAGE and blocks[-1][1] not in holding:
+                blocks.pop()
+            around.append(tuple(blocks))
         parts.clear()
-        linked[0] = 0
+        linked.clear()
+        plain.clear()
+        n_links = 0
 
     def gap() -> None:
         if not ("article" in stack or "main" in stack):
             lines.extend([""] * WINDOW)
             inside.extend([False] * WINDOW)
+            linking.extend([False] * WINDOW)
+            menus.extend([False] * WINDOW)
+            around.extend([()] * WINDOW)
 
     def close_to(depth: int) -> None:
         nonlocal hidden
@@ -123,6 +172,7 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray]:
             flush()
         leaving = any(name in ("article", "main") for name in stack[depth:])
         del stack[depth:]
+        del numbers[depth:]
         if hidden is not None and len(stack) <= hidden:
             hidden = None
             gap()
@@ -132,8 +182,7 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray]:
     def text(piece: str) -> None:
         if hidden is None and piece:
             parts.append(piece)
-            if "a" in stack:
-                linked[0] += len(piece.strip())
+            (linked if "a" in stack else plain).append(piece.strip())
 
     while place < end:
         found = _MARKUP.search(page, place)
@@ -170,10 +219,19 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray]:
             if name in INLINE:
                 parts.append(" ")
             hidden = len(stack)
+        if name == "a" and hidden is None:
+            n_links += 1
+        if name not in INLINE and numbers:
+            holding.add(numbers[-1])
+        opened += 1
         stack.append(name)
+        numbers.append(opened)
     if hidden is None:
         flush()
-    return lines, np.array(inside, dtype=bool)
+    for at, own in enumerate(linking):
+        if own and (menus[at] or at and linking[at - 1] or at + 1 < len(linking) and linking[at + 1]):
+            lines[at] = ""
+    return lines, np.array(inside, dtype=bool), around
 
 
 def _imply_ends(name: str, stack: list[str], close_to) -> None:
@@ -197,9 +255,9 @@ def _is_dropped(name: str, rest: str) -> bool:
     values = {
         key.lower(): (a or b or c).lower() for key, a, b, c in _ATTRIBUTE.findall(rest)
     }
-    named = _WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")
+    tokens = f"{values.get('class', '')} {values.get('id', '')}".split()
     return (
-        not NAMES.isdisjoint(named)
+        any(map(_is_named, tokens))
         or values.get("role") in ROLES
         or values.get("aria-hidden") == "true"
         or "display:none" in values.get("style", "").replace(" ", "")
@@ -207,6 +265,12 @@ def _is_dropped(name: str, rest: str) -> bool:
     )
 
 
+def _is_named(token: str) -> bool:
+    """Whether a class or id begins or ends with one of the names, and not with what it has or lacks."""
+    words = _WORD.findall(token)
+    return bool(words) and not NAMES.isdisjoint((words[0], words[-1])) and STATES.isdisjoint(words)
+
+
 def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:

@@ -36,6 +36,32 @@ def test_article_of_a_page(name):
     assert main_text(html or "") == want
 
 
+LONG = ("text " * 200).strip()
+WHOLE = {
+    "advert inside": (
+        f"<body><div id=content><p>{LONG}</p><div class=ad>Buy</div><p>Short last.</p></div><div>tiny</div></body>",
+        f"{LONG} Short last.",
+    ),
+    "advert in the body": (f"<body><p>{LONG}<div class=ad>Buy</div><p>Short last.</body>", f"{LONG} Short last."),
+    "a link as paragraph": (
+        f"<div><a href=a>home</a> <a href=b>news</a></div><div><p>{LONG}</p><p><a href=x>The whole report</a></p>"
+        "<p>End.</p></div>",
+        f"{LONG} The whole report End.",
+    ),
+    "states of a wrapper": (
+        f"<div class='content has-sidebar'><div class='post no-comments' id=ad-free><p>{LONG}</p></div></div>"
+        "<div class='site-footer'>us</div><div id=main-nav>go</div><div class=ad-slot>Buy</div>",
+        LONG,
+    ),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_part_of_the_main_text_goes(name):
+    html, want = WHOLE[name]
+    assert main_text(html) == want
+
+
 def test_long_page():
     body = "<p>é word</p>" * 40_000
     assert main_text(f"<article>{body}</article><footer>f") == " ".join(["é word"] * 40_000)
