@@ -200,6 +200,8 @@ class _Expressions:
         elif token == "(":
             one = self.expression()
             self.take(")")
+        elif token == "-":
+            return Apply("-", [Const(0), self.value()])
         else:
             raise TemplateError(f"{token!r} is no value")
         while self.peek() in (".", "[", "|"):
@@ -232,6 +234,8 @@ def parse(source: str) -> list:
     place, strip = 0, False
 
     def text(piece: str) -> None:
+        if (mark := re.search(r"\{[{%#]", piece)) is not None:
+            raise TemplateError(f"{mark[0]} is not closed")
         if piece:
             stack[-1][2].append(Const(piece))
 

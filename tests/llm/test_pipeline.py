@@ -85,9 +85,9 @@ def test_stages_return_the_columns_of_documents(spark, tables):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
-def test_all_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     sql = __spark_entry__.oracle_sql()
