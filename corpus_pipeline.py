@@ -18,6 +18,10 @@ from haltline.session import keep_table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: A passage of 50 words has 200 bytes or more, that of operator 1's own query 400.
+PASSAGE_BYTES = 200
+#: Bytes of the strings that name windows of so many bytes.
+PASSAGE_GRAM = 64
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents and columns, strings of 400 bytes that start elsewhere too cut out of the texts."""
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents and columns, strings of `PASSAGE_BYTES` that start elsewhere too cut out of the texts."""
+    return without_repeats(docs, PASSAGE_BYTES, gram=PASSAGE_GRAM).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,14 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haltline.llm.blocks import flat_bytes, id_and_text, text_blocks
+from haltline.llm.blocks import flat_bytes, id_and_text, ragged_take, text_blocks
 from haltline.llm.chunks import space_chunks
 
 SHAPES, WORDS, STEPS = 1024, 1024, 16
@@ -67,17 +67,15 @@ def features(texts: pa.Array) -> np.ndarray:
             cell = owner[2:][same] * SHAPES + gram[same] % SHAPES
             shapes += np.bincount(cell, minlength=n * SHAPES).reshape(n, SHAPES)
 
-    table = space_chunks(texts)
-    sizes = np.diff(table.offsets)
-    if len(table.codes):
+    vocabulary, codes, ends = _words(texts)
+    sizes = np.diff(ends)
+    if len(codes):
         owner = np.repeat(np.arange(n), sizes)
-        hashed = np.fromiter(
-            (_word_cell(word) for word in table.chunks), np.int64, len(table.chunks)
-        )
-        cell = owner * WORDS + hashed[table.codes]
+        hashed = np.fromiter((crc32(word.encode()) % WORDS for word in vocabulary), np.int64, len(vocabulary))
+        cell = owner * WORDS + hashed[codes]
         words += np.bincount(cell, minlength=n * WORDS).reshape(n, WORDS)
-        pairs = owner * len(table.chunks) + table.codes
-        kinds = np.unique(pairs) // len(table.chunks)
+        pairs = owner * len(vocabulary) + codes
+        kinds = np.unique(pairs) // len(vocabulary)
         distinct = np.bincount(kinds, minlength=n) / np.maximum(sizes, 1)
         again = owner[1:][pairs[1:] == pairs[:-1]]
         repeated = np.bincount(again, minlength=n) / np.maximum(sizes, 1)
@@ -90,11 +88,15 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.hstack([_scaled(np.log1p(shapes)), _scaled(np.log1p(words)), _scaled(steps)])
 
 
-def _word_cell(word: str) -> int:
-    value = 17
-    for byte in word[-12:].encode():
-        value = (value * 257 + byte) & 0x7FFFFFFF
-    return value * 40503 % 1000003 % WORDS
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct whole words between white space of any kind, each text's words, and where those start."""
+    table = space_chunks(texts)
+    lists = [chunk.split() for chunk in table.chunks]
+    known = {word: number for number, word in enumerate(dict.fromkeys(word for one in lists for word in one))}
+    flat = np.array([known[word] for one in lists for word in one], dtype=np.int64)
+    starts = np.concatenate(([0], np.cumsum([len(one) for one in lists], dtype=np.int64)))
+    codes, ends = ragged_take(flat, starts, table.codes)
+    return list(known), codes, ends[table.offsets]
 
 
 def _scaled(rows: np.ndarray) -> np.ndarray:

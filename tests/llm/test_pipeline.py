@@ -18,7 +18,7 @@ from tests.llm.conftest import prose
 from tests.llm.test_dedup import brute_classes
 from tests.llm.test_quality_and_leaks import brute_leaks
 
-LENGTH = 400
+LENGTH = corpus_pipeline.PASSAGE_BYTES
 
 
 @pytest.fixture(scope="module")
