@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,53 +108,91 @@ def archive_digests(archives: DataFrame) -> DataFrame:
     return spread.mapInPandas(digests, "path string, digest string")
 
 
+#: What zipfile raises for bytes that are no readable archive; errors of the file system are not among them.
+_TORN = (zipfile.BadZipFile, NotImplementedError, EOFError, struct.error, ValueError)
+
+
 def archive_manifest(archives: DataFrame) -> DataFrame:
-    """archives(feed_id, path) to (feed_id, path, member, size). Only directories are read."""
+    """archives(feed_id, path) to (feed_id, path, member, size, problem). Only directories are read.
+
+    An archive without a readable directory has one row, with a problem and no member.
+    """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                with _open(row.path) as archive:
-                    entries = [entry for entry in archive.infolist() if not entry.is_dir()]
+                problem, entries = None, []
+                try:
+                    with _open(row.path) as archive:
+                        entries = [entry for entry in archive.infolist() if not entry.is_dir()]
+                except _TORN:
+                    problem = "not_an_archive"
+                found = [(entry.filename, entry.file_size, None) for entry in entries]
                 yield pd.DataFrame(
-                    {
-                        "feed_id": row.feed_id,
-                        "path": row.path,
-                        "member": [entry.filename for entry in entries],
-                        "size": [entry.file_size for entry in entries],
-                    }
-                )
-
-    schema = "feed_id string, path string, member string, size long"
+                    [(row.feed_id, row.path, *one) for one in found or [(None, None, problem)] if found or problem],
+                    columns=["feed_id", "path", "member", "size", "problem"],
+                ).astype({"size": "Int64"})
+
+    schema = "feed_id string, path string, member string, size long, problem string"
     spread = archives.select("feed_id", "path").repartition(F.col("path"))
     return spread.mapInPandas(members, schema)
 
 
-def unpack_feeds(manifest: DataFrame, target: str) -> None:
+#: The folder beside a feed's members that faults are written to; no member is named so, all end in .txt.
+FAULTS = "faults"
+
+
+def unpack_feeds(manifest: DataFrame, target: str) -> DataFrame:
     """Write every listed member as text under `target/feed_id=…/member=…`.
 
     One task per member streams it in blocks of whole lines, so memory does not grow with the file,
     and a lost task only repeats its own member. Bytes stay as they are but for a byte order mark.
+
+    Returns (feed_id, member, problem, offset) of members that could not be read to their end: `not_utf8`,
+    `damaged`, `encrypted` or `unsupported`, and how many bytes were good. No member stops the others.
     """
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                with _open(row["path"]) as archive, archive.open(row["member"]) as member:
-                    rest = member.read(3).removeprefix(b"\xef\xbb\xbf")
-                    while block := member.read(BLOCK_BYTES):
-                        whole, cut, rest = (rest + block).rpartition(b"\n")
-                        if cut:
-                            yield _lines(row, whole)
-                    if rest:
-                        yield _lines(row, rest)
-
-    def _lines(row: dict[str, str], block: bytes) -> pa.RecordBatch:
-        texts = block.decode("utf-8").split("\n")
+                done = 0
+                try:
+                    with _open(row["path"]) as archive:
+                        entry = archive.getinfo(row["member"])
+                        if entry.flag_bits & 1:
+                            yield _fault(row, "encrypted", 0)
+                            continue
+                        with archive.open(entry) as member:
+                            for block, cut in _whole_lines(member):
+                                text = block.decode("utf-8")
+                                text = text if done else text.removeprefix("\ufeff")
+                                yield _rows(row["feed_id"], row["member"], text.split("\n"))
+                                done += len(block) + cut
+                except UnicodeDecodeError as bad:
+                    yield _fault(row, "not_utf8", done + bad.start)
+                except NotImplementedError:
+                    yield _fault(row, "unsupported", done)
+                except (*_TORN, zlib.error):
+                    yield _fault(row, "damaged", done)
+
+    def _whole_lines(member) -> Iterator[tuple[bytes, int]]:
+        """Blocks without their last line break, and how long that is."""
+        rest = b""
+        while block := member.read(BLOCK_BYTES):
+            whole, cut, rest = (rest + block).rpartition(b"\n")
+            if cut:
+                yield whole, 1
+        if rest:
+            yield rest, 0
+
+    def _fault(row: dict[str, str], problem: str, offset: int) -> pa.RecordBatch:
+        return _rows(row["feed_id"], FAULTS, [f"{problem} {offset} {row['member']}"])
+
+    def _rows(feed_id: str, member: str, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([row["feed_id"]] * len(texts), pa.string()),
-                pa.array([row["member"]] * len(texts), pa.string()),
+                pa.array([feed_id] * len(texts), pa.string()),
+                pa.array([member] * len(texts), pa.string()),
                 pa.array(texts, pa.string()),
             ],
             ["feed_id", "member", "value"],
@@ -167,3 +207,15 @@ def unpack_feeds(manifest: DataFrame, target: str) -> None:
         .partitionBy("feed_id", "member")
         .text(target)
     )
+    part = F.split("value", " ", 3)
+    return (
+        manifest.sparkSession.read.schema("value string, feed_id string, member string")
+        .text(target)
+        .filter(F.col("member") == FAULTS)
+        .select(
+            "feed_id",
+            part[2].alias("member"),
+            part[0].alias("problem"),
+            part[1].cast("long").alias("offset"),
+        )
+    )

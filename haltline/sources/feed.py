@@ -133,12 +133,16 @@ def _paths_of(spark: SparkSession, folder: str) -> dict[str, str]:
     }
 
 
+#: About 10 MB of names.
+MOST_BROADCAST_PARTS = 100_000
+
+
 def _with_row_no(records: DataFrame) -> DataFrame:
     """Number rows in file order without a shuffle.
 
     A split is one task, every row takes at least one byte, so split offset plus position in
     the split rises strictly through the file. Several part files are ordered by name; their
-    list is in the driver already, so it is no larger as a broadcast.
+    list is broadcast up to `MOST_BROADCAST_PARTS` of them and joined by name beyond.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     number = F.col("_metadata.file_block_start") + position
@@ -152,7 +156,7 @@ def _with_row_no(records: DataFrame) -> DataFrame:
     return (
         records.withColumn("row_no", number)
         .withColumn("part_name", F.col("_metadata.file_name"))
-        .join(F.broadcast(ordinals), "part_name")
+        .join(F.broadcast(ordinals) if len(files) <= MOST_BROADCAST_PARTS else ordinals, "part_name")
         .withColumn("row_no", F.shiftleft("part_ordinal", FILE_ORDINAL_SHIFT) + F.col("row_no"))
         .drop("part_name", "part_ordinal")
     )

@@ -31,6 +31,8 @@ class FeedRejected(FeedError):
 
     def __init__(self, stage: str, issues: list[Row], total: int):
         self.stage, self.issues, self.omitted = stage, issues, total - len(issues)
+        kinds = {row.asDict().get("problem") or row.asDict().get("code") for row in issues} - {None}
+        self.problems = ", ".join(sorted(kinds))
         super().__init__(f"{stage}: {len(issues)} issues, {self.omitted} more")
 
 
@@ -79,15 +81,22 @@ def import_archive(
     max_files: int | None = None,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """As `import_feed` for a ZIP archive any executor can open, of any size unless bounds are set."""
+    """As `import_feed` for a ZIP archive any executor can open, of any size unless bounds are set.
+
+    An archive that cannot be read, or a member that is damaged, encrypted, packed in an unknown way or no
+    UTF-8, refuses the feed like a broken rule does.
+    """
     check_version(version)
     if store.is_installed(version):
         raise VersionError(f"version already exists: {version}")
     archives = spark.createDataFrame([(version, path)], "feed_id string, path string")
     manifest = cut_lineage(archive_manifest(archives))
+    torn = manifest.filter(F.col("problem").isNotNull()).select("feed_id", "problem", "member")
+    _reject_if_any(store, version, "archive", torn, ["problem"])
     issues = feed_file_issues(manifest, max_files, max_bytes)
     _reject_if_any(store, version, "archive", issues, ["problem", "member"])
     known = [f"{name}.txt" for name in (*GTFS_COLUMNS, "frequencies")]
     target = f"{store.root}/unpacked/{version}"
-    unpack_feeds(manifest.filter(F.col("member").isin(known)), target)
+    faults = unpack_feeds(manifest.filter(F.col("member").isin(known)), target)
+    _reject_if_any(store, version, "unpacking", faults, ["member", "problem"])
     return import_feed(spark, f"{target}/feed_id={version}", store, version)

@@ -146,14 +146,14 @@ class VersionStore:
             f"{self.root}/rejected/version={version}/{stage.replace(' ', '_')}"
         )
 
-    _REJECTIONS = "version string, path string, stage string, issues long, rejected_at long"
+    _REJECTIONS = "version string, path string, stage string, issues long, rejected_at long, problems string"
 
-    def note_rejection(self, version: str, path: str, stage: str, issues: int) -> None:
-        row = (version, path, stage, issues, int(time.time()))
+    def note_rejection(self, version: str, path: str, stage: str, issues: int, problems: str = "") -> None:
+        row = (version, path, stage, issues, int(time.time()), problems)
         self._append("rejections", self._REJECTIONS, row)
 
     def rejections(self) -> DataFrame:
-        """Publications that were refused, with the stage that refused them."""
+        """Publications that were refused, with the stage that refused them and the kinds of what it found."""
         return self._log("rejections", self._REJECTIONS)
 
     def activate(self, version: str) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,9 +30,9 @@ def landed_archives(spark: SparkSession, landing: str) -> DataFrame:
 def import_landed(store: VersionStore, archives: DataFrame) -> None:
     """Import and activate the archives of one batch that are not the active version.
 
-    A version is named after the digest of its archive. One that breaks the rules, or is no readable archive,
-    is noted with the stage that refused it; the active version stays and later archives go on. Any other
-    error is raised, so the batch is tried again.
+    A version is named after the digest of its archive. One that breaks the rules, or cannot be read to its
+    end, is noted with the stage that refused it and the kinds of problems; the active version stays and later
+    archives go on. Any other error is raised, so the batch is tried again.
     """
     landed = archives.join(archive_digests(archives), "path")
     for archive in landed.orderBy("landed_at", "path").collect():
@@ -45,16 +44,11 @@ def import_landed(store: VersionStore, archives: DataFrame) -> None:
                 import_archive(store.spark, archive.path, store, version)
             except FeedRejected as refused:
                 found = len(refused.issues) + refused.omitted
-                store.note_rejection(version, archive.path, refused.stage, found)
+                store.note_rejection(version, archive.path, refused.stage, found, refused.problems)
                 continue
             except FeedError as refused:
                 store.note_rejection(version, archive.path, str(refused), 0)
                 continue
-            except PythonException as failed:
-                if "BadZipFile" not in str(failed):
-                    raise
-                store.note_rejection(version, archive.path, "not a ZIP archive", 0)
-                continue
         store.activate(version)
 
 

@@ -124,7 +124,7 @@ def test_refresh_imports_each_publication_once(spark, tmp_path):
     refresh()
     assert store.active() == first and store.versions().count() == 1
     refused = {r.path.rsplit("/", 1)[-1]: (r.stage, r.issues) for r in store.rejections().collect()}
-    assert refused == {"broken.zip": ("validation", 1), "torn.zip": ("not a ZIP archive", 0)}
+    assert refused == {"broken.zip": ("validation", 1), "torn.zip": ("archive", 1)}
     # The bad archives stay where they are; a good one after them goes on.
     zip_feed(landing / "later.zip", HILL)
     refresh()
@@ -132,6 +132,63 @@ def test_refresh_imports_each_publication_once(spark, tmp_path):
     assert store.rejections().count() == 2
 
 
+def _damaged(path, member):
+    """The archive with some bytes of a member's packed content turned over."""
+    raw = bytearray(path.read_bytes())
+    with zipfile.ZipFile(path) as archive:
+        entry = archive.getinfo(member)
+    start = entry.header_offset + 30 + len(entry.filename)
+    for place in range(start, start + entry.compress_size):
+        raw[place] ^= 0xFF
+    path.write_bytes(raw)
+
+
+def _flagged(path, member, flag=None, method=None):
+    """The archive with other flags or another method in both headers of a member."""
+    raw = bytearray(path.read_bytes())
+    with zipfile.ZipFile(path) as archive:
+        local = archive.getinfo(member).header_offset
+    central = raw.index(b"PK\x01\x02")
+    while raw[central + 46 : central + 46 + len(member)] != member.encode():
+        central = raw.index(b"PK\x01\x02", central + 4)
+    for place, value in ((6, flag), (8, method)):
+        if value is not None:
+            raw[local + place] = raw[central + place + 2] = value
+    path.write_bytes(raw)
+
+
+def test_refresh_goes_on_after_every_kind_of_bad_archive(spark, tmp_path):
+    landing, progress = tmp_path / "landing", str(tmp_path / "progress")
+    store = VersionStore(spark, str(tmp_path / "store"))
+    for name in ("crypt", "damage", "method", "torn"):
+        zip_feed(landing / f"{name}.zip", {**HILL, "agency": HILL["agency"].replace("Hillrail", name)})
+    _flagged(landing / "crypt.zip", "stops.txt", flag=1)
+    _damaged(landing / "damage.zip", "stop_times.txt")
+    _flagged(landing / "method.zip", "trips.txt", method=97)
+    (landing / "torn.zip").write_bytes((landing / "torn.zip").read_bytes()[:200])
+    latin = landing / "latin.zip"
+    with zipfile.ZipFile(latin, "w") as archive:
+        for name, text in HILL.items():
+            archive.writestr(f"{name}.txt", text.replace("Gipfel", "Höhe").encode("latin-1"))
+    refresh_feeds(spark, str(landing), store, progress).awaitTermination()
+    assert store.active() is None
+    refused = {r.path.rsplit("/", 1)[-1]: (r.stage, r.issues, r.problems) for r in store.rejections().collect()}
+    assert refused == {
+        "crypt.zip": ("unpacking", 1, "encrypted"),
+        "damage.zip": ("unpacking", 1, "damaged"),
+        "method.zip": ("unpacking", 1, "unsupported"),
+        "torn.zip": ("archive", 1, "not_an_archive"),
+        "latin.zip": ("unpacking", 2, "not_utf8"),
+    }
+    version = store.rejections().filter("path like '%latin.zip'").first().version
+    found = {r.member: r.offset for r in store.rejected_issues(version, "unpacking").collect()}
+    want = HILL["stops"].replace("Gipfel", "Höhe").encode("latin-1").index("ö".encode("latin-1"))
+    assert found["stops.txt"] == want and set(found) == {"stops.txt", "trips.txt"}
+    zip_feed(landing / "good.zip", HILL)
+    refresh_feeds(spark, str(landing), store, progress).awaitTermination()
+    assert store.active() is not None and store.rejections().count() == 5
+
+
 def test_unpacked_members_keep_their_bytes(spark, tmp_path):
     text = 'stop_id,stop_name\r\na,"two\r\nlines"\r\n' + "".join(f"s{n},é{n}\n" for n in range(400_000))
     path = zip_feed(tmp_path / "feed.zip", {"stops": "\ufeff" + text})
