@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haltline.session import cut_lineage
+from haltline.session import cut_lineage, keep_table
+
+#: A list of more rows is ranked in pieces of so many.
+LIST_ROWS = 1 << 20
 
 DEFAULT_LIMIT = 20
 DEFAULT_RECT_LIMIT = 10_000
@@ -102,3 +105,93 @@ def rank_by_range(
         rows.repartitionByRange(*group, *order).withColumn("bucket", F.spark_partition_id())
     )
     return rank_by_bucket(ranged, group, "bucket", order, weight).drop("bucket")
+
+
+def ranked_lists(
+    rows: DataFrame,
+    lists: Sequence[str],
+    key: str,
+    order: Sequence[str],
+    largest: int,
+    marks: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their `rank` in each list and `ahead`, and marks with `before`. Both are written once.
+
+    A list is ordered by (key, order). `ahead` holds the keys of the first, second, fourth, eighth … row from
+    this one on, null behind the end; steps beyond `largest` rows are left out. marks(*lists, key) stand before
+    the rows of the same key, `before` is how many rows of their list they have before them.
+
+    Usually one shuffle does it all. Where a list exceeds `LIST_ROWS` rows, ranks come from key ranges and
+    `ahead` from pieces that know the first rows of the next one, so no task sorts the whole list.
+    """
+    steps = [1 << step for step in range(max(largest, 1).bit_length())]
+    everything = rows.withColumn("weight", F.lit(1))
+    biggest = rows.groupBy(*lists).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    if marks is not None:
+        marks = marks.select(*lists, key).distinct().withColumn("weight", F.lit(0))
+        everything = everything.unionByName(marks, allowMissingColumns=True)
+    sort = [F.col(key), F.col("weight"), *map(F.col, order)]
+    if biggest <= LIST_ROWS:
+        one_list = Window.partitionBy(*lists)
+        so_far = one_list.orderBy(*sort).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = everything.withColumn("rank", F.sum("weight").over(so_far).cast("long"))
+        # Marks last, so that they are not among the rows ahead.
+        onward = one_list.orderBy(F.desc("weight"), *sort)
+        keys = F.when(F.col("weight") == 1, F.col(key))
+        found = found.withColumn("ahead", F.array(*(F.lead(keys, step - 1).over(onward) for step in steps)))
+        found = keep_table(found)
+    else:
+        ranked = rank_by_range(everything, lists, sort, F.col("weight"))
+        found = keep_table(ranked.withColumn("rank", F.col("rank").cast("long")))
+        size = max(LIST_ROWS, largest)
+        piece = F.floor((F.col("rank") - 1) / size)
+        near = ((F.col("rank") - 1) % size < largest) & (piece > 0)
+        pieces = found.filter("weight = 1").withColumn("own", piece)
+        pieces = pieces.withColumn(
+            "piece", F.explode(F.when(near, F.array(piece, piece - 1)).otherwise(F.array(piece)))
+        )
+        onward = Window.partitionBy(*lists, "piece").orderBy("rank")
+        ahead = F.array(*(F.lead(key, step - 1).over(onward) for step in steps))
+        pieces = pieces.withColumn("ahead", ahead).filter(F.col("piece") == F.col("own")).drop("piece", "own")
+        found = keep_table(pieces.unionByName(found.filter("weight = 0"), allowMissingColumns=True))
+    before = found.filter("weight = 0").select(*lists, key, F.col("rank").alias("before"))
+    return found.filter("weight = 1").drop("weight"), before
+
+
+def merge_lists(
+    ranked: DataFrame, asked: DataFrame, lists: Sequence[str], key: str, ask: Sequence[str]
+) -> DataFrame:
+    """For asked(*ask, *lists, before, limit, …): rows of the lists behind `before` that hold the first `limit`.
+
+    All lists of one question together give at most three times its limit and the rows that share the last
+    key, however many lists there are: a list is read up to where the question's lists together surely have
+    `limit` rows, in steps of 1, 2, 4, 8 … rows known from `ahead`. The caller cuts the rest.
+    """
+    place = asked.withColumn("rank", F.col("before") + 1)
+    starts = place.join(ranked.select(*lists, "rank", "ahead"), [*lists, "rank"]).drop("rank")
+    doubled = lambda step: F.call_function("shiftleft", F.lit(1), step)
+    gained = F.when(F.col("step") == 0, 1).otherwise(doubled(F.col("step") - 1))
+    probes = (
+        starts.select(*ask, "limit", F.posexplode("ahead").alias("step", "reached"))
+        .filter(F.col("reached").isNotNull())
+        .select(*ask, "limit", "reached", gained.alias("gained"))
+        .groupBy(*ask, "limit", "reached")
+        .agg(F.sum("gained").alias("gained"))
+    )
+    upto = Window.partitionBy(*ask).orderBy("reached").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = (
+        probes.withColumn("surely", F.sum("gained").over(upto))
+        .filter(F.col("surely") >= F.col("limit"))
+        .groupBy(*ask)
+        .agg(F.min("reached").alias("bound"))
+    )
+    inside = F.filter("ahead", lambda one: one.isNotNull() & (F.col("bound").isNull() | (one <= F.col("bound"))))
+    wanted = (
+        starts.join(bounds, list(ask), "left")
+        .withColumn("steps", F.size(inside))
+        .filter(F.col("steps") > 0)
+        .withColumn("n", F.least(doubled(F.col("steps")) - 1, F.col("limit")))
+        .withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
+        .drop("ahead", "bound", "steps", "n", "before")
+    )
+    return wanted.join(ranked.drop("ahead"), [*lists, "rank"]).drop("rank")

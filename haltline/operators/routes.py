@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from haltline.functions import iso_date
 from haltline.operators.ranking import first_per_group, rank_by_range, with_limits
 from haltline.operators.requests import valid_requests
-from haltline.operators.stops import first_per_service, running_services
+from haltline.operators.stops import first_running_trips
 from haltline.schema import ROUTE_COLUMNS, TRIP_COLUMNS, Timetable
 
 PAGE_SIZE = 100
@@ -112,15 +112,11 @@ def route_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, route_id, service_date, limit) to the trips running that day."""
     requests, largest = with_limits(valid_requests(requests, "route_trips"))
     day = ["route_id", "service_date"]
-    asked = requests.select(*day).distinct()
+    asked = requests.groupBy(*day).agg(F.max("limit").alias("limit"))
     trips = timetable.trips.select("route_id", "trip_id", "service_id").join(
         asked.select("route_id").distinct(), "route_id", "left_semi"
     )
-    few = first_per_service(trips, "route_id", ["trip_id"], largest)
-    dated = few.join(asked, "route_id").join(
-        running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
-    )
-    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], largest)
+    best = first_running_trips(timetable, trips, asked, "route_id", largest)
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= F.col("limit"))

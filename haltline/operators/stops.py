@@ -6,14 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from haltline.functions import gtfs_time_text, iso_date
 from haltline.operators.calendar import service_active_on
-from haltline.operators.ranking import first_per_group, top_per_request, with_limits
+from haltline.operators.ranking import (
+    first_per_group,
+    merge_lists,
+    ranked_lists,
+    top_per_request,
+    with_limits,
+)
 from haltline.operators.requests import valid_requests
 from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
-from haltline.session import cut_lineage
+from haltline.session import keep_table
 
 NO_PICKUP = 1
 
@@ -101,60 +106,32 @@ def _departure_view(rows: DataFrame, timetable: Timetable, *keys: str) -> DataFr
 def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, after, limit) to the next departures.
 
-    Departures of a (stop, service) get a rank in time order once, whatever dates are asked for. A
-    request gets the rank its `after` falls on for every service of its stop that runs on its date, takes
-    the `limit` ranks behind it, and keeps the first of all. Rows grow with answers and services, not with
-    dates or with the calls of a busy stop. Ranks are built per departure second, so no task sorts a whole
-    stop.
+    Departures of a (stop, service) are ranked in time order once, whatever dates are asked for. The services
+    of a stop that run on a request's date are then merged like sorted lists: each is read only as far as
+    all of them together surely hold `limit` departures. Calls joined grow with answers, not with services,
+    dates or the calls of a busy stop.
     """
     requests, largest = with_limits(valid_requests(requests, "departures"))
-    served = ["stop_id", "service_id"]
+    served, second = ["stop_id", "service_id"], "departure_seconds"
     calls = boardable_calls(timetable).join(
         requests.groupBy("stop_id").agg(F.min("after").alias("earliest")), "stop_id"
     )
-    calls = calls.filter(F.col("departure_seconds") >= F.col("earliest")).drop("earliest")
-    # Counted, ranked and picked from below, so the scan and joins are done once.
-    rows = cut_lineage(_departing_trips(calls, timetable))
+    calls = calls.filter(F.col(second) >= F.col("earliest")).drop("earliest")
+    # Counted and ranked from below, so the scan and joins are done once.
+    rows = keep_table(_departing_trips(calls, timetable))
+    asked_times = requests.select("stop_id", F.col("after").alias(second)).distinct()
+    marks = asked_times.join(rows.select(*served).distinct(), "stop_id")
+    ranked, before = ranked_lists(rows, served, second, DEPARTURE_ORDER, largest, marks)
     asked = (
-        requests.join(rows.select(*served).distinct(), "stop_id")
+        requests.join(before.withColumnRenamed(second, "after"), ["stop_id", "after"])
         .join(
             running_services(timetable, requests.select("service_date").distinct()),
             ["service_id", "service_date"],
             "left_semi",
         )
-        .select("request_id", *served, "service_date", "after", "limit")
+        .select("request_id", *served, "service_date", "limit", "before")
     )
-
-    second = "departure_seconds"
-    marks = asked.select(*served, F.col("after").alias(second), F.lit(0).alias("n")).distinct()
-    earlier = (
-        Window.partitionBy(*served).orderBy(second).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    positions = (
-        rows.select(*served, second, F.lit(1).alias("n"))
-        .unionByName(marks)
-        .groupBy(*served, second)
-        .agg(F.sum("n").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .select(*served, second, "before")
-    )
-    same_second = Window.partitionBy(*served, second).orderBy(*DEPARTURE_ORDER)
-    ranked = (
-        rows.withColumn("nth", F.row_number().over(same_second))
-        .join(positions, [*served, second])
-        .withColumn("rank", F.col("before") + F.col("nth"))
-        .drop("before", "nth")
-    )
-    wanted = asked.join(
-        positions.withColumnRenamed(second, "after"), [*served, "after"]
-    ).select(
-        "request_id",
-        *served,
-        "service_date",
-        "limit",
-        F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("limit"))).alias("rank"),
-    )
-    found = wanted.join(ranked, [*served, "rank"]).drop("rank")
+    found = merge_lists(ranked, asked, served, second, ["request_id"])
     best = top_per_request(found, [second, *DEPARTURE_ORDER], largest)
     return _departure_view(best, timetable, "request_id", "stop_id")
 
@@ -202,25 +179,42 @@ def stop_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
 
 
+def first_running_trips(
+    timetable: Timetable, trips: DataFrame, asked: DataFrame, group: str, largest: int
+) -> DataFrame:
+    """(group, service_date, trip_id, rank) of the first `limit` trips by id for asked(group, service_date, limit).
+
+    trips(group, trip_id, service_id) are distinct. Only services that run on the date are looked at.
+    """
+    served = [group, "service_id"]
+    trips = keep_table(trips)
+    ranked, _ = ranked_lists(trips, served, "trip_id", [], largest)
+    running = running_services(timetable, asked)
+    pairs = (
+        asked.join(trips.select(*served).distinct(), group)
+        .join(running, ["service_id", "service_date"], "left_semi")
+        .withColumn("before", F.lit(0).cast("long"))
+    )
+    day = [group, "service_date"]
+    found = merge_lists(ranked, pairs, served, "trip_id", day).select(*day, "trip_id", "limit")
+    return first_per_group(found, day, ["trip_id"], largest).drop("limit")
+
+
 def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, limit) to the trips calling there that day.
 
-    Trips are cut once per stop and service before any date is attached.
+    Trips of a (stop, service) are ranked once; the services running on a date are merged up to its limit.
     """
     requests, largest = with_limits(valid_requests(requests, "stop_trips"))
     day = ["stop_id", "service_date"]
-    asked = requests.select(*day).distinct()
+    asked = requests.groupBy(*day).agg(F.max("limit").alias("limit"))
     trips = (
         timetable.stop_times.select("stop_id", "trip_id")
         .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
         .distinct()
         .join(timetable.trips.select("trip_id", "service_id"), "trip_id")
     )
-    few = first_per_service(trips, "stop_id", ["trip_id"], largest)
-    dated = few.join(asked, "stop_id").join(
-        running_services(timetable, asked), ["service_id", "service_date"], "left_semi"
-    )
-    best = first_per_group(dated.drop("service_id"), day, ["trip_id"], largest)
+    best = first_running_trips(timetable, trips, asked, "stop_id", largest)
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= F.col("limit"))
