@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from haltline.functions import haversine_m, normalize_name, usable_position
 from haltline.functions.geo import EARTH_RADIUS_M
 from haltline.operators.components import connected_components
-from haltline.operators.stops import stop_route_pairs
+from haltline.operators.indexes import stop_route_pairs
 from haltline.schema import AGENCY_COLUMNS, GROUP_COLUMNS, ROUTE_COLUMNS, STOP_COLUMNS, Timetable
-from haltline.session import cut_lineage
+from haltline.session import cut_lineage, keep_table
 
 MERGE_DISTANCE_M = 150.0
 CELL_LAT, CELL_LON = 0.0015, 0.0025
@@ -236,7 +236,7 @@ def derive_stop_groups(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
 def group_member_routes(timetable: Timetable, members: DataFrame) -> DataFrame:
     """(group_id, stop_id, route_id, agency_id), each once."""
     return (
-        members.join(stop_route_pairs(timetable), "stop_id")
+        members.join(stop_route_pairs(timetable, members), "stop_id")
         .join(timetable.routes.select("route_id", "agency_id"), "route_id")
         .select("group_id", "stop_id", "route_id", "agency_id")
     )
@@ -244,17 +244,22 @@ def group_member_routes(timetable: Timetable, members: DataFrame) -> DataFrame:
 
 def group_routes(timetable: Timetable, members: DataFrame) -> DataFrame:
     """Routes that call anywhere in a group."""
-    pairs = members.join(stop_route_pairs(timetable), "stop_id").select(
-        "group_id", "route_id"
-    ).distinct()
-    return pairs.join(timetable.routes, "route_id").select("group_id", *ROUTE_COLUMNS)
+    pairs = members.join(stop_route_pairs(timetable, members), "stop_id")
+    return _routes_of(timetable, pairs)
+
+
+def _routes_of(timetable: Timetable, pairs: DataFrame) -> DataFrame:
+    distinct = pairs.select("group_id", "route_id").distinct()
+    return distinct.join(timetable.routes, "route_id").select("group_id", *ROUTE_COLUMNS)
 
 
 def group_agencies(timetable: Timetable, members: DataFrame) -> DataFrame:
     """Agencies of those routes. A route without an agency adds none."""
-    pairs = (
-        group_routes(timetable, members).select("group_id", "agency_id").dropna().distinct()
-    )
+    return _agencies_of(timetable, group_routes(timetable, members))
+
+
+def _agencies_of(timetable: Timetable, routes: DataFrame) -> DataFrame:
+    pairs = routes.select("group_id", "agency_id").dropna().distinct()
     return pairs.join(timetable.agencies, "agency_id").select("group_id", *AGENCY_COLUMNS)
 
 
@@ -285,9 +290,10 @@ def stop_group_details(
     asked = requests.select("group_id").distinct()
     wanted = members.join(asked, "group_id", "left_semi")
     stops = timetable.stops.withColumn("location_type", F.coalesce("location_type", F.lit(0)))
+    # Members, routes and agencies all come from the pairs of the wanted stops, found once.
+    pairs = keep_table(group_member_routes(timetable, wanted))
     served = (
-        group_member_routes(timetable, wanted)
-        .groupBy("stop_id")
+        pairs.groupBy("stop_id")
         .agg(
             F.array_sort(F.collect_set("route_id")).alias("route_ids"),
             F.array_sort(F.collect_set("agency_id")).alias("agency_ids"),
@@ -307,10 +313,10 @@ def stop_group_details(
             ).alias("members"),
         )
     )
-    route_items = group_routes(timetable, wanted).select(
+    route_items = _routes_of(timetable, pairs).select(
         "group_id", "route_id", F.struct(*ROUTE_COLUMNS).alias("routes")
     )
-    agency_items = group_agencies(timetable, wanted).select(
+    agency_items = _agencies_of(timetable, pairs).select(
         "group_id", "agency_id", F.struct(*AGENCY_COLUMNS).alias("agencies")
     )
     keys = ["group_id", "part"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haltline.functions import iso_date
+from haltline.operators.indexes import rows_of_keys, trips_behind
 from haltline.operators.ranking import first_per_group, rank_by_range, with_limits
 from haltline.operators.requests import valid_requests
 from haltline.operators.stops import first_running_trips
@@ -209,7 +210,18 @@ def routes_page(
 def trips_page(
     timetable: Timetable, requests: DataFrame, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """requests(request_id, route_id, after_key): one page of a route's trips by id."""
+    """requests(request_id, route_id, after_key): one page of a route's trips by id.
+
+    A published version knows where each range of a route's trips starts, so only the ranges a page touches are read.
+    """
+    if "trip_ranges" in timetable.indexes:
+        found = trips_behind(timetable, requests, page_size + 1)
+        more = F.max("nth").over(Window.partitionBy("request_id")) > page_size
+        pages = found.withColumn("has_more", more).filter(F.col("nth") <= page_size)
+        trips = rows_of_keys(timetable.trips, "route_id", requests).drop("route_id")
+        return pages.join(trips, "trip_id").select(
+            "request_id", F.col("nth").alias("position"), "has_more", *TRIP_COLUMNS
+        )
     rows = timetable.trips.select("route_id", "trip_id").join(
         requests.select("route_id").distinct(), "route_id", "left_semi"
     )

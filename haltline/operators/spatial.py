@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haltline.functions import haversine_m
 from haltline.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE
+from haltline.operators.cover import first_keys_in_boxes
 from haltline.operators.grid import (
     CELL_SIZES,
     cell_keys,
@@ -140,7 +141,7 @@ def stops_in_rect(timetable: Timetable, requests: DataFrame) -> DataFrame:
         "stop_id",
         largest,
     )
-    found = points_in_boxes(spots, requests).select("request_id", "limit", "stop_id")
+    found = first_keys_in_boxes(spots, "stop_id", requests, largest)
     best = top_per_request(found, ["stop_id"], largest)
     return best.join(stops, "stop_id").select("request_id", *STOP_COLUMNS)
 
@@ -157,7 +158,7 @@ def stop_groups_in_rect(groups: DataFrame, requests: DataFrame) -> DataFrame:
         "group_id",
         largest,
     )
-    found = points_in_boxes(spots, requests).select("request_id", "limit", "group_id")
+    found = first_keys_in_boxes(spots, "group_id", requests, largest)
     best = top_per_request(found, ["group_id"], largest)
     return best.join(groups, "group_id").select("request_id", *GROUP_COLUMNS)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haltline.functions import gtfs_time_text, iso_date
 from haltline.operators.calendar import service_active_on
+from haltline.operators.indexes import stop_route_pairs
 from haltline.operators.ranking import (
     first_per_group,
     merge_lists,
@@ -149,19 +150,6 @@ def departure_board(timetable: Timetable, dates: DataFrame, k: int) -> DataFrame
     return _departure_view(first, timetable, "stop_id", "rank")
 
 
-def stop_route_pairs(timetable: Timetable, stops: DataFrame | None = None) -> DataFrame:
-    """Distinct (stop_id, route_id) over all calls, optionally of some stops only."""
-    calls = timetable.stop_times.select("stop_id", "trip_id")
-    if stops is not None:
-        calls = calls.join(stops.select("stop_id").distinct(), "stop_id", "left_semi")
-    return (
-        calls.distinct()
-        .join(timetable.trips.select("trip_id", "route_id"), "trip_id")
-        .select("stop_id", "route_id")
-        .distinct()
-    )
-
-
 def stop_routes(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, limit) to the routes calling there on any date.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltline.functions import gtfs_time_text
+from haltline.operators.indexes import calls_of_trips
 from haltline.operators.ranking import rank_by_bucket
 from haltline.operators.stops import stop_view
 from haltline.schema import STOP_COLUMNS, TRIP_COLUMNS, Timetable
@@ -33,12 +34,16 @@ def lookup_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
 
 
-def call_view(timetable: Timetable) -> DataFrame:
-    """Every call with its stop as a struct; pickup, drop-off and timepoint stay as given."""
+def call_view(timetable: Timetable, trips: DataFrame | None = None) -> DataFrame:
+    """Every call with its stop as a struct, optionally of some trips only.
+
+    Pickup, drop-off and timepoint stay as given.
+    """
     stops = stop_view(timetable.stops).select(
         "stop_id", F.struct(*STOP_COLUMNS).alias("stop")
     )
-    calls = timetable.stop_times.select(
+    given = timetable.stop_times if trips is None else calls_of_trips(timetable, trips)
+    calls = given.select(
         "trip_id",
         "stop_id",
         "stop_sequence",
@@ -57,10 +62,7 @@ def call_view(timetable: Timetable) -> DataFrame:
 def trip_calls(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, trip_id) to the trip's calls; order them by `stop_sequence`."""
     wanted = requests.select("request_id", "trip_id")
-    calls = call_view(timetable).join(
-        wanted.select("trip_id").distinct(), "trip_id", "left_semi"
-    )
-    return wanted.join(calls, "trip_id").select("request_id", "trip_id", "stop", *CALL_COLUMNS)
+    return wanted.join(call_view(timetable, wanted), "trip_id").select("request_id", "trip_id", "stop", *CALL_COLUMNS)
 
 
 def _trip_points(timetable: Timetable, requests: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def trip_detail(
         )
 
     calls = parts(
-        call_view(timetable).join(asked, "trip_id", "left_semi"),
+        call_view(timetable, asked),
         "trip_id",
         "stop_sequence",
         F.struct("stop_sequence", "stop", *CALL_COLUMNS[1:]),

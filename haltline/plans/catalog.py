@@ -341,7 +341,7 @@ QUERIES: dict[str, Query] = {
     "request_issues_route_search": _issues_of("route_search", "search_routes"),
     **{
         f"normalize_{table}": _normalized(table)
-        for table in Timetable.__dataclass_fields__
+        for table in Timetable.table_names()
     },
     **{f"validate_{family}": _validated(family) for family in validation.RULE_FAMILIES},
     "validation_counts": _counts,

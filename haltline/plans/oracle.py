@@ -726,7 +726,7 @@ SELECT (SELECT 'v' || count(*) FROM orders) AS schedule_version,
             _problem("query", "trim(query) <> ''", "q_route_search"),
         )
     ),
-    **{f"normalize_{table}": f"SELECT * FROM t_{table}" for table in Timetable.__dataclass_fields__},
+    **{f"normalize_{table}": f"SELECT * FROM t_{table}" for table in Timetable.table_names()},
     "normalize_service_calendars": """
 SELECT * REPLACE (strftime(start_date, '%Y-%m-%d') AS start_date,
   strftime(end_date, '%Y-%m-%d') AS end_date) FROM t_service_calendars""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 
@@ -147,14 +147,22 @@ class Timetable:
     shape_points: DataFrame
     transfers: DataFrame
     feed_info: DataFrame
+    #: What a published version keeps for other ways of reading it, see `haltline.operators.indexes`.
+    indexes: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def tables(self) -> Iterator[tuple[str, DataFrame]]:
-        for field in fields(self):
-            yield field.name, getattr(self, field.name)
+        for name in self.table_names():
+            yield name, getattr(self, name)
+
+    @classmethod
+    def table_names(cls) -> list[str]:
+        return [one.name for one in fields(cls) if one.name != "indexes"]
 
     @classmethod
-    def from_tables(cls, tables: Mapping[str, DataFrame]) -> Timetable:
-        return cls(**{field.name: tables[field.name] for field in fields(cls)})
+    def from_tables(
+        cls, tables: Mapping[str, DataFrame], indexes: Mapping[str, DataFrame] | None = None
+    ) -> Timetable:
+        return cls(**{name: tables[name] for name in cls.table_names()}, indexes=indexes or {})
 
 
 # Column lists of the query results.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from haltline.functions import iso_date
+from haltline.operators.indexes import INDEX_CLUSTERING, build_indexes
 from haltline.schema import SCHEMA_VERSION, Timetable
 from haltline.session import cut_lineage
 from haltline.sources.feed import feed_counts
@@ -25,6 +26,7 @@ CLUSTERING = {
     "stop_groups": ("group_id",),
     "stop_group_members": ("group_id", "stop_id"),
 }
+ROW_GROUP_BYTES = 32 << 20
 
 
 class VersionError(ValueError):
@@ -102,7 +104,7 @@ class VersionStore:
         groups: DataFrame | None = None,
         members: DataFrame | None = None,
     ) -> DataFrame:
-        """Write all tables, check columns and row counts, then list the version.
+        """Write all tables and indexes, check columns and row counts, then list the version.
 
         Returns rows per table.
         """
@@ -110,19 +112,25 @@ class VersionStore:
         if self.is_installed(version):
             raise VersionError(f"version already exists: {version}")
         tables = dict(timetable.tables())
+        indexes = build_indexes(timetable)
         if groups is not None and members is not None:
             tables |= {"stop_groups": groups, "stop_group_members": members}
         entries = [("schedule_version", version), ("imported_at_unix", str(int(time.time())))]
         tables["feed_metadata"] = self.spark.createDataFrame(entries, "key string, value string")
         sent: dict[str, Observation] = {}
-        for name, df in tables.items():
-            keys = CLUSTERING.get(name)
+        for name, df in (tables | indexes).items():
+            keys = (CLUSTERING | INDEX_CLUSTERING).get(name)
             if keys:
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
             # An unlisted folder of the same name is a failed attempt and is replaced.
             sent[name] = Observation()
             df = df.observe(sent[name], F.count(F.lit(1)).alias("n"))
-            df.write.mode("overwrite").parquet(self._table_path(version, name))
+            # Row groups are what a request for few keys reads at least.
+            df.write.option("parquet.block.size", ROW_GROUP_BYTES).mode("overwrite").parquet(
+                self._table_path(version, name)
+            )
+        if sent["calls_by_trip"].get["n"] != sent["stop_times"].get["n"]:
+            raise VersionError("calls_by_trip was not written as expected")
         written = {name: self.read_table(version, name) for name in tables}
         counts = cut_lineage(feed_counts(written))
         found = {row.table_name: row.n for row in counts.collect()}
@@ -188,12 +196,13 @@ class VersionStore:
             raise VersionError("no version is active")
         if not self.is_installed(version):
             raise VersionError(f"version is not installed: {version}")
-        return Timetable.from_tables(
-            {
-                name: self.read_table(version, name)
-                for name in Timetable.__dataclass_fields__
-            }
-        )
+        tables = {name: self.read_table(version, name) for name in Timetable.table_names()}
+        indexes = {
+            name: self.read_table(version, name)
+            for name in INDEX_CLUSTERING
+            if self._exists(self._table_path(version, name))
+        }
+        return Timetable.from_tables(tables, indexes)
 
     def read_groups(self, version: str | None = None) -> tuple[DataFrame, DataFrame]:
         """The stop groups of a version and their members, as stored when it was published."""
