@@ -3,9 +3,11 @@
 Markup is stripped into lines, one for each block element. A line that belongs to a menu, header, footer,
 side column, notice, advert, form or to reader comments counts as empty. Text lengths are summed over
 windows of a few lines; where the sum surges from nothing and where it dives back bound a region of text.
-All lines between are kept, short ones too. Regions outside the page's article element, if it has one, are
-dropped. On other pages the element around the largest region keeps all its lines, whatever stands between
-them; regions elsewhere that hold little text beside the largest one are dropped.
+All lines between are kept, short ones too. The region with most text decides, on every page; text in an article
+or main element counts `MAIN_WEIGHT` times for that. If most of that region stands in such elements, they are the
+article and keep all their lines, while lines outside go. Otherwise, as on pages without or with nearly empty ones,
+the element around the region keeps all its lines, whatever stands between them, and regions elsewhere that hold
+little text beside the largest one are dropped.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from haltline.llm.blocks import text_blocks, whole_text
 
 #: Lines of one block; so many empty lines in a row end a region.
 WINDOW = 3
-#: A page without an article keeps regions outside its main element with this share of its largest region's text.
+#: Outside its main element a page keeps regions with this share of its largest region's text.
 SHARE = 0.25
+#: A character inside an article or main element counts so many times where the largest region is looked for.
+MAIN_WEIGHT = 4
 
 # Fixed values of the HTML standard.
 RAW = frozenset(("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"))
@@ -70,19 +74,23 @@ _LETTER = re.compile(r"\w")
 def main_text(page: str) -> str:
     """The article of a page; empty if there is none."""
     lines, inside, around = page_lines(page)
-    regions = text_regions(np.array([len(line) for line in lines], dtype=np.int64))
-    if inside.any():
-        regions = [(a, b) for a, b in regions if inside[a:b].any()]
-        kept = [line for a, b in regions for line, own in zip(lines[a:b], inside[a:b], strict=True) if own]
+    sizes = np.array([len(line) for line in lines], dtype=np.int64)
+    regions = text_regions(sizes)
+    if not regions:
+        return ""
+    totals = [int(sizes[a:b].sum()) for a, b in regions]
+    weighted = sizes * np.where(inside, MAIN_WEIGHT, 1)
+    first, last = max(regions, key=lambda region: int(weighted[region[0] : region[1]].sum()))
+    own = [at for at in range(first, last) if lines[at]]
+    if 2 * int(weighted[first:last][inside[first:last]].sum()) >= int(weighted[first:last].sum()):
+        # The region is that of an article: all of it is kept, and no line that stands outside.
+        kept = [lines[at] for a, b in regions for at in range(a, b) if inside[at]]
     else:
-        sizes = [sum(map(len, lines[a:b])) for a, b in regions]
-        least = SHARE * max(sizes, default=0)
-        largest = regions[sizes.index(max(sizes))] if regions else (0, 0)
-        depth = _shared_depth([around[at] for at in range(*largest) if lines[at]])
-        holder = next((around[at] for at in range(*largest) if lines[at]), ())[:depth]
+        holder = around[own[0]][: _shared_depth([around[at] for at in own])]
+        least = SHARE * max(totals)
         kept = [
             lines[at]
-            for (a, b), size in zip(regions, sizes, strict=True)
+            for (a, b), size in zip(regions, totals, strict=True)
             for at in range(a, b)
             if size >= least or _holds(holder, around[at])
         ]

@@ -1,9 +1,17 @@
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from haltline.llm.line_blocks import extract_main_text, main_text, text_regions
+from haltline.llm.line_blocks import WINDOW, extract_main_text, main_text, text_regions
+
+PAGE_FILE = "/root/testdata/sf0.001/pages.parquet"
+#: Of the given pages so many have the same text if their article is a nameless element.
+SAME_SHARE = 1.0
 
 PAGES = {
     "article": (
@@ -82,3 +90,41 @@ def test_every_page_has_a_row(spark):
     got = [tuple(r) for r in extract_main_text(pages).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def naive_regions(sizes):
+    """Regions by looking at every window of lines."""
+    found, begin = [], None
+    for at in range(len(sizes) + WINDOW):
+        full = any(sizes[max(0, at - WINDOW + 1) : at + 1])
+        if full and begin is None:
+            begin = at
+        if not full and begin is not None:
+            found.append((begin, at - WINDOW + 1))
+            begin = None
+    return found
+
+
+def test_regions_equal_a_look_at_every_window():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        sizes = rng.integers(0, 9, rng.integers(0, 40)) * rng.integers(0, 2, 1) * (rng.random() < 0.9)
+        sizes = np.where(rng.random(len(sizes)) < rng.random(), 0, sizes)
+        assert text_regions(sizes) == naive_regions(sizes)
+
+
+def test_the_largest_region_decides_not_the_element():
+    teaser = "<main><p>Read on.</p></main>"
+    story = f"<div class=story><p>{LONG}</p><div class=ad>Buy</div><p>Short last.</p></div>"
+    assert main_text(f"<body>{teaser}<div class=ad>Buy</div>{story}</body>") == f"{LONG} Short last."
+    # An article needs no more than a quarter of what stands beside it.
+    third = ("text " * 60).strip()
+    page = f"<body><article><p>{third}</p></article><div class=ad>Buy</div><div><p>{LONG}</p></div></body>"
+    assert main_text(page) == third
+
+
+@pytest.mark.skipif(not os.path.exists(PAGE_FILE), reason="needs the given tables")
+def test_given_pages_without_article_elements_keep_their_text():
+    pages = pq.read_table(PAGE_FILE, columns=["html"]).column("html").to_pylist()
+    same = [main_text(page) == main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page)) for page in pages]
+    assert np.mean(same) >= SAME_SHARE
