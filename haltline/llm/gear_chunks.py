@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltline.llm.blocks import flat_bytes, text_blocks, whole_text
+from haltline.session import keep_table
 
 #: Bytes that the rolling hash sees.
 REACH = 32
@@ -24,6 +25,8 @@ REACH = 32
 BITS, MIN, MAX = 5, 12, 192
 #: Bytes of repeated chunks in a row that make a repeated passage.
 MIN_RUN = 128
+#: Digests with more than this part of all repeated chunks are broadcast with their first place.
+HOT_DIGESTS = 10_000
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -104,18 +107,35 @@ def repeated_spans(
     both id and text count as one text.
     """
     chunks = chunk_table(docs, id_col, text_col)
-    first = (
+    first = keep_table(
         chunks.groupBy("high", "low")
         .agg(
             F.min(F.struct("doc_id", "row_key", "position")).alias("first"),
             F.max(F.struct("doc_id", "row_key", "position")).alias("last"),
+            F.count(F.lit(1)).alias("n"),
         )
         .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select("high", "low", "first")
+        .select("high", "low", "first", "n")
     )
+    # A digest with more than its share of all repeated chunks meets them where they are. There are at most
+    # `HOT_DIGESTS` of these, so they are broadcast; every other digest has a small part of the chunks.
+    repeated = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.where(F.col("n") * HOT_DIGESTS > repeated).select("high", "low", F.col("first").alias("hot_first"))
+    place = F.struct("doc_id", "row_key", "position")
+    spread = F.xxhash64("row_key", "position")
+    is_hot = F.col("hot_first").isNotNull()
     later = (
-        chunks.join(first, ["high", "low"])
-        .where(~F.col("first").eqNullSafe(F.struct("doc_id", "row_key", "position")))
+        chunks.join(F.broadcast(hot), ["high", "low"], "left")
+        .withColumns(
+            {
+                "dealt": is_hot,
+                "high": F.when(is_hot, spread).otherwise(F.col("high")),
+                "low": F.when(is_hot, spread).otherwise(F.col("low")),
+            }
+        )
+        .join(first.select(F.lit(False).alias("dealt"), "high", "low", "first"), ["dealt", "high", "low"], "left")
+        .withColumn("first", F.coalesce("hot_first", "first"))
+        .where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place))
         .groupBy("doc_id", "row_key")
         .agg(F.sort_array(F.collect_set(F.struct("position", "size"))).alias("found"))
     )

@@ -11,8 +11,9 @@ aligned elements of m and n, it is L / (m + n - L). The band is as wide as 0.8 a
 
 Exact copies are collapsed first. All texts that share a key are compared, at every size of bucket: a bucket is
 dealt into blocks by node, and a task compares two blocks. It leaves a pair to the first key that the two texts
-share, so that each pair is aligned and counted once. What tasks hand on grows with their texts, not with pairs:
-each text's partners as one list, then its number of links and one text that it is connected with.
+share, so that each pair is aligned and counted once. Tasks hand on each text's partners as one list, so n different
+near copies of one text hand on up to n * n / 2 ids; behind the alignment there is one row for each text and task,
+its number of links and one text that it is connected with.
 """
 
 from __future__ import annotations

@@ -128,7 +128,7 @@ def write_packed_ids(
     """Encode every whole text, append `end_id`, and write all ids in ascending doc_id order.
 
     Null and empty texts hold the end id only. A null doc_id comes first; rows that share a doc_id stay
-    separate, in no stated order among themselves.
+    separate, in the order of a hash of their text, and may spread over several shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +185,11 @@ def write_packed_ids(
     )
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (
         id_and_text(docs, id_col, text_col)
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order)
         .mapInArrow(run, BLOCK_SCHEMA)
         .write.option("compression", "none")
         .parquet(path)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltline.llm.blocks import flat_bytes, text_blocks, whole_text
@@ -112,16 +112,24 @@ def segments(
     return text, starts - offsets[text], stops - starts, anchors, twice
 
 
+#: A row is found again by its id and a hash of its text, not by a hash alone.
+ROW = ["row_id", "row_key"]
+
+
+def _row(doc_id: str, text: str) -> dict[str, Column]:
+    return {"row_id": F.coalesce(doc_id, F.lit(0).cast("long")), "row_key": F.xxhash64(doc_id, text)}
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text")
-    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    ).withColumns(_row("doc_id", "text"))
 
 
 def repeated_spans(
     texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """(row_key, spans array<struct<start, size>>) for texts (doc_id, text, row_key): ranges to remove.
+    """(row_id, row_key, spans array<struct<start, size>>) for texts (doc_id, text, row_id, row_key): ranges to remove.
 
     Ranges may overlap. Texts that lose nothing have no row.
     """
@@ -142,17 +150,18 @@ def repeated_spans(
                 [
                     pa.array(anchor.view(np.int64)),
                     pa.array(np.frombuffer(digest, np.int64)),
+                    block.column("row_id").take(pa.array(text)),
                     block.column("row_key").take(pa.array(text)),
                     pa.array(start.astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                     pa.array(twice),
                 ],
-                ["anchor", "digest", "row_key", "start", "n", "twice"],
+                ["anchor", "digest", *ROW, "start", "n", "twice"],
             )
 
     found = keep_table(
-        texts.select("row_key", "text").mapInArrow(
-            find, "anchor long, digest long, row_key long, start int, n int, twice boolean"
+        texts.select(*ROW, "text").mapInArrow(
+            find, "anchor long, digest long, row_id long, row_key long, start int, n int, twice boolean"
         )
     )
     repeated = (
@@ -164,7 +173,7 @@ def repeated_spans(
     places = keep_table(found.drop("twice").join(repeated, "anchor"))
     distinct = keep_table(
         places.groupBy("anchor", "digest").agg(
-            F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "n")).alias("lead")
+            F.count("*").alias("copies"), F.min(F.struct(*ROW, "start", "n")).alias("lead")
         )
     )
     sizes = distinct.groupBy("anchor").agg(F.sum(F.col("lead.n") + length - 1).alias("bytes"))
@@ -174,7 +183,7 @@ def repeated_spans(
 
     wanted = (
         distinct.join(split, "anchor", "left")
-        .groupBy("lead.row_key")
+        .groupBy("lead.row_id", "lead.row_key")
         .agg(
             F.collect_list(
                 F.struct(
@@ -189,7 +198,7 @@ def repeated_spans(
         )
     )
     # Repeated rows would give a segment's text twice, which `_sorted_shard` and the sums below allow for.
-    contents = texts.join(wanted, "row_key").mapInArrow(
+    contents = texts.join(wanted, ROW).mapInArrow(
         _cutter(length), "anchor long, digest long, copies long, split boolean, content binary"
     )
     kind = "anchor long, digest long, at array<int>, windows array<int>"
@@ -204,15 +213,15 @@ def repeated_spans(
         marks = marks.unionByName(_single_windows(contents.where("split"), length))
     return (
         places.join(marks, ["anchor", "digest"])
-        .select("row_key", "start", F.explode(F.arrays_zip("at", "windows")).alias("mark"))
+        .select(*ROW, "start", F.explode(F.arrays_zip("at", "windows")).alias("mark"))
         .select(
-            "row_key",
+            *ROW,
             F.struct(
                 (F.col("start") + F.col("mark.at")).alias("start"),
                 (F.col("mark.windows") + length - 1).alias("size"),
             ).alias("span"),
         )
-        .groupBy("row_key")
+        .groupBy(*ROW)
         .agg(F.collect_set("span").alias("spans"))
     )
 
@@ -369,7 +378,7 @@ def removal_digests(
             )
 
     return (
-        texts.join(spans, "row_key", "left")
+        texts.join(spans, ROW, "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(
             run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -408,10 +417,10 @@ def without_repeats(
 
     names = docs.columns
     key = F.xxhash64(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
-    spans = spans.withColumnsRenamed({"row_key": "_row_key", "spans": "_spans"})
+    spans = spans.withColumnsRenamed({"row_id": "_row_id", "row_key": "_row_key", "spans": "_spans"})
     return (
-        docs.withColumn("_row_key", key)
-        .join(spans, "_row_key", "left")
+        docs.withColumns({"_row_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_row_key": key})
+        .join(spans, ["_row_id", "_row_key"], "left")
         .select(*names, "_spans")
         .mapInArrow(cut, docs.schema)
     )
