@@ -109,7 +109,10 @@ def _tile_verdicts(pairs: DataFrame) -> DataFrame:
     most = EARTH_RADIUS_M * F.hypot(
         F.radians(_span(*lats)), widest * F.radians(_span(*lons))
     )
-    least = EARTH_RADIUS_M * F.radians(_gap(*lats))
+    # No two points are nearer than the gaps, measured where meridians are closest together.
+    farthest_pole = F.greatest(F.abs(F.least("a_south", "south")), F.abs(F.greatest("a_north", "north")))
+    across = F.cos(F.radians(farthest_pole)) * F.sin(F.radians(_gap(*lons)) / 2)
+    least = 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.hypot(F.sin(F.radians(_gap(*lats)) / 2), across)))
     return pairs.withColumn(
         "verdict",
         F.when(most < MERGE_DISTANCE_M - 0.001, F.lit("close"))
@@ -162,23 +165,99 @@ def _name_edges(points: DataFrame) -> DataFrame:
         .select("name", *(f"{side}{part}" for side in ("a_", "") for part in TILE[1:]))
     )
     # Components at the very same spot behave alike: compare one of them.
-    spots = tiled.groupBy(*TILE, "latitude", "longitude").agg(F.min("label").alias("label"))
-    left = spots.select(
-        "name",
-        *(F.col(part).alias(f"a_{part}") for part in (*TILE[1:], "latitude", "longitude", "label")),
+    spots = keep_table(tiled.groupBy(*TILE, "latitude", "longitude").agg(F.min("label").alias("label")))
+    return sure.unionByName(_edges_between(apart, spots))
+
+
+#: Two boxes are compared spot by spot if their numbers of spots multiply to no more than this.
+COMPARED_SPOTS = 4_096
+#: Halvings after which boxes are compared whatever they hold: below a metre.
+MOST_HALVINGS = 16
+
+BOX = (*TILE, "sub_y", "sub_x")
+
+
+def _boxes(spots: DataFrame, halvings: int) -> DataFrame:
+    """Spots with the place of their box in the tile, halved so many times along both sides."""
+
+    def part(axis: str, units: Column) -> Column:
+        inside = (units - F.col(f"cell_{axis}")) * TILES - F.col(f"tile_{axis}")
+        return F.floor(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1 - 1e-12)) * 2**halvings)
+
+    return spots.withColumn("sub_y", part("y", F.col("latitude") / CELL_LAT)).withColumn(
+        "sub_x", part("x", F.col("longitude") / CELL_LON)
     )
-    compared = (
-        apart.join(left, ["name", *(f"a_{part}" for part in TILE[1:])])
-        .join(spots, list(TILE))
-        .filter(
-            haversine_m(
-                F.col("a_latitude"), F.col("a_longitude"), F.col("latitude"), F.col("longitude")
+
+
+def _sided(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """`df` for the left side of a pair: all but the name with a_ in front."""
+    return df.select("name", *(F.col(name).alias(f"a_{name}") for name in columns if name != "name"))
+
+
+def _edges_between(pairs: DataFrame, spots: DataFrame) -> DataFrame:
+    """An edge for each pair of tiles that has two spots within the merge distance.
+
+    As in a dual tree, pairs of boxes are halved together until they are close or far as a whole, or hold few
+    spots. A tile is one component already, so the first edge ends the work on its pair.
+    """
+    left_tile = [f"a_{part}" for part in TILE[1:]]
+    tops = ["name", *left_tile, *TILE[1:]]
+    left_box, right_box = ["name", *(f"a_{part}" for part in BOX[1:])], list(BOX)
+    zero = F.lit(0).cast("long")
+    front = pairs.withColumns({name: zero for name in ("a_sub_y", "a_sub_x", "sub_y", "sub_x")})
+    edges: DataFrame | None = None
+    for halvings in range(MOST_HALVINGS + 1):
+        placed = _boxes(spots, halvings)
+        sizes = placed.groupBy(*BOX).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("label").alias("head"),
+            F.min("latitude").alias("south"),
+            F.max("latitude").alias("north"),
+            F.min("longitude").alias("west"),
+            F.max("longitude").alias("east"),
+        )
+        parts = (*BOX, "n", "head", "south", "north", "west", "east")
+        if halvings:
+            # Each box has up to four occupied parts.
+            parents = {name: F.shiftright(name, 1) for name in ("sub_y", "sub_x")}
+            fine = ["fine_y", "fine_x"]
+            inner = sizes.withColumns({"fine_y": F.col("sub_y"), "fine_x": F.col("sub_x")}).withColumns(parents)
+            front = front.join(_sided(inner, (*parts, *fine)), left_box).join(inner, right_box)
+            for side in ("a_", ""):
+                front = front.drop(f"{side}sub_y", f"{side}sub_x").withColumnsRenamed(
+                    {f"{side}fine_y": f"{side}sub_y", f"{side}fine_x": f"{side}sub_x"}
+                )
+        else:
+            front = front.join(_sided(sizes, parts), left_box).join(sizes, right_box)
+        front = keep_table(_tile_verdicts(front).filter("verdict != 'far'"))
+        few = (F.col("a_n") * F.col("n") <= COMPARED_SPOTS) | F.lit(halvings == MOST_HALVINGS)
+        compared = (
+            front.filter((F.col("verdict") == "open") & few)
+            .select(*tops, *(name for name in (*left_box, *right_box) if name not in tops))
+            .join(_sided(placed, (*BOX, "latitude", "longitude", "label")), left_box)
+            .join(placed, right_box)
+            .filter(
+                haversine_m(F.col("a_latitude"), F.col("a_longitude"), F.col("latitude"), F.col("longitude"))
+                <= MERGE_DISTANCE_M
             )
-            <= MERGE_DISTANCE_M
+            .select(*tops, F.col("a_label").alias("src"), F.col("label").alias("dst"))
         )
-        .select(F.col("a_label").alias("src"), F.col("label").alias("dst"))
-    )
-    return sure.unionByName(compared)
+        close = front.filter("verdict = 'close'").select(
+            *tops, F.col("a_head").alias("src"), F.col("head").alias("dst")
+        )
+        # One edge for a pair of tiles will do.
+        found = keep_table(
+            close.unionByName(compared)
+            .groupBy(*tops)
+            .agg(F.min(F.struct("src", "dst")).alias("edge"))
+            .select(*tops, "edge.src", "edge.dst")
+        )
+        edges = found.select("src", "dst") if edges is None else edges.unionByName(found.select("src", "dst"))
+        front = front.filter((F.col("verdict") == "open") & ~few).join(found.select(*tops), tops, "left_anti")
+        front = front.select(*tops, "a_sub_y", "a_sub_x", "sub_y", "sub_x")
+        if front.isEmpty():
+            break
+    return edges
 
 
 def group_labels(stops: DataFrame) -> DataFrame:

@@ -107,6 +107,18 @@ def rank_by_range(
     return rank_by_bucket(ranged, group, "bucket", order, weight).drop("bucket")
 
 
+#: A group of up to so many rows, or so many times its limit, is cheaper to look through than to merge.
+QUIET_ROWS, QUIET_TIMES = 64, 4
+
+
+def by_crowd(asked: DataFrame, rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """asked(group, limit, …) whose group has few rows, and those whose group has many."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    sized = keep_table(asked.join(sizes, group))
+    quiet = F.col("n_rows") <= F.greatest(F.lit(QUIET_ROWS), QUIET_TIMES * F.col("limit"))
+    return sized.filter(quiet).drop("n_rows"), sized.filter(~quiet).drop("n_rows")
+
+
 def ranked_lists(
     rows: DataFrame,
     lists: Sequence[str],

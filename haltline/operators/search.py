@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from haltline.functions import fold_text, search_terms
 from haltline.operators.ranking import first_per_group, with_limits
@@ -93,11 +94,47 @@ def _term_hits(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def _gain() -> Column:
+    """BM25 of one term in one stop."""
+    tf, length = F.col("tf"), F.col("length") / F.col("average")
+    return F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+
+
+def _single_term_scores(
+    asked: DataFrame, postings: DataFrame, limits: DataFrame, largest: int
+) -> DataFrame:
+    """(query, stop_id, score) that hold the first `limit` stops of queries of one term.
+
+    Stops with the same (tf, length) have the same score, so only these classes are scored. They are opened from the
+    best score down until they hold enough stops, and a class gives no more than its first stops by name.
+    postings(term, stop_id, tf, length, name), asked(query, term, times, idf, average).
+    """
+    kind = ["term", "tf", "length"]
+    classes = postings.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"))
+    scored = (
+        asked.join(classes, "term")
+        .withColumn("score", F.round(_gain(), 9))
+        .join(limits, "query")
+    )
+    levels = scored.groupBy("query", "limit", "score").agg(F.sum("n").alias("n"))
+    better = Window.partitionBy("query").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    opened = levels.withColumn("before", F.coalesce(F.sum("n").over(better), F.lit(0))).filter(
+        F.col("before") < F.col("limit")
+    )
+    wanted = scored.join(opened.select("query", "score"), ["query", "score"]).select("query", "limit", "score", *kind)
+    members = first_per_group(
+        postings.join(wanted.select(*kind).distinct(), kind, "left_semi"), kind, ["name", "stop_id"], largest
+    )
+    found = wanted.join(members.select(*kind, "stop_id", "rank"), kind).filter(F.col("rank") <= F.col("limit"))
+    return found.select("query", "stop_id", "score")
+
+
 def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, query, limit): stops where every term of the query occurs.
 
-    Ordered by BM25, then name, then id. Each distinct query is answered once: its rarest term
-    lists the candidates and the other terms are looked up for those only.
+    Ordered by BM25, then name, then id. Each distinct query is answered once: of one term, classes of equal
+    score are opened from the best down; of several terms, the rarest lists the candidates and the others
+    are looked up for those only.
     """
     requests, largest = with_limits(valid_requests(requests, "search_stops"))
     stops = stop_view(timetable.stops)
@@ -123,23 +160,21 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     plans = plans.filter(F.col("rarest.df") > 0).select(
         "query", "n_terms", F.col("rarest.term").alias("term")
     )
-    candidates = plans.join(hits.select("term", "stop_id"), "term").select(
+    lengths = tokens.groupBy("stop_id").agg(F.count(F.lit(1)).alias("length"))
+    alone = _single_term_scores(
+        plans.filter("n_terms = 1").select("query", "term").join(weighted, ["query", "term"]),
+        hits.join(lengths, "stop_id").join(stops.select("stop_id", "name"), "stop_id"),
+        requests.groupBy("query").agg(F.max("limit").alias("limit")),
+        largest,
+    )
+    candidates = plans.filter("n_terms > 1").join(hits.select("term", "stop_id"), "term").select(
         "query", "n_terms", "stop_id"
     )
-    lengths = tokens.groupBy("stop_id").agg(F.count(F.lit(1)).alias("length"))
-    tf = F.col("tf")
-    scores = (
+    together = (
         candidates.join(weighted.select("query", "term", "times", "idf", "average"), "query")
         .join(hits, ["term", "stop_id"])
         .join(lengths, "stop_id")
-        .withColumn(
-            "gain",
-            F.col("times")
-            * F.col("idf")
-            * tf
-            * (K1 + 1)
-            / (tf + K1 * (1 - B + B * F.col("length") / F.col("average"))),
-        )
+        .withColumn("gain", _gain())
         .groupBy("query", "stop_id")
         .agg(
             F.sum("gain").alias("score"),
@@ -147,8 +182,9 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
             F.first("n_terms").alias("n_terms"),
         )
         .filter(F.col("found") == F.col("n_terms"))
-        .withColumn("score", F.round("score", 9))
+        .select("query", "stop_id", F.round("score", 9).alias("score"))
     )
+    scores = together.unionByName(alone)
     best = first_per_group(
         scores.join(stops, "stop_id"), ["query"], [F.desc("score"), "name", "stop_id"], largest
     )

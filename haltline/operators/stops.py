@@ -11,6 +11,7 @@ from haltline.functions import gtfs_time_text, iso_date
 from haltline.operators.calendar import service_active_on
 from haltline.operators.indexes import stop_route_pairs
 from haltline.operators.ranking import (
+    by_crowd,
     first_per_group,
     merge_lists,
     ranked_lists,
@@ -107,10 +108,10 @@ def _departure_view(rows: DataFrame, timetable: Timetable, *keys: str) -> DataFr
 def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, after, limit) to the next departures.
 
-    Departures of a (stop, service) are ranked in time order once, whatever dates are asked for. The services
-    of a stop that run on a request's date are then merged like sorted lists: each is read only as far as
-    all of them together surely hold `limit` departures. Calls joined grow with answers, not with services,
-    dates or the calls of a busy stop.
+    The few calls of a quiet stop are looked through. At a busy stop the departures of each service are ranked
+    in time order once, whatever dates are asked for, and the services that run on a request's date are merged
+    like sorted lists: each is read only as far as all of them together surely hold `limit` departures. Calls
+    joined grow with answers, not with services, dates or the calls of a busy stop.
     """
     requests, largest = with_limits(valid_requests(requests, "departures"))
     served, second = ["stop_id", "service_id"], "departure_seconds"
@@ -120,19 +121,27 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     calls = calls.filter(F.col(second) >= F.col("earliest")).drop("earliest")
     # Counted and ranked from below, so the scan and joins are done once.
     rows = keep_table(_departing_trips(calls, timetable))
-    asked_times = requests.select("stop_id", F.col("after").alias(second)).distinct()
-    marks = asked_times.join(rows.select(*served).distinct(), "stop_id")
-    ranked, before = ranked_lists(rows, served, second, DEPARTURE_ORDER, largest, marks)
-    asked = (
-        requests.join(before.withColumnRenamed(second, "after"), ["stop_id", "after"])
-        .join(
-            running_services(timetable, requests.select("service_date").distinct()),
-            ["service_id", "service_date"],
-            "left_semi",
-        )
-        .select("request_id", *served, "service_date", "limit", "before")
+    quiet, busy = by_crowd(requests, rows, "stop_id")
+    day = ["service_id", "service_date"]
+    running = running_services(timetable, requests.select("service_date").distinct())
+    found = (
+        quiet.join(rows, "stop_id")
+        .filter(F.col(second) >= F.col("after"))
+        .join(running, day, "left_semi")
+        .drop("after")
     )
-    found = merge_lists(ranked, asked, served, second, ["request_id"])
+    if not busy.isEmpty():
+        crowded = rows.join(busy.select("stop_id").distinct(), "stop_id", "left_semi")
+        times = busy.select("stop_id", F.col("after").alias(second)).distinct()
+        marks = times.join(crowded.select(*served).distinct(), "stop_id")
+        ranked, before = ranked_lists(crowded, served, second, DEPARTURE_ORDER, largest, marks)
+        asked = (
+            busy.join(before.withColumnRenamed(second, "after"), ["stop_id", "after"])
+            .join(running, day, "left_semi")
+            .select("request_id", *served, "service_date", "limit", "before")
+        )
+        merged = merge_lists(ranked, asked, served, second, ["request_id"])
+        found = found.select(*merged.columns).unionByName(merged)
     best = top_per_request(found, [second, *DEPARTURE_ORDER], largest)
     return _departure_view(best, timetable, "request_id", "stop_id")
 
@@ -172,20 +181,26 @@ def first_running_trips(
 ) -> DataFrame:
     """(group, service_date, trip_id, rank) of the first `limit` trips by id for asked(group, service_date, limit).
 
-    trips(group, trip_id, service_id) are distinct. Only services that run on the date are looked at.
+    trips(group, trip_id, service_id) are distinct. Only services that run on the date are looked at, and those
+    of a group with many trips only as far as `limit` asks.
     """
-    served = [group, "service_id"]
+    served, day = [group, "service_id"], [group, "service_date"]
     trips = keep_table(trips)
-    ranked, _ = ranked_lists(trips, served, "trip_id", [], largest)
     running = running_services(timetable, asked)
-    pairs = (
-        asked.join(trips.select(*served).distinct(), group)
-        .join(running, ["service_id", "service_date"], "left_semi")
-        .withColumn("before", F.lit(0).cast("long"))
-    )
-    day = [group, "service_date"]
-    found = merge_lists(ranked, pairs, served, "trip_id", day).select(*day, "trip_id", "limit")
-    return first_per_group(found, day, ["trip_id"], largest).drop("limit")
+    on_date = ["service_id", "service_date"]
+    columns = [*day, "trip_id"]
+    quiet, busy = by_crowd(asked, trips, group)
+    found = quiet.join(trips, group).join(running, on_date, "left_semi").select(*columns)
+    if not busy.isEmpty():
+        crowded = trips.join(busy.select(group).distinct(), group, "left_semi")
+        ranked, _ = ranked_lists(crowded, served, "trip_id", [], largest)
+        pairs = (
+            busy.join(crowded.select(*served).distinct(), group)
+            .join(running, on_date, "left_semi")
+            .withColumn("before", F.lit(0).cast("long"))
+        )
+        found = found.unionByName(merge_lists(ranked, pairs, served, "trip_id", day).select(*columns))
+    return first_per_group(found, day, ["trip_id"], largest)
 
 
 def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
+from haltline.operators import groups as stop_groups
 from haltline.operators.components import connected_components
 from haltline.operators.groups import derive_stop_groups, stop_group_details
 from haltline.operators.load import normalize_feed
@@ -111,7 +114,10 @@ def brute_force(rows):
     return sorted(map(sorted, result.values()))
 
 
-def test_crowds_of_namesakes_against_brute_force(spark):
+@pytest.mark.parametrize("compared", [4_096, 1, 9])
+def test_crowds_of_namesakes_against_brute_force(spark, monkeypatch, compared):
+    # Few spots to compare at once make tile pairs be halved.
+    monkeypatch.setattr(stop_groups, "COMPARED_SPOTS", compared)
     rng = random.Random(11)
     rows = []
     for n in range(400):
@@ -129,6 +135,26 @@ def test_crowds_of_namesakes_against_brute_force(spark):
     assert as_sets(shuffled) == as_sets(members)
 
 
+def test_two_open_tiles_full_of_namesakes_are_halved(spark):
+    rng = random.Random(12)
+    # 10 000 spots of one name left and right of a gap of just over 150 m.
+    west, east = 5.0 + 0.00005, 5.0 + 0.00005 + 151 / 111_194.9 / math.cos(math.radians(52.0))
+    rows = []
+    for n in range(10_000):
+        lat, inside = 52.0001 + rng.random() * 0.0003, rng.random() * 0.00004
+        rows.append((f"s{n:05d}", "Markt", lat, west - inside if n % 2 else east + inside, 0, None))
+    _, members = derive(spark, rows)
+    assert sorted(map(len, as_sets(members).values())) == [5_000, 5_000]
+    # A spot far away in the eastern tile leaves both open.
+    rows.append(("y", "Markt", 52.0001, 5.00168, 0, None))
+    # Only one spot of 10 000 in reach of one other joins them.
+    rows.append(("x", "Markt", 52.00025, east - 3 / 111_194.9 / math.cos(math.radians(52.0)), 0, None))
+    near = max((row for row in rows[:10_000] if row[0] > "s" and int(row[0][1:]) % 2), key=lambda row: row[3])
+    reach = metres(rows[-1][2], rows[-1][3], near[2], near[3])
+    _, members = derive(spark, rows)
+    assert reach < 150 and len(as_sets(members)) == 1
+
+
 def test_group_details(spark, harbour_folder):
     tables = normalize_feed(read_feed(spark, harbour_folder))
     groups, members = derive_stop_groups(tables.stops)
