@@ -8,6 +8,7 @@ afterwards, which costs nothing in a clean feed because the list of bad keys is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from haltline.functions import within_degrees
 from haltline.schema import WEEKDAYS, Feed
-from haltline.session import cut_lineage, keep_table
+from haltline.session import cut_lineage, keep_table, side_by_side
 
 REPORT_CAP = 100
 ROWS_PER_CHUNK_BITS = 20
@@ -620,9 +621,9 @@ RULE_FAMILIES = {
 
 def staged(feed: Feed) -> Feed:
     """The typed records written once, so that no rule reads and parses the files again."""
-    return Feed(
-        **{name: keep_table(getattr(feed, name)) for name in Feed.__dataclass_fields__}
-    )
+    names = list(Feed.__dataclass_fields__)
+    kept = side_by_side([partial(keep_table, getattr(feed, name)) for name in names])
+    return Feed(**dict(zip(names, kept, strict=True)))
 
 
 def validate(feed: Feed) -> DataFrame:
@@ -630,7 +631,8 @@ def validate(feed: Feed) -> DataFrame:
 
     Rules read a file several times; pass a `staged` feed if its files are costly to parse.
     """
-    return _union([family(feed) for family in RULE_FAMILIES.values()])
+    # Some rules write the bad keys they find before their issues can be listed.
+    return _union(side_by_side([partial(family, feed) for family in RULE_FAMILIES.values()]))
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,12 @@ def keep_table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+#: Jobs that run beside one another: small ones leave most executors idle.
+BESIDE = 6
+
+
+def side_by_side(actions: Iterable[Callable[[], Any]]) -> list[Any]:
+    """Results of independent actions, in order, whose Spark jobs share the cluster. The first error is raised."""
+    with ThreadPoolExecutor(BESIDE) as pool:
+        return list(pool.map(lambda action: action(), actions))

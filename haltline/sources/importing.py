@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,12 @@ def import_feed(
     if total.agg(F.sum("n")).first()[0]:
         order = ["file", "row_no", "column"]
         _reject_if_any(store, version, "unreadable values", unreadable_records(texts), order)
-    _reject_if_any(store, version, "validation", validate(feed), ["code", "record", "message"])
     timetable = normalize_feed(feed)
-    groups, members = derive_stop_groups(timetable.stops)
+    with ThreadPoolExecutor(1) as beside:
+        # Groups only need the stops; they are used if the feed turns out to be valid.
+        grouped = beside.submit(derive_stop_groups, timetable.stops)
+        _reject_if_any(store, version, "validation", validate(feed), ["code", "record", "message"])
+        groups, members = grouped.result()
     return store.publish(version, timetable, groups, members)
 
 

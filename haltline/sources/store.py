@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from haltline.functions import iso_date
 from haltline.operators.indexes import INDEX_CLUSTERING, build_indexes
 from haltline.schema import SCHEMA_VERSION, Timetable
-from haltline.session import cut_lineage
+from haltline.session import cut_lineage, side_by_side
 from haltline.sources.feed import feed_counts
 
 VERSION_PATTERN = re.compile(r"[A-Za-z0-9._-]{1,128}")
@@ -117,18 +118,21 @@ class VersionStore:
             tables |= {"stop_groups": groups, "stop_group_members": members}
         entries = [("schedule_version", version), ("imported_at_unix", str(int(time.time())))]
         tables["feed_metadata"] = self.spark.createDataFrame(entries, "key string, value string")
-        sent: dict[str, Observation] = {}
-        for name, df in (tables | indexes).items():
-            keys = (CLUSTERING | INDEX_CLUSTERING).get(name)
+        everything = tables | indexes
+        sent = {name: Observation() for name in everything}
+
+        def write(name: str) -> None:
+            df, keys = everything[name], (CLUSTERING | INDEX_CLUSTERING).get(name)
             if keys:
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            # An unlisted folder of the same name is a failed attempt and is replaced.
-            sent[name] = Observation()
             df = df.observe(sent[name], F.count(F.lit(1)).alias("n"))
-            # Row groups are what a request for few keys reads at least.
+            # An unlisted folder of the same name is a failed attempt and is replaced. Row groups are what a
+            # request for few keys reads at least.
             df.write.option("parquet.block.size", ROW_GROUP_BYTES).mode("overwrite").parquet(
                 self._table_path(version, name)
             )
+
+        side_by_side([partial(write, name) for name in everything])
         if sent["calls_by_trip"].get["n"] != sent["stop_times"].get["n"]:
             raise VersionError("calls_by_trip was not written as expected")
         written = {name: self.read_table(version, name) for name in tables}
