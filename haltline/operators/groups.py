@@ -17,6 +17,8 @@ CELL_LAT, CELL_LON = 0.0015, 0.0025
 TILES = 3
 MEMBERS_PER_PART = 1_000
 STATION = 1
+#: Mean positions are cut to so many digits, 0.1 mm: sums of doubles depend on the order rows come in, and a border must not.
+POSITION_DIGITS = 9
 
 
 def _with_labels(stops: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,7 +274,8 @@ def group_labels(stops: DataFrame) -> DataFrame:
 def derive_stop_groups(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """stops to (groups, members). Every stop is in exactly one group, alone if need be.
 
-    A group is named after its first station, or its first stop if it has none.
+    A group is named after its first station, or its first stop if it has none. Its position, the mean of its
+    stations or else stops, is rounded to `POSITION_DIGITS`.
     """
     labelled = cut_lineage(
         group_labels(
@@ -291,7 +294,7 @@ def derive_stop_groups(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def mean(column: str) -> Column:
         of_stations = F.avg(F.when(usable & station, F.col(column)))
-        return F.coalesce(of_stations, F.avg(F.when(usable, F.col(column))))
+        return F.round(F.coalesce(of_stations, F.avg(F.when(usable, F.col(column)))), POSITION_DIGITS)
 
     summary = labelled.groupBy("label").agg(
         F.coalesce(F.min(F.when(station, F.col("stop_id"))), F.min("stop_id")).alias("preferred"),

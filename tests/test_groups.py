@@ -9,6 +9,7 @@ from haltline.operators import groups as stop_groups
 from haltline.operators.components import connected_components
 from haltline.operators.groups import derive_stop_groups, stop_group_details
 from haltline.operators.load import normalize_feed
+from haltline.operators.spatial import stop_groups_in_rect
 from haltline.sources.feed import read_feed
 from tests.test_queries import STOPS, metres
 
@@ -173,3 +174,16 @@ def test_group_details(spark, harbour_folder):
     assert [a.name for a in detail[0].agencies] == ["Fjordlink"]
     parts = stop_group_details(tables, groups, members, asked, part_size=1).collect()
     assert sorted(m.stop_id for row in parts for m in row.members) == sorted(by_stop)
+
+
+def test_mean_positions_on_a_border_do_not_depend_on_the_order_of_rows(spark):
+    groups, _ = derive(
+        spark,
+        [("a", "A", 0.1, 9.5, 0, None), ("b", "B", 0.2, 9.5, 0, "a"), ("c", "C", 0.3, 9.5, 0, "a")],
+    )
+    box = spark.createDataFrame(
+        [(1, 0.2, 9.5, 0.2, 9.5, 5)],
+        "request_id long, min_lat double, min_lon double, max_lat double, max_lon double, limit int",
+    )
+    found = stop_groups_in_rect(groups, box).collect()
+    assert [(row.group_id, row.latitude) for row in found] == [("group:a", 0.2)]
