@@ -32,3 +32,14 @@ def test_shapes_of_many_trips_are_given_by_many_tasks(spark, harbour_folder, mon
     by_task = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert sum(row["count"] for row in by_task) == n_rows
     assert len(by_task) > 4
+
+
+def test_details_are_the_same_however_they_are_dealt(spark, harbour_folder, monkeypatch):
+    timetable = normalize_feed(read_feed(spark, harbour_folder))
+    requests = timetable.trips.select("trip_id").crossJoin(spark.range(3)).select(
+        F.xxhash64("trip_id", "id").alias("request_id"), "trip_id"
+    )
+    whole = sorted(map(repr, trips.trip_detail(timetable, requests, 1).collect()))
+    monkeypatch.setattr(spread, "TASK_ROWS", 2)
+    assert sorted(map(repr, trips.trip_detail(timetable, requests, 1).collect())) == whole
+    assert len(whole) > requests.count()
