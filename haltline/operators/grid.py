@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from haltline.operators.spread import spread_join
+
 # Cell sizes in degrees, each a quarter of the one before: 256, 64, … 0.0009765625.
 # Powers of two keep cell borders exact, and the coarsest cell covers any box.
 CELL_SIZES = tuple(256.0 / 4**level for level in range(10))
@@ -84,9 +86,9 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     located = cell_keys(
         points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     )
+    cell = ["cell_level", "cell_y", "cell_x"]
     return (
-        box_cells(boxes)
-        .join(located, ["cell_level", "cell_y", "cell_x"])
+        spread_join(box_cells(boxes), located, cell, boxes.columns)
         .filter(
             F.col("latitude").between(F.col("min_lat"), F.col("max_lat"))
             & F.col("longitude").between(F.col("min_lon"), F.col("max_lon"))

@@ -18,6 +18,7 @@ from haltline.operators.ranking import DEFAULT_RECT_LIMIT, top_per_request, with
 from haltline.operators.requests import valid_requests
 from haltline.operators.stops import stop_view
 from haltline.schema import GROUP_COLUMNS, STOP_COLUMNS, Timetable
+from haltline.session import keep_table
 
 
 def _with_rule_box(requests: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def _reach(spots: DataFrame, boxed: DataFrame) -> DataFrame:
         boxed.withColumn("latitude", F.col("lat")).withColumn("longitude", F.col("lon"))
     )
     return (
-        own_cells.join(counts, cell)
+        own_cells.join(counts.hint("merge"), cell)
         .withColumn("reach", F.radians(steps) * EARTH_RADIUS_M)
         .filter(
             (F.col("n") >= F.col("limit"))
@@ -110,11 +111,13 @@ def nearby_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     stops = stop_view(timetable.stops).filter(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     )
-    spots = distinct_spots(
-        stops.select("stop_id", "latitude", "longitude"), "stop_id", largest
+    spots = keep_table(
+        distinct_spots(stops.select("stop_id", "latitude", "longitude"), "stop_id", largest)
     )
     boxed = _with_rule_box(requests)
-    boxes = _shrunk_to_reach(boxed.join(_reach(spots, boxed), "request_id", "left"))
+    # Sizes are guessed from compressed files, in which cells and names count for nothing: without the hints, a million
+    # stops in ten sizes of cells would be broadcast.
+    boxes = keep_table(_shrunk_to_reach(boxed.join(_reach(spots, boxed).hint("merge"), "request_id", "left")))
     candidates = (
         points_in_boxes(spots, boxes)
         .withColumn(
@@ -125,7 +128,7 @@ def nearby_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
         .select("request_id", "limit", "stop_id", "distance_m")
     )
     best = top_per_request(candidates, ["distance_m", "stop_id"], largest)
-    return best.join(stops, "stop_id").select("request_id", "rank", *STOP_COLUMNS, "distance_m")
+    return best.join(stops.hint("merge"), "stop_id").select("request_id", "rank", *STOP_COLUMNS, "distance_m")
 
 
 def stops_in_rect(timetable: Timetable, requests: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def stops_in_rect(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
     found = first_keys_in_boxes(spots, "stop_id", requests, largest)
     best = top_per_request(found, ["stop_id"], largest)
-    return best.join(stops, "stop_id").select("request_id", *STOP_COLUMNS)
+    return best.join(stops.hint("merge"), "stop_id").select("request_id", *STOP_COLUMNS)
 
 
 def stop_groups_in_rect(groups: DataFrame, requests: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def stop_groups_in_rect(groups: DataFrame, requests: DataFrame) -> DataFrame:
     )
     found = first_keys_in_boxes(spots, "group_id", requests, largest)
     best = top_per_request(found, ["group_id"], largest)
-    return best.join(groups, "group_id").select("request_id", *GROUP_COLUMNS)
+    return best.join(groups.hint("merge"), "group_id").select("request_id", *GROUP_COLUMNS)
 
 
 __all__ = ["nearby_stops", "stop_groups_in_rect", "stops_in_rect"]

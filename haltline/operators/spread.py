@@ -38,7 +38,8 @@ def spread_join(
     )
     total = sizes.agg(F.sum("n_rows")).first()[0] or 0.0
     if total <= task_rows:
-        return asked.join(items, keys, how)
+        # Sizes are guessed from compressed files and know nothing of exploded rows, so nothing is left to a broadcast.
+        return asked.join(items.hint("merge"), keys, how)
     task_rows = max(task_rows, int(total / MOST_TASKS))
     n_tasks = int(total // task_rows) + 1
     busy = F.broadcast(
