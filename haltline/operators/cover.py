@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltline.operators.grid import CELL_SIZES, box_cells, cell_keys, points_in_boxes
-from haltline.operators.ranking import merge_lists, ranked_lists
+from haltline.operators.ranking import first_per_group, merge_lists, ranked_lists
+from haltline.operators.spread import spread_join
 from haltline.session import keep_table
 
 #: A box is covered by cells if its own cells hold more points than so many times its limit.
 CROWD = 4
 #: A cell on the border of a box is taken point by point once it holds less than this share of the limit.
 BORDER_SHARE = 8
+#: Before a crowded box is covered, so many keys for each one it asks for are read of every cell it touches, and
+#: `PREFIX_ROWS` more.
+PREFIX_TIMES = (2, 16)
+PREFIX_ROWS = 16
 
 _CELL = ["cell_level", "cell_y", "cell_x"]
 
@@ -21,31 +26,70 @@ def first_keys_in_boxes(spots: DataFrame, key: str, requests: DataFrame, largest
     """requests(request_id, min_lat, min_lon, max_lat, max_lon, limit) to rows (request_id, limit, key).
 
     They hold the first `limit` keys of each box; the caller cuts the rest. Points of a box with few of them are
-    looked at one by one. A crowded box is covered by whole cells of mixed size, and by the points of small cells
-    along its border. Each cell has its keys as a ranked list, and these lists are merged as far as asked, so rows
-    grow with the limit and the border, not with what the box holds.
+    looked at one by one. For a crowded box the first keys of the few cells it touches are read, twice at most, which
+    answers all boxes but those that hold little of their cells. These are covered by whole cells of mixed size, and by
+    the points of small cells along the border. Each cell has its keys as a ranked list, and these lists are merged
+    as far as asked, so rows grow with the limit and the border, not with what the box holds.
     """
     spots = keep_table(spots)
     counts = keep_table(cell_keys(spots).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")))
     touched = box_cells(requests).join(counts, _CELL)
-    crowded = keep_table(
-        touched.groupBy("request_id", "limit")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > CROWD * F.col("limit"))
-        .select("request_id")
-    )
+    held = touched.groupBy("request_id", "limit").agg(F.sum("n").alias("n"))
+    crowded = keep_table(held.filter(F.col("n") > CROWD * F.col("limit")).select("request_id"))
     columns = ["request_id", "limit", key]
     if crowded.isEmpty():
         return points_in_boxes(spots, requests).select(*columns)
     quiet = requests.join(crowded, "request_id", "left_anti")
-    inner, border = _cover(touched.join(crowded, "request_id", "left_semi"), counts)
+    found = points_in_boxes(spots, quiet).select(*columns)
+    left = keep_table(requests.join(crowded, "request_id", "left_semi"))
+    for times in PREFIX_TIMES:
+        answered, left = _from_prefixes(spots, key, left, counts, largest, times)
+        found = found.unionByName(answered.select(*columns))
+        if left.isEmpty():
+            break
+    inner, border = _cover(box_cells(left).join(counts, _CELL), counts)
     cells = cell_keys(spots)
     rows = cells.join(inner.select(*_CELL).distinct(), _CELL, "left_semi").select(*_CELL, key)
     ranked, _ = ranked_lists(rows, _CELL, key, [], largest)
     asked = inner.select("request_id", "limit", *_CELL, F.lit(0).cast("long").alias("before"))
     whole = merge_lists(ranked, asked, _CELL, key, ["request_id"]).select(*columns)
     single = border.join(cells, _CELL).filter(_inside_box("latitude", "longitude")).select(*columns)
-    return points_in_boxes(spots, quiet).select(*columns).unionByName(whole).unionByName(single)
+    return found.unionByName(whole).unionByName(single)
+
+
+def _from_prefixes(
+    spots: DataFrame, key: str, boxes: DataFrame, counts: DataFrame, largest: int, times: int
+) -> tuple[DataFrame, DataFrame]:
+    """Answers of the boxes that the first keys of their cells are enough for, and the boxes left.
+
+    Of a cell read in part nothing is known behind its last key read. Up to the least of these keys a box knows all it
+    holds, and it is answered if that is as much as it asks for.
+    """
+    depth = (F.col("limit") * times + PREFIX_ROWS).alias("depth")
+    asked = box_cells(boxes).select("*", depth).join(counts.hint("merge"), _CELL)
+    depths = asked.groupBy(*_CELL).agg(F.max("depth").alias("deepest"))
+    rows = cell_keys(spots).join(depths.hint("merge"), _CELL)
+    rows = first_per_group(rows, _CELL, [key], largest * times + PREFIX_ROWS)
+    rows = keep_table(rows.filter(F.col("rank") <= F.col("deepest")).drop("deepest"))
+    read = keep_table(
+        spread_join(asked, rows, _CELL, ["request_id"])
+        .filter(F.col("rank") <= F.col("depth"))
+        .select(
+            "request_id",
+            "limit",
+            key,
+            _inside_box("latitude", "longitude").alias("inside"),
+            ((F.col("rank") == F.col("depth")) & (F.col("n") > F.col("depth"))).alias("cut"),
+        )
+        .filter("inside OR cut")
+    )
+    known = read.filter("cut").groupBy("request_id").agg(F.min(key).alias("known"))
+    first = first_per_group(read.filter("inside"), ["request_id"], [key], largest).filter("rank <= limit")
+    last = first.filter("rank = limit").select("request_id", F.col(key).alias("last"))
+    enough = F.col("known").isNull() | F.coalesce(F.col("last") <= F.col("known"), F.lit(False))
+    ended = boxes.select("request_id").join(known, "request_id", "left").join(last, "request_id", "left").filter(enough)
+    ended = keep_table(ended.select("request_id"))
+    return first.join(ended, "request_id", "left_semi"), keep_table(boxes.join(ended, "request_id", "left_anti"))
 
 
 def _inside_box(lat: str, lon: str) -> Column:

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from haltline.operators import cover
 from haltline.operators.cover import first_keys_in_boxes
+from haltline.operators.grid import cell_keys, points_in_boxes
 
 BOX = "request_id long, min_lat double, min_lon double, max_lat double, max_lon double, limit int"
 
@@ -47,3 +50,34 @@ def test_crowded_boxes_equal_brute_force_and_read_little(spark, monkeypatch):
         assert row["count"] <= 3 * limits[row.request_id]
     # The world with a limit of 50 does not touch its 6 000 points.
     assert len(found[0]) < 1_500
+
+
+def _town(spark):
+    rng = random.Random(11)
+    points = [(f"p{n:05d}", rng.uniform(40, 42), rng.uniform(5, 7)) for n in range(4000)]
+    spots = spark.createDataFrame(points, "stop_id string, latitude double, longitude double")
+    return points, spots
+
+
+def test_points_meet_boxes_without_a_broadcast(spark):
+    _, spots = _town(spark)
+    requests = spark.createDataFrame([(1, 40.5, 5.5, 41.5, 6.5, 10)], BOX)
+    plan = points_in_boxes(spots, requests)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_first_keys_of_touched_cells_answer_crowded_boxes(spark):
+    points, spots = _town(spark)
+    boxes = [(n, 40.1 + n / 50, 5.1, 41.2 + n / 50, 6.6, 1 + 3 * n) for n in range(8)]
+    # Hardly any of its cells lies in this one.
+    boxes.append((99, 40.0, 6.0, 42.0, 6.0001, 5))
+    requests = spark.createDataFrame(boxes, BOX)
+    counts = cell_keys(spots).groupBy("cell_level", "cell_y", "cell_x").agg(F.count(F.lit(1)).alias("n"))
+    answered, left = cover._from_prefixes(spots, "stop_id", requests, counts, 22, 2)
+    assert [row.request_id for row in left.collect()] == [99]
+    found: dict[int, list[str]] = {}
+    for row in answered.collect():
+        found.setdefault(row.request_id, []).append(row.stop_id)
+    for n, low, west, high, east, limit in boxes[:-1]:
+        inside = sorted(p for p, lat, lon in points if low <= lat <= high and west <= lon <= east)
+        assert sorted(found[n]) == inside[:limit]
