@@ -54,44 +54,58 @@ def _term_hits(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(term, stop_id, tf): how often each term occurs in each stop.
 
     A term is a run of consecutive tokens in one field, the last one a prefix. Prefixes are
-    listed for the vocabulary, not for every occurrence, and met by equality.
+    listed for the vocabulary, not for every occurrence, and met by equality. Of a longer term only the token that
+    occurs least is looked for; the others are looked up where they would have to stand, since thousands of terms
+    may share a token that a third of all stops have.
     """
-    wanted = terms.select("term", "tokens").distinct().select(
-        "term",
-        F.size("tokens").alias("length"),
-        F.posexplode("tokens").alias("nth", "piece"),
-    )
-    whole = wanted.filter(F.col("nth") < F.col("length") - 1).withColumn(
-        "token", F.col("piece")
-    )
-    prefixes = (
-        tokens.select("token")
-        .distinct()
-        .withColumn(
-            "piece",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("token")),
-                    lambda n: F.substring(F.col("token"), F.lit(1), n),
-                )
-            ),
-        )
-    )
-    last = wanted.filter(F.col("nth") == F.col("length") - 1).join(prefixes, "piece")
-    columns = ["term", "length", "nth", "token"]
-    pieces = whole.select(*columns).unionByName(last.select(*columns))
-    # A third of all occurrences may be one token: a term of one token is counted per stop
-    # before anything else, and longer ones are put together by where they would start.
-    return (
-        tokens.join(pieces, "token")
-        .groupBy(
-            "term", "length", "stop_id", "field", (F.col("position") - F.col("nth")).alias("start")
-        )
-        .agg(F.count(F.lit(1)).alias("matched"))
-        .filter(F.col("matched") == F.col("length"))
-        .groupBy("term", "stop_id")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    at = F.posexplode("tokens").alias("nth", "piece")
+    distinct = terms.select("term", "tokens").distinct()
+    wanted = distinct.select("term", "tokens", at)
+    is_last = F.col("nth") == F.size("tokens") - 1
+    vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = vocabulary.withColumn(
+        "piece",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.length("token")),
+                lambda n: F.substring(F.col("token"), F.lit(1), n),
+            )
+        ),
+    )
+    whole_sizes = vocabulary.select(F.col("token").alias("piece"), F.lit(False).alias("last"), "n")
+    last_sizes = prefixes.groupBy("piece").agg(F.sum("n").alias("n")).select("piece", F.lit(True).alias("last"), "n")
+    sized = wanted.withColumn("last", is_last).join(
+        whole_sizes.unionByName(last_sizes).hint("merge"), ["piece", "last"], "left"
+    )
+    # A token that occurs nowhere counts 0 and is the rarest, so its term is not looked for at all.
+    rarest = sized.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "nth")).alias("rarest"))
+    anchors = cut_lineage(
+        rarest.filter(F.col("rarest.n") > 0)
+        .select("term", F.col("rarest.nth").alias("nth"))
+        .join(distinct, "term")
+        .withColumn("piece", F.element_at("tokens", F.col("nth") + 1))
+    )
+    whole = anchors.filter(~is_last).withColumn("token", F.col("piece"))
+    last = anchors.filter(is_last).join(prefixes.drop("n").hint("merge"), "piece")
+    columns = ["term", "tokens", "nth", "token"]
+    starts = tokens.join(whole.select(*columns).unionByName(last.select(*columns)), "token").select(
+        "term", "tokens", "nth", "stop_id", "field", (F.col("position") - F.col("nth")).alias("start")
+    )
+    others = (
+        starts.filter((F.size("tokens") > 1) & (F.col("start") >= 0))
+        .withColumnRenamed("nth", "anchor")
+        .select("term", "tokens", "stop_id", "field", "start", "anchor", at)
+        .filter(F.col("nth") != F.col("anchor"))
+        .withColumn("position", F.col("start") + F.col("nth"))
+        .join(tokens.hint("merge"), ["stop_id", "field", "position"])
+        .filter(F.when(is_last, F.startswith("token", "piece")).otherwise(F.col("token") == F.col("piece")))
+        .groupBy("term", "stop_id", "field", "start")
+        .agg(F.count(F.lit(1)).alias("matched"), F.first(F.size("tokens")).alias("length"))
+        .filter(F.col("matched") == F.col("length") - 1)
+    )
+    alone = starts.filter(F.size("tokens") == 1)
+    found = alone.select("term", "stop_id").unionByName(others.select("term", "stop_id"))
+    return found.groupBy("term", "stop_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _gain() -> Column:
@@ -163,7 +177,7 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     lengths = tokens.groupBy("stop_id").agg(F.count(F.lit(1)).alias("length"))
     alone = _single_term_scores(
         plans.filter("n_terms = 1").select("query", "term").join(weighted, ["query", "term"]),
-        hits.join(lengths, "stop_id").join(stops.select("stop_id", "name"), "stop_id"),
+        hits.join(lengths.hint("merge"), "stop_id").join(stops.select("stop_id", "name").hint("merge"), "stop_id"),
         requests.groupBy("query").agg(F.max("limit").alias("limit")),
         largest,
     )
@@ -173,7 +187,7 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     together = (
         candidates.join(weighted.select("query", "term", "times", "idf", "average"), "query")
         .join(hits, ["term", "stop_id"])
-        .join(lengths, "stop_id")
+        .join(lengths.hint("merge"), "stop_id")
         .withColumn("gain", _gain())
         .groupBy("query", "stop_id")
         .agg(
@@ -186,7 +200,7 @@ def search_stops(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
     scores = together.unionByName(alone)
     best = first_per_group(
-        scores.join(stops, "stop_id"), ["query"], [F.desc("score"), "name", "stop_id"], largest
+        scores.join(stops.hint("merge"), "stop_id"), ["query"], [F.desc("score"), "name", "stop_id"], largest
     )
     return (
         requests.join(best, "query")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from haltline.operators import search
 from haltline.operators.search import search_stops
 from haltline.schema import Timetable
@@ -55,3 +57,32 @@ def test_a_common_term_scores_what_it_answers(spark, monkeypatch):
     counts = {row["query"]: row["count"] for row in opened[0].groupBy("query").count().collect()}
     # A class gives no more than the limit, and the last class is the only one with more than needed.
     assert counts["halt"] <= 2 * 40 and counts["hal"] <= 2 * 3 and counts["oost"] <= 2 * 7
+
+
+def test_phrases_are_found_by_their_rarest_token(spark):
+    rows = [(f"s{n}", f"Halt {n}-{n % 5}") for n in range(400)] + [("x", "Pier 7-1 7-12 halt"), ("y", "7 Quay 1")]
+    stops = spark.createDataFrame(rows, "stop_id string, name string").withColumn("code", F.lit(None).cast("string"))
+    terms = spark.createDataFrame(
+        [(f"{n}-1", [str(n), "1"]) for n in range(400)] + [("7-1-7", ["7", "1", "7"]), ("no-1", ["no", "1"])],
+        "term string, tokens array<string>",
+    )
+    tokens = search.stop_tokens(stops)
+    found = {(row.term, row.stop_id): row.tf for row in search._term_hits(terms, tokens).collect()}
+    phrases = {(f"{n}-1", f"s{n}"): 1 for n in range(400) if n % 5 == 1}
+    assert found == phrases | {("7-1", "x"): 2, ("7-1-7", "x"): 1}
+
+
+def test_common_tokens_of_phrases_are_not_listed_for_every_phrase(spark, monkeypatch):
+    stops = spark.range(300).select(
+        F.concat(F.lit("s"), "id").alias("stop_id"),
+        F.concat(F.lit("Halt "), "id", F.lit("-1")).alias("name"),
+        F.lit(None).cast("string").alias("code"),
+    )
+    terms = spark.range(300).select(
+        F.concat("id", F.lit("-1")).alias("term"), F.array(F.col("id").cast("string"), F.lit("1")).alias("tokens")
+    )
+    kept, cut = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    assert search._term_hits(terms, search.stop_tokens(stops)).count() == 300
+    # Each phrase starts from its number, which occurs once, and not from the 1 of all stops.
+    assert {row.nth for row in kept[0].collect()} == {0}
