@@ -41,13 +41,18 @@ def call_view(timetable: Timetable, trips: DataFrame | None = None) -> DataFrame
 
     Pickup, drop-off and timepoint stay as given.
     """
+    given = timetable.stop_times if trips is None else calls_of_trips(timetable, trips)
+    return _with_stops(timetable, given, "trip_id")
+
+
+def _with_stops(timetable: Timetable, calls: DataFrame, *keys: str) -> DataFrame:
+    """Calls with their stop. Times become text and stops are attached last: neither is shuffled again."""
     stops = stop_view(timetable.stops).select(
         "stop_id", F.struct(*STOP_COLUMNS).alias("stop")
     )
-    given = timetable.stop_times if trips is None else calls_of_trips(timetable, trips)
-    calls = given.select(
-        "trip_id",
-        "stop_id",
+    return calls.join(stops, "stop_id").select(
+        *keys,
+        "stop",
         "stop_sequence",
         gtfs_time_text(F.col("arrival_seconds")).alias("scheduled_arrival"),
         F.col("arrival_seconds").alias("scheduled_arrival_seconds"),
@@ -58,13 +63,13 @@ def call_view(timetable: Timetable, trips: DataFrame | None = None) -> DataFrame
         "drop_off_type",
         "timepoint",
     )
-    return calls.join(stops, "stop_id").select("trip_id", "stop", *CALL_COLUMNS)
 
 
 def trip_calls(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, trip_id) to the trip's calls; order them by `stop_sequence`."""
     wanted = requests.select("request_id", "trip_id")
-    return wanted.join(call_view(timetable, wanted), "trip_id").select("request_id", "trip_id", "stop", *CALL_COLUMNS)
+    calls = calls_of_trips(timetable, wanted).join(wanted, "trip_id")
+    return _with_stops(timetable, calls, "request_id", "trip_id").select("request_id", "trip_id", "stop", *CALL_COLUMNS)
 
 
 def _with_points(timetable: Timetable, asked: DataFrame) -> DataFrame:

@@ -43,3 +43,13 @@ def test_details_are_the_same_however_they_are_dealt(spark, harbour_folder, monk
     monkeypatch.setattr(spread, "TASK_ROWS", 2)
     assert sorted(map(repr, trips.trip_detail(timetable, requests, 1).collect())) == whole
     assert len(whole) > requests.count()
+
+
+def test_calls_meet_their_stops_last(spark, harbour_folder):
+    timetable = normalize_feed(read_feed(spark, harbour_folder))
+    requests = timetable.trips.select(F.xxhash64("trip_id").alias("request_id"), "trip_id")
+    found = trips.trip_calls(timetable, requests)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    # The plan reads from its last join down; stops are wide and are not shuffled again.
+    assert "stop_id" in joins[0] and all("trip_id" in line for line in joins[1:])
+    assert found.count() == timetable.stop_times.count()
