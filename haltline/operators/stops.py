@@ -23,6 +23,8 @@ from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
 from haltline.session import keep_table
 
 NO_PICKUP = 1
+#: Departures on dates that one task of a board looks at, about.
+BOARD_TASK_ROWS = 1 << 20
 
 
 def stop_view(stops: DataFrame) -> DataFrame:
@@ -58,6 +60,16 @@ def running_services(timetable: Timetable, dates: DataFrame) -> DataFrame:
     return service_active_on(timetable, dates)
 
 
+def running_months(timetable: Timetable, dates: DataFrame) -> DataFrame:
+    """(service_id, month, days): the requested dates a service runs on, bit n for the day n behind the first."""
+    bit = F.call_function("shiftleft", F.lit(1), F.dayofmonth("service_date") - 1)
+    return (
+        running_services(timetable, dates)
+        .groupBy("service_id", F.to_date(F.trunc("service_date", "MM")).alias("month"))
+        .agg(F.bit_or(bit).alias("days"))
+    )
+
+
 def first_per_service(
     rows: DataFrame, group: str, order: Sequence[str], cap: int
 ) -> DataFrame:
@@ -147,15 +159,27 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
 
 
 def departure_board(timetable: Timetable, dates: DataFrame, k: int) -> DataFrame:
-    """The first `k` departures of every stop on every date, with `rank`."""
+    """The first `k` departures of every stop on every date, with `rank`.
+
+    The dates of a service travel as one number for each month, so that departures are not shuffled once per date.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     order = ["departure_seconds", *DEPARTURE_ORDER]
-    few = first_per_service(
-        _departing_trips(boardable_calls(timetable), timetable), "stop_id", order, k
+    few = keep_table(
+        first_per_service(
+            _departing_trips(boardable_calls(timetable), timetable), "stop_id", order, k
+        )
     )
-    dated = few.join(running_services(timetable, dates), "service_id")
-    first = first_per_group(dated, ["stop_id", "service_date"], order, k)
+    months = keep_table(running_months(timetable, dates))
+    on_days = few.join(months, "service_id")
+    sizes = few.groupBy("service_id").agg(F.count(F.lit(1)).alias("n"))
+    n_dated = sizes.join(months, "service_id").agg(F.sum(F.col("n") * F.bit_count("days"))).first()[0] or 0
+    # Dates are listed where their stops already lie, in tasks cut by the rows this gives.
+    dealt = on_days.repartition(n_dated // BOARD_TASK_ROWS + 1, "stop_id", "month")
+    day = F.explode(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda d: F.getbit("days", d) == 1))
+    dated = dealt.withColumn("day", day).withColumn("service_date", F.date_add("month", F.col("day")))
+    first = first_per_group(dated, ["stop_id", "month", "service_date"], order, k)
     return _departure_view(first, timetable, "stop_id", "rank")
 
 
