@@ -25,6 +25,8 @@ from haltline.session import keep_table
 NO_PICKUP = 1
 #: Departures on dates that one task of a board looks at, about.
 BOARD_TASK_ROWS = 1 << 20
+#: Calls that one task of `stop_trips` reduces, about.
+CALL_TASK_ROWS = 1 << 20
 
 
 def stop_view(stops: DataFrame) -> DataFrame:
@@ -227,6 +229,22 @@ def first_running_trips(
     return first_per_group(found, day, ["trip_id"], largest)
 
 
+def _trips_at_stops(timetable: Timetable, asked: DataFrame) -> DataFrame:
+    """(stop_id, trip_id, service_id), each once, of the stops asked for.
+
+    Hardly any trip calls at a stop twice, so calls meet their trips before repeats are looked for, in tasks cut by
+    the number of calls: reduced in the scan, each task would hold all calls of its piece of a file.
+    """
+    n_tasks = timetable.stop_times.count() // CALL_TASK_ROWS + 1
+    return (
+        timetable.stop_times.select("stop_id", "trip_id")
+        .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
+        .repartition(n_tasks, "trip_id")
+        .distinct()
+        .join(timetable.trips.select("trip_id", "service_id"), "trip_id")
+    )
+
+
 def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, limit) to the trips calling there that day.
 
@@ -235,13 +253,7 @@ def stop_trips(timetable: Timetable, requests: DataFrame) -> DataFrame:
     requests, largest = with_limits(valid_requests(requests, "stop_trips"))
     day = ["stop_id", "service_date"]
     asked = requests.groupBy(*day).agg(F.max("limit").alias("limit"))
-    trips = (
-        timetable.stop_times.select("stop_id", "trip_id")
-        .join(asked.select("stop_id").distinct(), "stop_id", "left_semi")
-        .distinct()
-        .join(timetable.trips.select("trip_id", "service_id"), "trip_id")
-    )
-    best = first_running_trips(timetable, trips, asked, "stop_id", largest)
+    best = first_running_trips(timetable, _trips_at_stops(timetable, asked), asked, "stop_id", largest)
     return (
         requests.join(best, day)
         .filter(F.col("rank") <= F.col("limit"))

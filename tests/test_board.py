@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
@@ -38,3 +39,33 @@ def test_boards_equal_brute_force_and_dates_are_not_shuffled(spark, harbour_fold
         "stop_id", "service_date", "rank", F.col("scheduled_departure_seconds"), "trip_id", "stop_sequence"
     ).collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_trips_at_stops_are_reduced_in_tasks_cut_by_calls(spark, harbour_folder, monkeypatch):
+    timetable = normalize_feed(read_feed(spark, harbour_folder))
+    # Every trip calls twice at each of its stops.
+    calls = timetable.stop_times
+    twice = calls.unionByName(calls.withColumn("stop_sequence", F.col("stop_sequence") + 1_000))
+    timetable = replace(timetable, stop_times=twice)
+    monkeypatch.setattr(stops, "CALL_TASK_ROWS", 2, raising=False)
+    given = []
+    whole = stops.first_running_trips
+
+    def kept(tables, trips, *rest):
+        given.append(trips)
+        return whole(tables, trips, *rest)
+
+    monkeypatch.setattr(stops, "first_running_trips", kept)
+    requests = calls.select("stop_id").distinct().select(
+        F.xxhash64("stop_id").alias("request_id"), "stop_id", F.lit(date(2027, 3, 20)).alias("service_date"),
+        F.lit(50).alias("limit"),
+    )
+    got = stops.stop_trips(timetable, requests).collect()
+    running = {r.service_id for r in calendar.service_dates(timetable).collect() if r.service_date == date(2027, 3, 20)}
+    joined = calls.join(timetable.trips.select("trip_id", "service_id"), "trip_id").collect()
+    want = {(r.stop_id, r.trip_id) for r in joined if r.service_id in running}
+    assert want and sorted((r.stop_id, r.trip_id) for r in got) == sorted(want)
+    executed = given[0]._jdf.queryExecution().executedPlan().toString()
+    by_trip = [line for line in executed.splitlines() if "hashpartitioning(trip_id" in line]
+    n_tasks = 2 * calls.count() // 2 + 1
+    assert by_trip and all(f", {n_tasks})" in line for line in by_trip), executed
