@@ -20,6 +20,8 @@ from haltline.session import cut_lineage, keep_table, side_by_side
 
 REPORT_CAP = 100
 ROWS_PER_CHUNK_BITS = 20
+#: A group of more records than this is read in chunks of the file. Groups are counted in so many buckets.
+LONG_GROUP, GROUP_BUCKETS = 1 << 20, 1 << 16
 STATION, PLATFORM = 1, 0
 
 
@@ -70,19 +72,23 @@ def _unknown(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFr
 
 
 def _unknown_references(
-    rows: DataFrame, references: Sequence[tuple[str, DataFrame, str, str, str]], record: Column
+    rows: DataFrame, references: Sequence[tuple[str, DataFrame, str]], optional: Sequence[str] = ()
 ) -> DataFrame:
-    """Issues of records whose column holds no key of its table.
+    """Records with a column `no_<column>` for each reference, true where the column holds no key of its table.
 
-    A reference is (column, owners, key, code, message). All columns, and all keys, are reduced to distinct
-    values before a shuffle. What is left after the anti-join are the bad values only; they are written, so
-    that their true size decides how the records with such a value are fetched. For a clean feed the records
-    themselves are never shuffled.
+    A reference is (column, owners, key); blank values of `optional` columns are none. All columns, and all keys, are
+    reduced to distinct values before a shuffle. What is left after the anti-join are the bad values only; they are
+    written, so that their true size decides how the records meet them. For a clean feed the records themselves
+    are never shuffled, and one pass over them lists these issues and all others of single records.
     """
+
+    def value(column: str) -> Column:
+        return F.nullif(F.col(column), F.lit("")) if column in optional else F.col(column)
+
     pairs = F.explode(
         F.array(
             *(
-                F.struct(F.lit(column).alias("column"), F.col(column).alias("value"))
+                F.struct(F.lit(column).alias("column"), value(column).alias("value"))
                 for column, *_ in references
             )
         )
@@ -91,20 +97,38 @@ def _unknown_references(
     known = _union(
         [
             owners.select(F.lit(column).alias("column"), F.col(key).alias("value")).distinct()
-            for column, owners, key, _, _ in references
+            for column, owners, key in references
         ]
     )
-    bad = keep_table(values.join(known, ["column", "value"], "left_anti"))
-    found = []
-    for column, _, _, code, message in references:
-        own = bad.filter(F.col("column") == column).select(F.col("value").alias(column))
-        found.append(_as_issues(rows.join(own, column, "left_semi"), code, record, message))
-    return _union(found)
+    bad = keep_table(values.join(known, ["column", "value"], "left_anti").filter(F.col("value").isNotNull()))
+    for column, *_ in references:
+        own = bad.filter(F.col("column") == column)
+        own = own.select(F.col("value").alias(column), F.lit(True).alias(f"no_{column}"))
+        rows = rows.join(own, column, "left")
+    return rows
 
 
 def _not_increasing(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Records whose `value` is not above the one before it in file order of the group.
 
+    Groups are counted in buckets of their hash, which shuffles next to nothing. Where a bucket holds few records
+    for a group of `LONG_GROUP`, its groups are read in order, in one shuffle; other buckets, of which
+    there are fewer than records by `LONG_GROUP`, may hold a long group and are read in chunks.
+    """
+    bucket = F.pmod(F.xxhash64(group), F.lit(GROUP_BUCKETS))
+    counted = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    long = [row.bucket for row in counted.filter(F.col("n") > LONG_GROUP).select("bucket").collect()]
+    in_order = Window.partitionBy(group).orderBy("row_no")
+    falls = F.col(value) <= F.col("previous")
+    if not long:
+        return rows.withColumn("previous", F.lag(value).over(in_order)).filter(falls)
+    short = rows.filter(~bucket.isin(long)).withColumn("previous", F.lag(value).over(in_order)).filter(falls)
+    return short.drop("previous").unionByName(_not_increasing_by_chunk(rows.filter(bucket.isin(long)), group, value))
+
+
+def _not_increasing_by_chunk(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """As `_not_increasing` for groups of any length.
+
     Records are compared inside chunks of the file; the last value of each chunk is carried to
     the next chunk of the group, so even a single group spanning the file is spread out.
     """
@@ -122,6 +146,7 @@ def _not_increasing(rows: DataFrame, group: str, value: str) -> DataFrame:
         chunked.withColumn("previous", F.lag(value).over(here))
         .join(carried, [group, "chunk"], "left")
         .filter(F.col(value) <= F.coalesce("previous", "carried"))
+        .select(*rows.columns)
     )
 
 
@@ -416,26 +441,23 @@ def trip_issues(feed: Feed) -> DataFrame:
     services = feed.calendar.select("service_id").unionByName(
         feed.calendar_dates.select("service_id")
     )
-    unknown = _unknown_references(
+    checked = _unknown_references(
         rows,
         [
-            ("route_id", feed.routes, "route_id", "unknown_route", "the route does not exist"),
-            ("service_id", services, "service_id", "unknown_service", "the service does not exist"),
+            ("route_id", feed.routes, "route_id"),
+            ("service_id", services, "service_id"),
+            ("shape_id", feed.shapes, "shape_id"),
         ],
-        trip,
-    )
-    unknown_shape = _unknown_references(
-        rows.filter(F.col("shape_id") != ""),
-        [("shape_id", feed.shapes, "shape_id", "unknown_shape", "the shape does not exist")],
-        trip,
+        optional=["shape_id"],
     )
     return _union(
         [
-            unknown,
-            unknown_shape,
             _per_record(
-                rows,
+                checked,
                 [
+                    (F.col("no_route_id"), _issue("unknown_route", trip, "the route does not exist")),
+                    (F.col("no_service_id"), _issue("unknown_service", trip, "the service does not exist")),
+                    (F.col("no_shape_id"), _issue("unknown_shape", trip, "the shape does not exist")),
                     (
                         _blank("trip_id", "route_id", "service_id"),
                         _issue("incomplete_trip", trip, "trip, route and service needed"),
@@ -564,20 +586,16 @@ STOP_TIME_ENUMS = {"pickup_type": 3, "drop_off_type": 3, "timepoint": 1}
 def stop_time_issues(feed: Feed) -> DataFrame:
     rows = feed.stop_times
     record = F.concat_ws(":", "trip_id", F.col("stop_sequence").cast("string"))
-    unknown = _unknown_references(
-        rows,
-        [
-            ("trip_id", feed.trips, "trip_id", "unknown_trip", "the trip does not exist"),
-            ("stop_id", feed.stops, "stop_id", "unknown_stop", "the stop does not exist"),
-        ],
-        record,
+    checked = _unknown_references(
+        rows, [("trip_id", feed.trips, "trip_id"), ("stop_id", feed.stops, "stop_id")]
     )
     return _union(
         [
-            unknown,
             _per_record(
-                rows,
+                checked,
                 [
+                    (F.col("no_trip_id"), _issue("unknown_trip", record, "the trip does not exist")),
+                    (F.col("no_stop_id"), _issue("unknown_stop", record, "the stop does not exist")),
                     (
                         _blank("trip_id", "stop_id"),
                         _issue("incomplete_stop_time", record, "trip and stop needed"),
