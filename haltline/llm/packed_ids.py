@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from haltline.llm.chunks import spaced_chunks
 BLOCK_IDS = 1 << 18
 #: Distinct chunks that a Python worker remembers between blocks.
 REMEMBERED = 300_000
+#: New chunks that are encoded as one line, and how byte-level tokens write a space.
+LINE, SPACE = 512, "\u0120"
 
 BLOCK_SCHEMA = (
     "shard int, block int, first_id long, last_id long, bits int, "
@@ -86,7 +89,13 @@ class ChunkEncoder:
             )
         )
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memory: dict[str, list[int]] = {}
+        added = {token["id"] for token in spec.get("added_tokens", ())}
+        self.opens = np.zeros(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()), dtype=bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.opens[number] = token.startswith(SPACE) and number not in added
+        #: Place of each remembered chunk in `ids`, whose parts start at `starts`.
+        self.memory: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and where each text's ids start."""
@@ -95,18 +104,60 @@ class ChunkEncoder:
             offsets = np.cumsum([0, *(len(one.ids) for one in found)])
             return np.array([i for one in found for i in one.ids], np.uint32), offsets
         table = spaced_chunks(texts)
-        memory = self.memory
-        new = [chunk for chunk in table.chunks if chunk not in memory]
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        found = {chunk: one.ids for chunk, one in zip(new, encoded, strict=True)}
-        if len(memory) + len(new) <= REMEMBERED:
-            memory.update(found)
-        lists = [memory[c] if c in memory else found[c] for c in table.chunks]
-        starts = np.cumsum([0, *map(len, lists)])
-        flat = np.array([token for ids in lists for token in ids], dtype=np.uint32)
-        ids, ends = ragged_take(flat, starts, table.codes)
+        rows = np.fromiter(map(self.memory.get, table.chunks, repeat(-1)), np.int64, len(table.chunks))
+        unknown = np.flatnonzero(rows < 0)
+        new = [table.chunks[n] for n in unknown.tolist()]
+        fresh, sizes = self._encode_each(new)
+        known = len(self.starts) - 1
+        # A chunk may be listed as the first of a text and as a later one.
+        rows[unknown] = np.arange(known, known + len(new))
+        flat = np.concatenate((self.ids, fresh))
+        starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int64)))
+        if known + len(new) <= REMEMBERED:
+            self.memory.update(zip(new, range(known, known + len(new)), strict=True))
+            self.ids, self.starts = flat, starts
+        ids, ends = ragged_take(flat, starts, rows[table.codes])
         return ids, ends[table.offsets]
 
+    def _encode_each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks, one after the other, and how many each has.
+
+        Chunks of a space and a word are joined to lines of `LINE` chunks, as a call for each of them costs more than
+        its tokens. Their ids are parted where a token starts with a space; a line that does not
+        show one such token for each chunk is encoded chunk by chunk.
+        """
+        joined = [n for n, c in enumerate(chunks) if c[:1] == " " and " " not in c[1:] and not c[-1].isspace()]
+        lines = [joined[n : n + LINE] for n in range(0, len(joined), LINE)]
+        sizes = np.zeros(len(chunks), dtype=np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        encoded = self.tokenizer.encode_batch_fast(
+            ["".join([chunks[n] for n in line]) for line in lines], add_special_tokens=False
+        )
+        alone = np.ones(len(chunks), dtype=bool)
+        for line, one in zip(lines, encoded, strict=True):
+            ids = np.array(one.ids, dtype=np.uint32)
+            heads = np.flatnonzero(self.opens[ids])
+            if len(heads) == len(line) and heads[0] == 0:
+                places = np.array(line)
+                sizes[places] = np.diff(heads, append=len(ids))
+                alone[places] = False
+                parts.append((places, ids))
+        rest = np.flatnonzero(alone)
+        for n, one in zip(
+            rest.tolist(),
+            self.tokenizer.encode_batch_fast([chunks[n] for n in rest.tolist()], add_special_tokens=False),
+            strict=True,
+        ):
+            sizes[n] = len(one.ids)
+            parts.append((np.array([n]), np.array(one.ids, dtype=np.uint32)))
+        # Parts in the order they were found, then chunks in their own.
+        order = np.concatenate([places for places, _ in parts] or [np.empty(0, np.int64)])
+        flat = np.concatenate([ids for _, ids in parts] or [np.empty(0, np.uint32)])
+        found = np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64)))
+        back = np.empty(len(chunks), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return ragged_take(flat, found, back)[0], sizes
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
