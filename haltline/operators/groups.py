@@ -16,6 +16,8 @@ MERGE_DISTANCE_M = 150.0
 CELL_LAT, CELL_LON = 0.0015, 0.0025
 TILES = 3
 MEMBERS_PER_PART = 1_000
+#: Calls of all stops are read where at least one stop in so many is asked for.
+MOST_STOPS = 3
 STATION = 1
 #: Mean positions are cut to so many digits, 0.1 mm: sums of doubles depend on the order rows come in, and a border must not.
 POSITION_DIGITS = 9
@@ -315,19 +317,26 @@ def derive_stop_groups(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.select(*GROUP_COLUMNS), members
 
 
-def group_member_routes(timetable: Timetable, members: DataFrame) -> DataFrame:
-    """(group_id, stop_id, route_id, agency_id), each once."""
+def _pairs_of(timetable: Timetable, members: DataFrame, whole: bool) -> DataFrame:
+    """(group_id, stop_id, route_id) of the members. With `whole` calls are not shuffled to look for their stops first."""
+    return members.join(stop_route_pairs(timetable, None if whole else members), "stop_id")
+
+
+def group_member_routes(timetable: Timetable, members: DataFrame, whole: bool = False) -> DataFrame:
+    """(group_id, stop_id, route_id, agency_id), each once.
+
+    `whole` says that the members are most stops of the timetable, here and below; the result is the same without.
+    """
     return (
-        members.join(stop_route_pairs(timetable, members), "stop_id")
+        _pairs_of(timetable, members, whole)
         .join(timetable.routes.select("route_id", "agency_id"), "route_id")
         .select("group_id", "stop_id", "route_id", "agency_id")
     )
 
 
-def group_routes(timetable: Timetable, members: DataFrame) -> DataFrame:
+def group_routes(timetable: Timetable, members: DataFrame, whole: bool = False) -> DataFrame:
     """Routes that call anywhere in a group."""
-    pairs = members.join(stop_route_pairs(timetable, members), "stop_id")
-    return _routes_of(timetable, pairs)
+    return _routes_of(timetable, _pairs_of(timetable, members, whole))
 
 
 def _routes_of(timetable: Timetable, pairs: DataFrame) -> DataFrame:
@@ -335,9 +344,9 @@ def _routes_of(timetable: Timetable, pairs: DataFrame) -> DataFrame:
     return distinct.join(timetable.routes, "route_id").select("group_id", *ROUTE_COLUMNS)
 
 
-def group_agencies(timetable: Timetable, members: DataFrame) -> DataFrame:
+def group_agencies(timetable: Timetable, members: DataFrame, whole: bool = False) -> DataFrame:
     """Agencies of those routes. A route without an agency adds none."""
-    return _agencies_of(timetable, group_routes(timetable, members))
+    return _agencies_of(timetable, group_routes(timetable, members, whole))
 
 
 def _agencies_of(timetable: Timetable, routes: DataFrame) -> DataFrame:
@@ -370,10 +379,11 @@ def stop_group_details(
     numbered by `part`, which together hold every member, route and agency once.
     """
     asked = requests.select("group_id").distinct()
-    wanted = members.join(asked, "group_id", "left_semi")
+    wanted = keep_table(members.join(asked, "group_id", "left_semi"))
+    whole = MOST_STOPS * wanted.count() >= timetable.stops.count()
     stops = timetable.stops.withColumn("location_type", F.coalesce("location_type", F.lit(0)))
     # Members, routes and agencies all come from the pairs of the wanted stops, found once.
-    pairs = keep_table(group_member_routes(timetable, wanted))
+    pairs = keep_table(group_member_routes(timetable, wanted, whole))
     served = (
         pairs.groupBy("stop_id")
         .agg(

@@ -322,9 +322,9 @@ QUERIES: dict[str, Query] = {
     "stop_groups": _grouped(lambda t, g, m: _rounded(g, 9, *GROUP_NUMBERS)),
     "stop_group_members": _grouped(lambda t, g, m: m),
     "stop_groups_in_rect": _stop_groups_in_rect,
-    "group_member_routes": _grouped(lambda t, g, m: groups.group_member_routes(t, m)),
-    "group_routes": _grouped(lambda t, g, m: groups.group_routes(t, m)),
-    "group_agencies": _grouped(lambda t, g, m: groups.group_agencies(t, m)),
+    "group_member_routes": _grouped(lambda t, g, m: groups.group_member_routes(t, m, whole=True)),
+    "group_routes": _grouped(lambda t, g, m: groups.group_routes(t, m, whole=True)),
+    "group_agencies": _grouped(lambda t, g, m: groups.group_agencies(t, m, whole=True)),
     "stop_group_details": _stop_group_details,
     "feed_counts": _feed_counts,
     "feed_file_issues": lambda spark, sf_dir: feed_file_issues(
