@@ -40,9 +40,18 @@ def first_per_group(
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= cap)
 
 
-def top_per_request(rows: DataFrame, order: Sequence[Column | str], largest: int) -> DataFrame:
-    """Rows of each request up to its own `limit`; `largest` is the largest of them."""
-    return first_per_group(rows, ["request_id"], order, largest).filter(
+def ids_repeat(requests: DataFrame) -> bool:
+    """Whether several requests share an id, or lack one. Only ids are shuffled."""
+    n, n_ids = requests.agg(F.count(F.lit(1)), F.count_distinct("request_id")).first()
+    return n != n_ids
+
+
+def top_per_request(rows: DataFrame, order: Sequence[Column | str], largest: int, *place: str) -> DataFrame:
+    """Rows of each request up to its own `limit`; `largest` is the largest of them.
+
+    Where no id repeats, rows that lie by `place`, columns of the request, are cut without a shuffle.
+    """
+    return first_per_group(rows, [*place, "request_id"], order, largest).filter(
         F.col("rank") <= F.col("limit")
     )
 
@@ -112,11 +121,11 @@ QUIET_ROWS, QUIET_TIMES = 64, 4
 
 
 def by_crowd(asked: DataFrame, rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """asked(group, limit, …) whose group has few rows, and those whose group has many."""
+    """asked(group, limit, …) whose group has few rows, with `n_rows`, and those whose group has many."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
     sized = keep_table(asked.join(sizes, group))
     quiet = F.col("n_rows") <= F.greatest(F.lit(QUIET_ROWS), QUIET_TIMES * F.col("limit"))
-    return sized.filter(quiet).drop("n_rows"), sized.filter(~quiet).drop("n_rows")
+    return sized.filter(quiet), sized.filter(~quiet).drop("n_rows")
 
 
 def ranked_lists(

@@ -20,6 +20,9 @@ def spread_join(
     ask: Sequence[str],
     weight: Column | None = None,
     how: str = "inner",
+    sizes: DataFrame | None = None,
+    task_rows: int | None = None,
+    keep_slot: bool = False,
 ) -> DataFrame:
     """asked joined with items(*keys, …), with tasks cut by what they give, not by what they read.
 
@@ -27,19 +30,24 @@ def spread_join(
     the rows. The rows that ask for a busy key are dealt over slots by `ask`, its items are repeated for each slot, and
     the number of partitions follows the answer. `weight` is how many rows an item stands for. Only busy keys
     are broadcast, fewer than there are tasks.
+
+    sizes(*keys, n_rows double) are counted here unless they are given. With `keep_slot` the answer has its `slot`: all
+    rows of one (*keys, *ask) share it, and rows lie by (*keys, slot).
     """
-    keys, task_rows = list(keys), TASK_ROWS
-    stands_for = items.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("n_items"))
-    sizes = (
-        asked.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_asked"))
-        .join(stands_for, keys, how)
-        .select(*keys, (F.col("n_asked") * F.coalesce("n_items", F.lit(1))).cast("double").alias("n_rows"))
-    )
+    keys, task_rows = list(keys), TASK_ROWS if task_rows is None else task_rows
+    if sizes is None:
+        stands_for = items.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("n_items"))
+        sizes = (
+            asked.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n_asked"))
+            .join(stands_for, keys, how)
+            .select(*keys, (F.col("n_asked") * F.coalesce("n_items", F.lit(1))).cast("double").alias("n_rows"))
+        )
     total = sizes.agg(F.sum("n_rows")).first()[0] or 0.0
     if total <= task_rows:
         # Sizes are guessed from compressed files and know nothing of exploded rows, so nothing is left to a broadcast.
-        return asked.join(items.hint("merge"), keys, how)
+        joined = asked.join(items.hint("merge"), keys, how)
+        return joined.withColumn("slot", F.lit(0)) if keep_slot else joined
     task_rows = max(task_rows, int(total / MOST_TASKS))
     n_tasks = int(total // task_rows) + 1
     busy = F.broadcast(
@@ -57,4 +65,5 @@ def spread_join(
     )
     place = [*keys, "slot"]
     left, right = dealt.repartition(n_tasks, *place), repeated.repartition(n_tasks, *place)
-    return left.join(right.hint("merge"), place, how).drop("slot")
+    joined = left.join(right.hint("merge"), place, how)
+    return joined if keep_slot else joined.drop("slot")

@@ -13,20 +13,24 @@ from haltline.operators.indexes import stop_route_pairs
 from haltline.operators.ranking import (
     by_crowd,
     first_per_group,
+    ids_repeat,
     merge_lists,
     ranked_lists,
     top_per_request,
     with_limits,
 )
 from haltline.operators.requests import valid_requests
+from haltline.operators.spread import spread_join
 from haltline.schema import ROUTE_COLUMNS, STOP_COLUMNS, TRIP_COLUMNS, Timetable
-from haltline.session import keep_table
+from haltline.session import keep_table, side_by_side
 
 NO_PICKUP = 1
 #: Departures on dates that one task of a board looks at, about.
 BOARD_TASK_ROWS = 1 << 20
 #: Calls that one task of `stop_trips` reduces, about.
 CALL_TASK_ROWS = 1 << 20
+#: Departures of quiet stops that one task of `departures` looks through, about.
+QUIET_TASK_ROWS = 1 << 18
 
 
 def stop_view(stops: DataFrame) -> DataFrame:
@@ -72,6 +76,19 @@ def running_months(timetable: Timetable, dates: DataFrame) -> DataFrame:
     )
 
 
+def on_running_days(rows: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows whose service runs on their `service_date`, by a kept table of `running_months`.
+
+    One number stands for a month of a service, so the table is small beside the rows, and they stay where they lie.
+    """
+    return (
+        rows.withColumn("month", F.to_date(F.trunc("service_date", "MM")))
+        .join(months, ["service_id", "month"])
+        .filter(F.getbit("days", F.dayofmonth("service_date") - 1) == 1)
+        .drop("month", "days")
+    )
+
+
 def first_per_service(
     rows: DataFrame, group: str, order: Sequence[str], cap: int
 ) -> DataFrame:
@@ -122,10 +139,11 @@ def _departure_view(rows: DataFrame, timetable: Timetable, *keys: str) -> DataFr
 def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     """requests(request_id, stop_id, service_date, after, limit) to the next departures.
 
-    The few calls of a quiet stop are looked through. At a busy stop the departures of each service are ranked
-    in time order once, whatever dates are asked for, and the services that run on a request's date are merged
-    like sorted lists: each is read only as far as all of them together surely hold `limit` departures. Calls
-    joined grow with answers, not with services, dates or the calls of a busy stop.
+    The few calls of a quiet stop are looked through where they meet its requests; what requests and calls give
+    together is not shuffled. At a busy stop the departures of each service are ranked in time order once, whatever
+    dates are asked for, and the services that run on a request's date are merged like sorted lists: each is read only
+    as far as all of them together surely hold `limit` departures. Calls joined grow with answers, not with services,
+    dates or the calls of a busy stop.
     """
     requests, largest = with_limits(valid_requests(requests, "departures"))
     served, second = ["stop_id", "service_id"], "departure_seconds"
@@ -134,29 +152,42 @@ def departures(timetable: Timetable, requests: DataFrame) -> DataFrame:
     )
     calls = calls.filter(F.col(second) >= F.col("earliest")).drop("earliest")
     # Counted and ranked from below, so the scan and joins are done once.
-    rows = keep_table(_departing_trips(calls, timetable))
-    quiet, busy = by_crowd(requests, rows, "stop_id")
-    day = ["service_id", "service_date"]
-    running = running_services(timetable, requests.select("service_date").distinct())
-    found = (
-        quiet.join(rows, "stop_id")
-        .filter(F.col(second) >= F.col("after"))
-        .join(running, day, "left_semi")
-        .drop("after")
+    rows, months, repeated = side_by_side(
+        [
+            lambda: keep_table(_departing_trips(calls, timetable)),
+            lambda: keep_table(running_months(timetable, requests)),
+            lambda: ids_repeat(requests),
+        ]
     )
+    quiet, busy = by_crowd(requests, rows, "stop_id")
+    calm, merged = rows, None
     if not busy.isEmpty():
-        crowded = rows.join(busy.select("stop_id").distinct(), "stop_id", "left_semi")
+        loud = busy.select("stop_id").distinct()
+        calm = rows.join(loud.join(quiet, "stop_id", "left_anti"), "stop_id", "left_anti")
+        crowded = rows.join(loud, "stop_id", "left_semi")
         times = busy.select("stop_id", F.col("after").alias(second)).distinct()
         marks = times.join(crowded.select(*served).distinct(), "stop_id")
         ranked, before = ranked_lists(crowded, served, second, DEPARTURE_ORDER, largest, marks)
-        asked = (
-            busy.join(before.withColumnRenamed(second, "after"), ["stop_id", "after"])
-            .join(running, day, "left_semi")
-            .select("request_id", *served, "service_date", "limit", "before")
-        )
+        asked = on_running_days(
+            busy.join(before.withColumnRenamed(second, "after"), ["stop_id", "after"]), months
+        ).select("request_id", *served, "service_date", "limit", "before")
         merged = merge_lists(ranked, asked, served, second, ["request_id"])
-        found = found.select(*merged.columns).unionByName(merged)
-    best = top_per_request(found, [second, *DEPARTURE_ORDER], largest)
+    # Stops meet their requests in tasks cut by the rows this gives, and each request is cut where its rows lie.
+    sizes = quiet.groupBy("stop_id").agg(F.sum("n_rows").cast("double").alias("n_rows"))
+    met = spread_join(
+        quiet.drop("n_rows"), calm, ["stop_id"], ["request_id"], sizes=sizes, task_rows=QUIET_TASK_ROWS, keep_slot=True
+    )
+    found = on_running_days(met.filter(F.col(second) >= F.col("after")).drop("after"), months)
+    order = [second, *DEPARTURE_ORDER]
+    if repeated:
+        if merged is not None:
+            found = found.select(*merged.columns).unionByName(merged)
+        best = top_per_request(found, order, largest)
+    else:
+        best = top_per_request(found, order, largest, "stop_id", "slot")
+        if merged is not None:
+            best_merged = top_per_request(merged, order, largest)
+            best = best.select(*best_merged.columns).unionByName(best_merged)
     return _departure_view(best, timetable, "request_id", "stop_id")
 
 
@@ -212,18 +243,15 @@ def first_running_trips(
     """
     served, day = [group, "service_id"], [group, "service_date"]
     trips = keep_table(trips)
-    running = running_services(timetable, asked)
-    on_date = ["service_id", "service_date"]
+    months = keep_table(running_months(timetable, asked))
     columns = [*day, "trip_id"]
     quiet, busy = by_crowd(asked, trips, group)
-    found = quiet.join(trips, group).join(running, on_date, "left_semi").select(*columns)
+    found = on_running_days(quiet.join(trips, group), months).select(*columns)
     if not busy.isEmpty():
         crowded = trips.join(busy.select(group).distinct(), group, "left_semi")
         ranked, _ = ranked_lists(crowded, served, "trip_id", [], largest)
-        pairs = (
-            busy.join(crowded.select(*served).distinct(), group)
-            .join(running, on_date, "left_semi")
-            .withColumn("before", F.lit(0).cast("long"))
+        pairs = on_running_days(busy.join(crowded.select(*served).distinct(), group), months).withColumn(
+            "before", F.lit(0).cast("long")
         )
         found = found.unionByName(merge_lists(ranked, pairs, served, "trip_id", day).select(*columns))
     return first_per_group(found, day, ["trip_id"], largest)
