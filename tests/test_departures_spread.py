@@ -71,7 +71,7 @@ def test_departures_equal_brute_force_however_tasks_are_cut(spark, timetable, mo
 
 
 def test_an_id_that_two_stops_share_is_one_list(spark, timetable):
-    asked = [(7, "kai-1", date(2027, 4, 4), 0, 3), (7, "tower", date(2027, 4, 4), 0, 3), (8, "tower", date(2027, 4, 4), 0, 3)]
+    asked = [(number, stop, date(2027, 4, 4), 0, 3) for number, stop in ((7, "kai-1"), (7, "tower"), (8, "tower"))]
     want = _brute(timetable, asked)
     assert len(want) == 6 and len({row[4] for row in want}) == 2
     assert _rows(stops.departures(timetable, spark.createDataFrame(asked, ASKED))) == want
@@ -90,7 +90,8 @@ def test_requests_times_calls_are_not_shuffled(spark, timetable, monkeypatch, ta
 
 def test_trips_of_quiet_stops_stay_where_they_meet_their_requests(spark, timetable, monkeypatch):
     day = date(2027, 4, 4)
-    asked = spark.createDataFrame([(n, one, day, 9) for n, one in enumerate(STOPS)], "request_id long, stop_id string, service_date date, limit int")
+    schema = "request_id long, stop_id string, service_date date, limit int"
+    asked = spark.createDataFrame([(n, one, day, 9) for n, one in enumerate(STOPS)], schema)
     trips = timetable.stop_times.select("stop_id", "trip_id").distinct().join(
         timetable.trips.select("trip_id", "service_id"), "trip_id"
     )
