@@ -8,12 +8,13 @@ factor from level to level. Queries are indexed in the same cells and blocks.
 A pair of a query node and a data node is pruned if no pair of vectors below it can reach the worst kth
 score of the query group: with centres q and c and radii r and s, an inner product is at most
 <q, c> + r |c| + s |q| + r s. First each query block meets a block of its own cell, which gives kth scores to
-start from; then all other block pairs whose bound reaches them are searched, block by block.
+start from; then all other block pairs whose bound reaches them are searched. A task takes one data block and all
+query blocks of a slice that have to meet it, so both trees are built once for many block pairs. Node pairs
+of few products are multiplied at once.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,115 +27,178 @@ from haltline.session import keep_table
 
 #: Most pivots, and the sample of vectors that they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 64, 4096
-#: Distinct vectors of one block.
-DATA_BLOCK, QUERY_BLOCK = 4096, 512
+#: Distinct vectors of one block, and queries that meet a data block in one task.
+DATA_BLOCK, QUERY_BLOCK, QUERY_SLICE = 1 << 15, 512, 1 << 14
+#: Blocks and slices of long vectors have fewer of them, so that none has more components than this.
+COMPONENTS = 1 << 21
 #: Radii shrink by this factor from a cover-tree level to the next; nodes of few vectors are leaves.
 BASE, LEAF = 1.3, 48
+#: Most children of a node.
+FAN = 16
+#: A node pair of up to so many products is not split.
+PRODUCTS = 1 << 20
+#: Most tasks of a search.
+MOST_TASKS = 20_000
+#: The kth score of a query that has none yet.
+NO_SCORE = np.iinfo(np.int64).min
 
 
 @dataclass
 class Node:
+    """The vectors `start` to `end` of a tree, in the order of the tree."""
+
+    start: int
+    end: int
     center: np.ndarray
     radius: float
-    rows: np.ndarray | None
+    norm: float
     children: list[Node] = field(default_factory=list)
-    norm: float = 0.0
-    worst: float = -np.inf
-
-
-def build(points: np.ndarray, rows: np.ndarray) -> Node:
-    """A cover tree over `points[rows]`."""
-    center = points[rows[0]]
-    distance = np.sqrt(((points[rows] - center) ** 2).sum(axis=1))
-    node = Node(center, float(distance.max()), rows, norm=float(np.sqrt((center**2).sum())))
-    if len(rows) <= LEAF or node.radius == 0:
-        return node
-    # Far points become children until all are covered by the next level's radius.
-    cover, nearest, owner, count = node.radius / BASE, distance, np.zeros(len(rows), np.int64), 1
-    while nearest.max() > cover and count < LEAF:
-        far = int(nearest.argmax())
-        to_far = np.sqrt(((points[rows] - points[rows[far]]) ** 2).sum(axis=1))
-        closer = to_far < nearest
-        nearest = np.where(closer, to_far, nearest)
-        owner[closer] = count
+    centers: np.ndarray | None = None
+    radii: np.ndarray | None = None
+    norms: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+
+class Tree:
+    """A cover tree over `points`. `exact` and `ids` are theirs, and all three are kept in the order of the tree."""
+
+    def __init__(self, points: np.ndarray, kind: type, ids: np.ndarray) -> None:
+        self.points, self.exact, self.ids = points.astype(np.float64), points.astype(kind), ids.astype(np.int64)
+        self.squares = (self.points**2).sum(axis=1)
+        self.root = self._node(0, len(points))
+
+    def _node(self, start: int, end: int) -> Node:
+        center = self.points[start].copy()
+        distance = np.sqrt(((self.points[start:end] - center) ** 2).sum(axis=1))
+        return Node(start, end, center, float(distance.max()), float(np.sqrt(self.squares[start])))
+
+    def grow(self) -> None:
+        """All nodes at once; else they are split when a search comes to them."""
+        open_ = [self.root]
+        while open_:
+            node = open_.pop()
+            self.split(node)
+            open_ += node.children
+
+    def split(self, node: Node) -> None:
+        if node.children or len(node) <= LEAF or node.radius == 0:
+            return
+        own, squares = self.points[node.start : node.end], self.squares[node.start : node.end]
+
+        def to(row: int) -> np.ndarray:
+            return np.maximum(squares + squares[row] - 2 * (own @ own[row]), 0)
+
+        # Far points become children until all are covered by the next level's radius.
+        cover, nearest, leads = (node.radius / BASE) ** 2, to(0), [0]
+        owner = np.zeros(len(own), np.int64)
+        while len(leads) < FAN:
+            far = int(nearest.argmax())
+            if far in leads or (nearest[far] <= cover and len(leads) > 1):
+                break
+            distance = to(far)
+            closer = distance < nearest
+            nearest = np.where(closer, distance, nearest)
+            owner[closer] = len(leads)
+            leads.append(far)
+        if len(leads) < 2:
+            return
         # The chosen point leads its own child.
-        owner[far] = count
-        count += 1
-    for child in range(count):
-        own = np.flatnonzero(owner == child)
-        if len(own):
-            lead = own[nearest[own].argmin()]
-            node.children.append(build(points, rows[np.concatenate(([lead], own[own != lead]))]))
-    node.rows = None
-    return node
+        owner[leads] = np.arange(len(leads))
+        first = np.ones(len(own), np.int64)
+        first[leads] = 0
+        moved = np.lexsort((first, owner))
+        for array in (self.points, self.squares, self.exact, self.ids):
+            array[node.start : node.end] = array[node.start : node.end][moved]
+        ends = node.start + np.bincount(owner, minlength=len(leads)).cumsum()
+        starts = [node.start, *ends[:-1].tolist()]
+        node.children = [self._node(start, end) for start, end in zip(starts, ends.tolist(), strict=True)]
+        node.centers = np.stack([child.center for child in node.children])
+        node.radii = np.array([child.radius for child in node.children])
+        node.norms = np.array([child.norm for child in node.children])
 
 
 class DualTree:
-    """The best `k` data rows of each query row of one block pair, added to what is known already."""
-
-    def __init__(self, queries: np.ndarray, kth: np.ndarray, k: int) -> None:
-        self.queries, self.k = queries.astype(np.float64), k
-        self.exact = queries
-        self.kth = kth.astype(np.float64)  # scores that others have reached: a bound, not an answer
-        self.best: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]
-        self.tree = build(self.queries, np.arange(len(queries)))
-        self._refresh(self.tree)
-
-    def search(self, data: np.ndarray, ids: np.ndarray) -> None:
-        self.data, self.ids, self.exact_data = data.astype(np.float64), ids, data
-        most = np.abs(self.exact).max(initial=0) * float(np.abs(data).max(initial=0)) * data.shape[1]
-        # float64 products are exact below 2 ** 53, int64 ones below 2 ** 63.
-        self.fits = most < 2**53
-        if not self.fits and most >= 2**62:
-            self.exact, self.exact_data = self.exact.astype(object), data.astype(object)
-        self._visit(self.tree, build(self.data, np.arange(len(data))))
-
-    def _bound(self, a: Node, b: Node) -> float:
-        bound = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-        return bound + 1e-9 * (abs(bound) + a.norm * b.norm) + 1e-6
-
-    def _visit(self, a: Node, b: Node) -> None:
-        if self._bound(a, b) < a.worst:
+    """The best `k` data rows of each query row, `kth` being scores that others have reached: a bound, not an answer."""
+
+    def __init__(self, queries: np.ndarray, kth: np.ndarray, k: int, data: np.ndarray, ids: np.ndarray) -> None:
+        self.k = k
+        most = _longest(queries) * _longest(data)
+        # All partial sums of a product are integers of at most |q| |c|: exact below 2 ** 24, 2 ** 53 and 2 ** 63.
+        sure = ((np.float32, 2**24 - 2**10), (np.float64, 2**52), (np.int64, 2**62))
+        self.kind = next((kind for kind, below in sure if most < below), object)
+        self.asked, self.items = Tree(queries, self.kind, np.arange(len(queries))), Tree(data, self.kind, ids)
+        self.asked.grow()
+        self.kth = kth[self.asked.ids].astype(self.kind)
+        # The best of each query so far, ordered by query, and what was found since.
+        self.best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        self.since: list[tuple[np.ndarray, ...]] = []
+        self.n_since = 0
+
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score) of the best."""
+        open_ = [(np.inf, self.asked.root, self.items.root)]
+        while open_:
+            bound, a, b = open_.pop()
+            if bound < float(self.kth[a.start : a.end].min()):
+                continue
+            if len(a) * len(b) > PRODUCTS:
+                self.items.split(b)
+            if len(a) * len(b) <= PRODUCTS or not a.children and not b.children:
+                self._multiply(a, b)
+                continue
+            if not a.children or b.children and b.radius >= a.radius:
+                pairs, bounds = [(a, child) for child in b.children], self._bounds(a, b)
+            else:
+                pairs, bounds = [(child, b) for child in a.children], self._bounds(b, a)
+            # The last one is searched first.
+            for n in np.argsort(bounds).tolist():
+                open_.append((float(bounds[n]), *pairs[n]))
+        self._merge()
+        rows, scores, ids = self.best
+        return self.asked.ids[rows], ids, scores
+
+    @staticmethod
+    def _bounds(one: Node, parent: Node) -> np.ndarray:
+        """Bounds of `one` with each child of `parent`."""
+        bounds = parent.centers @ one.center + one.radius * parent.norms + parent.radii * (one.norm + one.radius)
+        return bounds + 1e-9 * (np.abs(bounds) + one.norm * parent.norms) + 1e-6
+
+    def _multiply(self, a: Node, b: Node) -> None:
+        scores = self.asked.exact[a.start : a.end] @ self.items.exact[b.start : b.end].T
+        kth = self.kth[a.start : a.end]
+        rows, places = np.nonzero(scores >= kth[:, None])
+        if len(rows) > 4 * len(a) and len(b) > self.k and self.kind is not object:
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            np.maximum(kth, least, out=kth)
+            rows, places = np.nonzero(scores >= kth[:, None])
+        if not len(rows):
+            return
+        self.since.append((rows + a.start, scores[rows, places].astype(np.int64), self.items.ids[b.start + places]))
+        self.n_since += len(rows)
+        if self.n_since > 4 * len(self.kth) + PRODUCTS // 16:
+            self._merge()
+
+    def _merge(self) -> None:
+        """The best `k` of each query, equal scores to the smaller id."""
+        if not self.since:
             return
-        if not a.children and not b.children:
-            self._leaves(a, b)
-        elif not a.children or b.children and b.radius >= a.radius:
-            for child in sorted(b.children, key=lambda child: -self._bound(a, child)):
-                self._visit(a, child)
-        else:
-            for child in a.children:
-                self._visit(child, b)
-            a.worst = min(child.worst for child in a.children)
-
-    def _leaves(self, a: Node, b: Node) -> None:
-        if self.fits:
-            scores = (self.queries[a.rows] @ self.data[b.rows].T).astype(np.int64)
-        else:
-            scores = self.exact[a.rows] @ self.exact_data[b.rows].T
-        for row, line in zip(a.rows.tolist(), scores, strict=True):
-            best, kth = self.best[row], self.kth[row]
-            if len(best) == self.k:
-                kth = max(kth, best[0][0])
-            for place in np.flatnonzero(line >= kth).tolist():
-                entry = (int(line[place]), -int(self.ids[b.rows[place]]))
-                if len(best) < self.k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        self._refresh(a)
-
-    def _refresh(self, node: Node) -> None:
-        if node.children:
-            for child in node.children:
-                self._refresh(child)
-            node.worst = min(child.worst for child in node.children)
-        else:
-            node.worst = min(
-                max(self.kth[row], self.best[row][0][0])
-                if len(self.best[row]) == self.k
-                else self.kth[row]
-                for row in node.rows.tolist()
-            )
+        rows, scores, ids = (np.concatenate(parts) for parts in zip(self.best, *self.since, strict=True))
+        self.since, self.n_since = [], 0
+        order = np.lexsort((ids, ~scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        nth = np.arange(len(rows)) - np.repeat(begins, np.diff(np.r_[begins, len(rows)]))
+        last = nth == self.k - 1
+        reached = scores[last].astype(self.kind)
+        self.kth[rows[last]] = np.maximum(self.kth[rows[last]], reached)
+        kept = nth < self.k
+        self.best = rows[kept], scores[kept], ids[kept]
+
+
+def _longest(points: np.ndarray) -> float:
+    return float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
 
 
 def quantized(vector: Column, scale: int) -> Column:
@@ -188,13 +252,18 @@ def top_inner_products(
     cells = {size: len(points) for size, points in pivots.items()}
     data = keep_table(_blocks(members.select("id", "v"), pivots, DATA_BLOCK))
     groups = _blocks(lead.select(F.col("query").alias("id"), "v"), pivots, QUERY_BLOCK)
+    n_slices = F.ceil(F.sum(F.col("n") * F.greatest(F.lit(1), F.col("size") * QUERY_SLICE / COMPONENTS)) / QUERY_SLICE)
+    slices = groups.groupBy("size").agg(n_slices.alias("slices"))
+    groups = groups.join(slices, "size").withColumn("slice", F.pmod(F.xxhash64("block"), F.col("slices")).cast("int"))
+    groups = groups.drop("slices")
     groups = keep_table(
-        groups.select("size", *(F.col(c).alias(f"q_{c}") for c in groups.columns if c != "size"))
+        groups.select("size", "slice", *(F.col(c).alias(f"q_{c}") for c in groups.columns if c not in ("size", "slice")))
     )
 
-    near = groups.join(data.where("part = 0").withColumn("q_cell", F.col("cell")), ["size", "q_cell"])
-    first = keep_table(_meet(near.withColumn("kth", F.lit(None).cast("map<long,long>")), k + 1))
-    kth = (
+    heads, stems = groups.drop("q_ids", "q_points"), data.drop("ids", "points")
+    near = heads.join(stems.where("part = 0").withColumnRenamed("cell", "q_cell"), ["size", "q_cell"])
+    first = keep_table(_meet(near, groups.withColumn("kth", F.lit(None).cast("map<long,long>")), data, k + 1))
+    kth = keep_table(
         first.groupBy("q_block", "query")
         .agg(F.count("*").alias("n"), F.min("score").alias("score"))
         .where(F.col("n") > k)
@@ -206,22 +275,19 @@ def top_inner_products(
         )
     )
     # Every query block against the blocks of every cell, by their covering radii alone.
-    heads = groups.drop("q_ids", "q_points").join(kth, "q_block", "left")
     pairs = (
-        heads.withColumn("cell", F.explode(_sequence(cells)))
-        .join(data.drop("ids", "points"), ["size", "cell"])
+        heads.join(kth.drop("kth"), "q_block", "left")
+        .withColumn("cell", F.explode(_sequence(cells)))
+        .join(stems, ["size", "cell"])
         .where((F.col("q_cell") != F.col("cell")) | (F.col("part") != 0))
         .where(
             F.col("worst").isNull()
             | (F.col("known") < F.col("q_n"))
             | (_block_bound() >= F.col("worst"))
         )
-        .select("q_block", "block", "kth")
-    )
-    others = pairs.join(groups.select("q_block", "q_ids", "q_points"), "q_block").join(
-        data.select("block", "size", "ids", "points"), "block"
     )
-    found = first.unionByName(_meet(others, k + 1))
+    asking = groups.join(kth.select("q_block", "kth"), "q_block", "left")
+    found = first.unionByName(_meet(pairs, asking, data, k + 1))
 
     order = (F.col("score").desc(), F.col("id").asc())
     found = (
@@ -316,7 +382,7 @@ def _blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], limit: int) -> Da
             "radius": float(away),
             "norm": float(np.sqrt((center**2).sum())),
             "ids": ids.astype(np.int64).tobytes(),
-            "points": points.astype(np.int64).tobytes(),
+            "points": _packed(points),
         }
         return pa.Table.from_pylist([row], schema=block_schema)
 
@@ -335,7 +401,8 @@ def _blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], limit: int) -> Da
         ]
     )
     placed = vectors.mapInArrow(assign, "id long, v array<long>, size int, cell int")
-    parts = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / limit).alias("parts"))
+    most = F.greatest(F.lit(1), F.least(F.lit(limit), F.floor(F.lit(COMPONENTS) / F.greatest(F.col("size"), F.lit(1)))))
+    parts = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / most).alias("parts"))
     return (
         placed.join(parts, ["size", "cell"])
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -348,34 +415,53 @@ def _blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], limit: int) -> Da
     )
 
 
-def _meet(pairs: DataFrame, k: int) -> DataFrame:
-    """Search each pair of a query block and a data block: (q_block, query, id, score)."""
+def _packed(points: np.ndarray) -> bytes:
+    """Integers in as few bytes each as all of them fit."""
+    kinds = (np.int16, np.int32, np.int64)
+    low, high = points.min(initial=0), points.max(initial=0)
+    return points.astype(next(kind for kind in kinds if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max)).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(batch.num_rows):
-                (row,) = batch.slice(start, 1).to_pylist()
-                ids = np.frombuffer(row["ids"], np.int64)
-                queries = np.frombuffer(row["q_ids"], np.int64)
-                shape = (len(queries), row["size"])
+
+def _unpacked(packed: bytes, rows: int, size: int) -> np.ndarray:
+    if not size:
+        return np.zeros((rows, 0), np.int64)
+    return np.frombuffer(packed, f"i{len(packed) // (rows * size)}").reshape(rows, size)
+
+
+def _meet(pairs: DataFrame, asking: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """Search pairs(q_block, slice, block) of query and data blocks: (q_block, query, id, score).
+
+    A task takes a data block and the query blocks of one slice that meet it. Their rows are few and long to
+    search, so their number, not their size, says how many partitions there are.
+    """
+    pairs = keep_table(pairs.select("q_block", "slice", "block"))
+    units = pairs.select("slice", "block").distinct()
+    n_tasks = min(2 * units.count() + 1, MOST_TASKS)
+    blocks = units.join(data.select("block", "size", "ids", "points"), "block")
+    queries = pairs.select("q_block", F.col("slice").alias("q_slice"), F.col("block").alias("q_unit"))
+    queries = queries.join(asking.select("q_block", "q_ids", "q_points", "kth"), "q_block")
+
+    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [pa.array([], kind) for kind in (pa.string(), pa.int64(), pa.int64(), pa.int64())]
+        if blocks.num_rows and queries.num_rows:
+            (block,) = blocks.to_pylist()
+            ids, asked, kths, points = np.frombuffer(block["ids"], np.int64), [], [], []
+            for row in queries.select(["q_ids", "q_points", "kth"]).to_pylist():
                 known = dict(row["kth"] or ())
-                kth = np.array([known.get(query, -np.inf) for query in queries.tolist()])
-                tree = DualTree(np.frombuffer(row["q_points"], np.int64).reshape(shape), kth, k)
-                points = np.frombuffer(row["points"], np.int64).reshape(len(ids), row["size"])
-                tree.search(points, ids)
-                found = [
-                    (query, -negative, score)
-                    for query, best in zip(queries.tolist(), tree.best, strict=True)
-                    for score, negative in best
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["q_block"]] * len(found), pa.string()),
-                        *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)),
-                    ],
-                    ["q_block", "query", "id", "score"],
-                )
-
-    return pairs.select("q_block", "size", "q_ids", "q_points", "kth", "ids", "points").mapInArrow(
-        run, "q_block string, query long, id long, score long"
+                asked.append(np.frombuffer(row["q_ids"], np.int64))
+                kths.append(np.array([known.get(query, NO_SCORE) for query in asked[-1].tolist()], np.int64))
+                points.append(_unpacked(row["q_points"], len(asked[-1]), block["size"]))
+            names = np.repeat(np.arange(len(asked)), [len(one) for one in asked])
+            asked, kths, points = (np.concatenate(parts) for parts in (asked, kths, points))
+            rows, best, scores = DualTree(points, kths, k, _unpacked(block["points"], len(ids), block["size"]), ids).search()
+            q_block = queries.column("q_block").take(pa.array(names[rows])).cast(pa.string())
+            found = [q_block, pa.array(asked[rows]), pa.array(best), pa.array(scores)]
+        return pa.table(found, names=["q_block", "query", "id", "score"])
+
+    queries = queries.repartition(n_tasks, "q_slice", "q_unit").groupBy("q_slice", "q_unit")
+    return (
+        blocks.repartition(n_tasks, "slice", "block")
+        .groupBy("slice", "block")
+        .cogroup(queries)
+        .applyInArrow(run, "q_block string, query long, id long, score long")
     )

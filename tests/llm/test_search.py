@@ -62,3 +62,29 @@ def test_nothing_to_search(spark):
     assert top_inner_products(none).count() == 0
     one = spark.createDataFrame([(0, [1.0], 0, 1, "x", 2)], KIND)
     assert top_inner_products(one).where(F.col("rank") > 0).count() == 0
+
+
+def test_search_is_dealt_by_blocks_not_by_bytes(spark, monkeypatch):
+    met, meet = [], cover_tree._meet
+    monkeypatch.setattr(cover_tree, "_meet", lambda *given: met.append(meet(*given)) or met[-1])
+    rng = np.random.default_rng(4)
+    rows = [(n, rng.normal(size=16).tolist(), 0, 1, "x", 2) for n in range(600)]
+    got = sorted(tuple(r) for r in top_inner_products(spark.createDataFrame(rows, KIND), k=3, query_every=10).collect())
+    assert got == brute(rows, 3, 10)
+    # Few bytes, but many pairs of blocks: no task may get them all.
+    tasks = met[1].groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 16
+
+
+@pytest.mark.parametrize("scale", [3, 300, 1e5, 1e8, 6e8])
+def test_trees_give_the_best_of_whatever_size_of_number(monkeypatch, scale):
+    monkeypatch.setattr(cover_tree, "PRODUCTS", 200)
+    rng = np.random.default_rng(1)
+    queries, data = (np.clip(rng.normal(size=(n, 8)) * scale, -1e9, 1e9).astype(np.int64) for n in (70, 500))
+    data[::7] //= 50
+    ids = rng.permutation(1500)[:500]
+    tree = cover_tree.DualTree(queries, np.full(70, cover_tree.NO_SCORE), 5, data, ids)
+    found = sorted(zip(*(part.tolist() for part in tree.search()), strict=True))
+    scores = queries.astype(object) @ data.T.astype(object)
+    best = [sorted((-s, i) for s, i in zip(scores[row], ids.tolist(), strict=True))[:5] for row in range(70)]
+    assert found == sorted((row, i, -s) for row in range(70) for s, i in best[row])
