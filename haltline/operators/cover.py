@@ -32,7 +32,9 @@ def first_keys_in_boxes(spots: DataFrame, key: str, requests: DataFrame, largest
     as far as asked, so rows grow with the limit and the border, not with what the box holds.
     """
     spots = keep_table(spots)
-    counts = keep_table(cell_keys(spots).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")))
+    # Sizes are guessed from compressed files, in which cells and borders count for next to nothing: without the hints
+    # millions of them would be broadcast, through the driver.
+    counts = keep_table(cell_keys(spots).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"))).hint("merge")
     touched = box_cells(requests).join(counts, _CELL)
     held = touched.groupBy("request_id", "limit").agg(F.sum("n").alias("n"))
     crowded = keep_table(held.filter(F.col("n") > CROWD * F.col("limit")).select("request_id"))
@@ -48,11 +50,11 @@ def first_keys_in_boxes(spots: DataFrame, key: str, requests: DataFrame, largest
         if left.isEmpty():
             break
     inner, border = _cover(box_cells(left).join(counts, _CELL), counts)
-    cells = cell_keys(spots)
-    rows = cells.join(inner.select(*_CELL).distinct(), _CELL, "left_semi").select(*_CELL, key)
+    cells = cell_keys(spots).hint("merge")
+    rows = cells.join(inner.select(*_CELL).distinct().hint("merge"), _CELL, "left_semi").select(*_CELL, key)
     ranked, _ = ranked_lists(rows, _CELL, key, [], largest)
     asked = inner.select("request_id", "limit", *_CELL, F.lit(0).cast("long").alias("before"))
-    whole = merge_lists(ranked, asked, _CELL, key, ["request_id"]).select(*columns)
+    whole = merge_lists(ranked.hint("merge"), asked, _CELL, key, ["request_id"]).select(*columns)
     single = border.join(cells, _CELL).filter(_inside_box("latitude", "longitude")).select(*columns)
     return found.unionByName(whole).unionByName(single)
 
@@ -66,7 +68,7 @@ def _from_prefixes(
     holds, and it is answered if that is as much as it asks for.
     """
     depth = (F.col("limit") * times + PREFIX_ROWS).alias("depth")
-    asked = box_cells(boxes).select("*", depth).join(counts.hint("merge"), _CELL)
+    asked = box_cells(boxes).select("*", depth).join(counts, _CELL)
     depths = asked.groupBy(*_CELL).agg(F.max("depth").alias("deepest"))
     rows = cell_keys(spots).join(depths.hint("merge"), _CELL)
     rows = first_per_group(rows, _CELL, [key], largest * times + PREFIX_ROWS)

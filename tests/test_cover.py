@@ -81,3 +81,25 @@ def test_first_keys_of_touched_cells_answer_crowded_boxes(spark):
     for n, low, west, high, east, limit in boxes[:-1]:
         inside = sorted(p for p, lat, lon in points if low <= lat <= high and west <= lon <= east)
         assert sorted(found[n]) == inside[:limit]
+
+
+def test_covers_meet_cells_without_a_broadcast(spark, monkeypatch):
+    points, spots = _town(spark)
+    plans, keep = [], cover.keep_table
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(cover, "keep_table", kept)
+    # No cell can answer these from its first keys, so they are covered.
+    monkeypatch.setattr(cover, "PREFIX_TIMES", (0,))
+    monkeypatch.setattr(cover, "PREFIX_ROWS", 1)
+    requests = spark.createDataFrame([(1, 40.3, 5.3, 41.7, 6.7, 50), (2, 40.1, 5.2, 41.1, 6.9, 40)], BOX)
+    found = first_keys_in_boxes(spots, "stop_id", requests, 50)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    on_cells = [line for plan in plans for line in plan.splitlines() if "Join" in line and "cell_x" in line]
+    assert len(on_cells) > 6 and not [line for line in on_cells if "Broadcast" in line]
+    rows = found.filter("request_id = 1").select("stop_id").collect()
+    inside = sorted(p for p, lat, lon in points if 40.3 <= lat <= 41.7 and 5.3 <= lon <= 6.7)
+    assert sorted(row[0] for row in rows)[:50] == inside[:50]
