@@ -53,3 +53,34 @@ def test_calls_meet_their_stops_last(spark, harbour_folder):
     # The plan reads from its last join down; stops are wide and are not shuffled again.
     assert "stop_id" in joins[0] and all("trip_id" in line for line in joins[1:])
     assert found.count() == timetable.stop_times.count()
+
+
+def test_dealt_items_are_joined_once_and_copied_little(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 100)
+    busy, broadcast = [], F.broadcast
+    monkeypatch.setattr(spread.F, "broadcast", lambda df: busy.append(df) or broadcast(df))
+    key = F.when(F.col("id") % 3 == 0, F.lit("hub")).when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 20))
+    asked = spark.range(600).select(F.col("id").alias("request_id"), key.alias("key"))
+    items = [("hub", n - 30, n) for n in range(100)] + [("hub", None, 7), ("k1", 1, 1), ("k2", 2, 2), (None, 3, 3)]
+    items = spark.createDataFrame(items, "key string, nth long, n int")
+    found = spread.spread_join(asked, items, ["key"], ["request_id"], deal="nth")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, asked.join(items, "key").collect()))
+    # 200 requests for 101 items in 202 tasks: a copy of all items for each task would be 202 of them.
+    hub = busy[0].filter("key = 'hub'").first()
+    assert 202 <= hub.slots * hub.pieces < 230 and hub.slots < 25 and hub.pieces < 25
+
+
+def test_copies_of_points_do_not_follow_the_square_of_the_answer(spark, harbour_folder, monkeypatch):
+    timetable = normalize_feed(read_feed(spark, harbour_folder))
+    monkeypatch.setattr(trips, "POINTS_PER_BUCKET", 1)
+    monkeypatch.setattr(spread, "TASK_ROWS", 4)
+    busy, broadcast = [], F.broadcast
+    monkeypatch.setattr(spread.F, "broadcast", lambda df: busy.append(df) or broadcast(df))
+    shapes = timetable.shape_points.select("shape_id").distinct()
+    asked = shapes.crossJoin(spark.range(12)).select(F.xxhash64("shape_id", "id").alias("request_id"), "shape_id")
+    found = trips.shape_points_of(timetable, asked)
+    points = {row.shape_id: row["count"] for row in timetable.shape_points.groupBy("shape_id").count().collect()}
+    assert found.count() == 12 * sum(points.values())
+    # Points are copied for each slot. One slot for each task would be so many copies:
+    by_task = sum(-(-12 * n // 4) * n for n in points.values())
+    assert sum(row.slots * points[row.shape_id] for row in busy[0].collect()) <= by_task / 2
