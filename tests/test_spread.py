@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from haltline.operators import spread, trips
 from haltline.operators.load import normalize_feed
+from haltline.plans import catalog
 from haltline.sources.feed import read_feed
 
 
@@ -84,3 +85,23 @@ def test_copies_of_points_do_not_follow_the_square_of_the_answer(spark, harbour_
     # Points are copied for each slot. One slot for each task would be so many copies:
     by_task = sum(-(-12 * n // 4) * n for n in points.values())
     assert sum(row.slots * points[row.shape_id] for row in busy[0].collect()) <= by_task / 2
+
+
+def test_texts_of_details_are_made_before_parts_meet_their_trips(spark, harbour_folder, monkeypatch):
+    timetable = normalize_feed(read_feed(spark, harbour_folder))
+    requests = timetable.trips.select("trip_id").crossJoin(spark.range(3)).select(
+        F.xxhash64("trip_id", "id").alias("request_id"), "trip_id"
+    )
+    monkeypatch.setattr(catalog, "bench_timetable", lambda *_: timetable)
+    monkeypatch.setattr(catalog, "_asks", lambda *_: requests)
+    monkeypatch.setattr(catalog, "DETAIL_PART", 1)
+    found = catalog.QUERIES["trip_detail"](spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # No array is looked through once for each trip.
+    assert "Join " in plan and "lambda" not in plan and "array_join" not in plan
+    texts = {(row.request_id, row.part): (row.calls, row.shape) for row in found.collect()}
+    details = trips.trip_detail(timetable, requests, 1).collect()
+    assert len(texts) == len(details)
+    for row in details:
+        calls = " ".join(f"{c.stop_sequence}/{c.stop.stop_id}/{c.scheduled_departure or '-'}" for c in row.calls or ())
+        assert texts[row.request_id, row.part] == (calls, " ".join(str(p.sequence) for p in row.shape or ()))
